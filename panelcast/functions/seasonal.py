@@ -69,13 +69,21 @@ def _moving_mean(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _cycle(detrended: np.ndarray, robust: np.ndarray | None) -> np.ndarray:
-    """Smooth each calendar month's own sub-series, extended by one season on both sides."""
+    """Smooth each calendar month's own sub-series, extended by one season on both sides.
+
+    The first ``n % 12`` months have one year more than the others; each kind is one stack.
+    """
     m, n = detrended.shape
+    years, extra = divmod(n, PERIOD)
     out = np.empty((m, n + 2 * PERIOD))
-    for phase in range(PERIOD):
-        part = detrended[:, phase::PERIOD]
-        weights = None if robust is None else robust[:, phase::PERIOD]
-        out[:, phase::PERIOD] = _loess(part, SEASONAL_SPAN, weights, extend=True)
+    for months, length in ((range(extra), years + 1), (range(extra, PERIOD), years)):
+        if not len(months):
+            continue
+        at = np.add.outer(np.array(months), PERIOD * np.arange(length + 2))
+        inner = at[:, :length]
+        part = detrended[:, inner].reshape(-1, length)
+        weights = None if robust is None else robust[:, inner].reshape(-1, length)
+        out[:, at] = _loess(part, SEASONAL_SPAN, weights, extend=True).reshape(m, *at.shape)
     return out
 
 

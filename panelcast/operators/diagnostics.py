@@ -131,7 +131,9 @@ def series_messages(df: DataFrame) -> DataFrame:
     )
 
 
-def building_messages(params: DataFrame, building: DataFrame, monthly: DataFrame) -> DataFrame:
+def building_messages(
+    params: DataFrame, building: DataFrame, monthly: DataFrame, sites: DataFrame
+) -> DataFrame:
     """Why a requested building yields nothing, or loses rows; such buildings do not fail others."""
     have = monthly.groupBy("id_building_primaire").agg(
         F.count(F.lit(1)).alias("n_months"),
@@ -140,8 +142,11 @@ def building_messages(params: DataFrame, building: DataFrame, monthly: DataFrame
     known = building.select(
         "id_building_primaire", "weather_station", F.lit(True).alias("known")
     )
-    joined = params.join(known, "id_building_primaire", "left").join(
-        have, "id_building_primaire", "left"
+    factors = sites.select("id_building_primaire", F.size("factor_types").alias("n_factors"))
+    joined = (
+        params.join(known, "id_building_primaire", "left")
+        .join(have, "id_building_primaire", "left")
+        .join(factors, "id_building_primaire", "left")
     )
     unknown = F.col("known").isNull()
     messages = [
@@ -153,19 +158,13 @@ def building_messages(params: DataFrame, building: DataFrame, monthly: DataFrame
         _message(~unknown & F.col("n_months").isNull(), "warning", "no invoice found"),
         _message(F.col("n_no_start") > 0, "warning", F.col("n_no_start"),
                  " monthly rows without a start date were dropped"),
+        _message(F.col("n_factors") == 0, "note_012", NO_FACTORS),
     ]
     return joined.select(
         "id_building_primaire", F.inline(F.array_compact(F.array(*messages)))
     )
 
 
-def usage_messages(params: DataFrame, factors: DataFrame) -> DataFrame:
-    """Buildings without a usable factor."""
-    return params.select("id_building_primaire").distinct().join(
-        factors, "id_building_primaire", "left_anti"
-    ).select("id_building_primaire", F.lit("note_012").alias("code"), F.lit(NO_FACTORS).alias("text"))
-
-
 def distinct_notes(messages: DataFrame) -> DataFrame:
     """Outlier notes once per building and text, in order of first appearance."""
     return (

@@ -1,26 +1,30 @@
 """Model table: every series on its month spine with degree-days, factors and split flags.
 
 The table exists in two shapes. ``series_table`` holds one row per series with its months as an
-array (bounded by the calendar), which lets every later per-series step run without another
-shuffle. ``model_table`` is the same data as one row per series and month.
+array (bounded by the calendar), so every later per-series step runs without another shuffle.
+``model_table`` is the same data as one row per series and month.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.scalars import full_month_starts, month_end, month_start, month_text
+from panelcast.functions.scalars import full_month_starts, month_start, month_text
 from panelcast.functions.series import interpolate
-from panelcast.operators.usage import factor_maps, factor_types
-from panelcast.operators.weather import pivot_references
+from panelcast.operators.weather import weather_matrix
 from panelcast.schemas import DJU_COLUMNS, KEY
 
 WINDOW_COLUMNS = ["start_ref", "end_ref", "start_pred", "end_pred"]
-SITE_COLUMNS = ["weather_station", *WINDOW_COLUMNS, "factor_types"]
 
 
-def usable_sites(params: DataFrame, building: DataFrame, factors: DataFrame) -> DataFrame:
-    """Requests that can run: known building with a station and an ordered prediction window."""
-    return (
+def usable_sites(
+    params: DataFrame, building: DataFrame, degreedays: DataFrame, factors: DataFrame | None
+) -> DataFrame:
+    """One row per request that can run, with everything its series share.
+
+    Needs a known building with a station and an ordered prediction window. ``factors`` is a
+    factor matrix, or None for models without factors.
+    """
+    sites = (
         params.where(F.col("start_pred") <= F.col("end_pred"))
         .join(
             building.where(F.coalesce("weather_station", F.lit("")) != "").select(
@@ -28,10 +32,18 @@ def usable_sites(params: DataFrame, building: DataFrame, factors: DataFrame) ->
             ),
             "id_building_primaire",
         )
-        .join(factor_types(factors), "id_building_primaire", "left")
-        .withColumn(
-            "factor_types", F.coalesce("factor_types", F.array().cast("array<string>"))
+        .join(weather_matrix(degreedays), "weather_station", "left")
+    )
+    if factors is None:
+        return sites.withColumns(
+            {
+                "factor_types": F.array().cast("array<string>"),
+                "factor_first": F.lit(None).cast("date"),
+                "factor_values": F.array().cast("array<array<double>>"),
+            }
         )
+    return sites.join(factors, "id_building_primaire", "left").withColumn(
+        "factor_types", F.coalesce("factor_types", F.array().cast("array<string>"))
     )
 
 
@@ -41,7 +53,11 @@ def observed_pairs(monthly: DataFrame) -> DataFrame:
 
 
 def reaggregate_months(monthly: DataFrame) -> DataFrame:
-    """One row per series and start month. Rows without a start month are dropped."""
+    """One row per series and start month. Rows without a start month are dropped.
+
+    Monthly rows are few per series, so they are partitioned by series here once; the grouping
+    by series that follows needs no further shuffle.
+    """
     return (
         monthly.where(F.col("start").isNotNull())
         .repartition(*KEY)
@@ -55,106 +71,84 @@ def reaggregate_months(monthly: DataFrame) -> DataFrame:
     )
 
 
-def is_train_row() -> Column:
-    """A real invoice fully inside the reference window."""
-    return F.coalesce(
-        F.col("value").isNotNull()
-        & (F.col("start") >= F.col("start_ref"))
-        & (F.col("end") <= F.col("end_ref")),
-        F.lit(False),
-    )
-
-
-def is_test_row() -> Column:
-    """A month of the prediction window, partial first month included, invoiced or not."""
-    return F.col("month").between(
-        month_start(F.col("start_pred")), month_start(F.col("end_pred"))
-    )
+def _rows_on_spine(pred: str) -> str:
+    """Invoiced months plus the prediction months without invoice, ordered by month.
 
-
-def spine_rows(monthly: DataFrame, sites: DataFrame) -> DataFrame:
-    """Invoiced months plus prediction months; months without an invoice get month bounds."""
-    series = (
-        reaggregate_months(monthly)
-        .groupBy(*KEY)
-        .agg(F.collect_list(F.struct("month", "start", "end", "value", "n_invoices")).alias("inv"))
-        .join(sites, "id_building_primaire")
-    )
-    pred = full_month_starts(F.col("start_pred"), F.col("end_pred"))
-    extra = F.transform(
-        F.array_except(pred, F.col("inv.month")),
-        lambda m: F.struct(
-            m.alias("month"), m.alias("start"), month_end(m).alias("end"),
-            F.lit(None).cast("double").alias("value"), F.lit(0).cast("bigint").alias("n_invoices"),
-        ),
-    )
-    return series.select(*KEY, *SITE_COLUMNS, F.inline(F.concat("inv", extra)))
-
-
-def series_table(
-    monthly: DataFrame, sites: DataFrame, degreedays: DataFrame, factors: DataFrame
-) -> DataFrame:
+    Flags: train = a real value fully inside the reference window; test = a month of the
+    prediction window, its partial first month included.
+    """
+    extra = f"""transform(array_except({pred}, inv.month), m -> struct(
+        m AS month, m AS start, last_day(m) AS end, CAST(NULL AS DOUBLE) AS value,
+        0L AS n_invoices))"""
+    return f"""transform(array_sort(concat(inv, {extra})), r -> struct(
+        r.month AS month, r.start AS start, r.end AS end, r.value AS value,
+        r.n_invoices AS n_invoices,
+        coalesce(r.value IS NOT NULL AND r.start >= start_ref AND r.end <= end_ref, false)
+            AS is_train,
+        r.month BETWEEN trunc(start_pred, 'MM') AND trunc(end_pred, 'MM') AS is_test))"""
+
+
+def series_table(monthly: DataFrame, sites: DataFrame) -> DataFrame:
     """One row per series: site columns, ``rows`` ordered by month, ``dju_seen[6]`` and
     ``dju_gaps[6]`` (spine months without a row, per reference).
 
     Degree-days of a month count only if the series' anchor reference (the first one with any
     row on its spine) has a row that month. Factors are gap-filled on row position.
     """
-    weather = pivot_references(degreedays).withColumnRenamed("station_id", "weather_station")
-    panel = (
-        spine_rows(monthly, sites)
-        .join(weather, ["weather_station", "month"], "left")
-        .join(factor_maps(factors), ["id_building_primaire", "month"], "left")
-    )
-    raw_factors = F.transform("factor_types", lambda t: F.try_element_at("factor_map", t))
-    row = F.struct(
-        "month", "start", "end", "value", "n_invoices",
-        is_train_row().alias("is_train"), is_test_row().alias("is_test"),
-        "dju", "present", raw_factors.alias("raw_factors"),
-    )
-    seen = F.array(
-        *[
-            F.coalesce(F.bool_or(F.col("present")[i]), F.lit(False))
-            for i in range(len(DJU_COLUMNS))
-        ]
-    )
-    grouped = panel.groupBy(*KEY).agg(
-        F.first(F.struct(*SITE_COLUMNS)).alias("site"),
-        F.array_sort(F.collect_list(row)).alias("raw_rows"),
-        seen.alias("dju_seen"),
-    )
-    anchor = F.least(
-        *[F.when(F.col("dju_seen")[i], F.lit(i)) for i in range(len(DJU_COLUMNS))]
-    )
-    column = "transform(raw_rows, r -> get(r.raw_factors, j))"
-    filled = F.expr(f"transform(site.factor_types, (t, j) -> {interpolate(column)})")
-    gaps = F.array(
-        *[
-            F.transform(
-                F.filter("raw_rows", lambda r, k=k: ~F.coalesce(F.get(r.present, k), F.lit(False))),
-                lambda r: month_text(r.month),
-            )
-            for k in (F.lit(i) for i in range(len(DJU_COLUMNS)))
-        ]
+    series = (
+        reaggregate_months(monthly)
+        .groupBy(*KEY)
+        .agg(F.collect_list(F.struct("month", "start", "end", "value", "n_invoices")).alias("inv"))
+        .join(sites, "id_building_primaire")
+        .withColumn("pred_months", full_month_starts(F.col("start_pred"), F.col("end_pred")))
+        .withColumn("spine", F.expr(_rows_on_spine("pred_months")))
     )
-    no_dju = F.array(*[F.lit(None).cast("double") for _ in DJU_COLUMNS])
-    rows = F.transform(
-        "raw_rows",
-        lambda r, i: F.struct(
-            r.month.alias("month"), r.start.alias("start"), r.end.alias("end"),
-            r.value.alias("value"), r.n_invoices.alias("n_invoices"),
-            r.is_train.alias("is_train"), r.is_test.alias("is_test"),
-            F.when(F.get(r.present, F.col("anchor")), r.dju).otherwise(no_dju).alias("dju"),
-            F.transform(F.col("filled"), lambda c: F.get(c, i)).alias("factors"),
-        ),
+    refs = f"sequence(0, {len(DJU_COLUMNS) - 1})"
+    offset = "int(months_between({0}, {1}))"
+    factor = "transform(spine, r -> get(values, {0}))".format(
+        offset.format("r.month", "factor_first")
     )
+    no_dju = f"array_repeat(CAST(NULL AS DOUBLE), {len(DJU_COLUMNS)})"
     return (
-        grouped.withColumn("anchor", anchor)
-        .withColumn("filled", filled)
-        .select(*KEY, "site.*", "dju_seen", gaps.alias("dju_gaps"), rows.alias("rows"))
+        series.withColumn(
+            "station",
+            F.expr(f"transform(spine, r -> get(weather, {offset.format('r.month', 'weather_first')}))"),
+        )
+        .withColumn(
+            "dju_seen",
+            F.expr(f"transform({refs}, k -> exists(station, w -> coalesce(get(w.present, k), false)))"),
+        )
+        .withColumn("anchor", F.expr("array_position(dju_seen, true) - 1"))
+        .withColumn(
+            "dju_gaps",
+            F.expr(
+                f"""transform({refs}, k -> transform(
+                    filter(spine, (r, i) -> NOT coalesce(get(get(station, i).present, k), false)),
+                    r -> date_format(r.month, 'yyyy-MM')))"""
+            ),
+        )
+        .withColumn("filled", F.expr(f"transform(factor_values, values -> {interpolate(factor)})"))
+        .withColumn(
+            "rows",
+            F.expr(
+                f"""transform(spine, (r, i) -> struct(
+                    r.month AS month, r.start AS start, r.end AS end, r.value AS value,
+                    r.n_invoices AS n_invoices, r.is_train AS is_train, r.is_test AS is_test,
+                    CASE WHEN anchor >= 0 AND get(get(station, i).present, int(anchor))
+                        THEN get(station, i).dju ELSE {no_dju} END AS dju,
+                    coalesce(transform(filled, c -> get(c, i)), array()) AS factors))"""
+            ),
+        )
+        .select(
+            *KEY, "weather_station", *WINDOW_COLUMNS, "factor_types", "dju_seen", "dju_gaps", "rows"
+        )
     )
 
 
+def dju_column(k: int) -> Column:
+    return F.get("dju", F.lit(k))
+
+
 def model_table(series: DataFrame) -> DataFrame:
     """One row per series and month, factors as MAP(type -> value)."""
     return series.select(*KEY, "factor_types", F.inline("rows")).select(
@@ -162,7 +156,7 @@ def model_table(series: DataFrame) -> DataFrame:
         "month",
         month_text(F.col("month")).alias("month_year"),
         "start", "end", "value", "is_train", "is_test",
-        *[F.get("dju", F.lit(i)).alias(c) for i, c in enumerate(DJU_COLUMNS)],
+        *[dju_column(i).alias(c) for i, c in enumerate(DJU_COLUMNS)],
         F.map_from_arrays("factor_types", "factors").alias("factors"),
     )
 

@@ -1,6 +1,6 @@
 """Usage factors: monthly means, constant-factor removal, profiling and gap filling."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import factor_class, month_start, to_double
@@ -26,40 +26,66 @@ def monthly_usage(usage: DataFrame) -> DataFrame:
     ).agg(F.avg("value").alias("value"))
 
 
-def non_constant(monthly: DataFrame) -> DataFrame:
-    """Drop types that never have a value or hold one constant; a single month is kept."""
-    stats = (
+def _by_type(monthly: DataFrame) -> DataFrame:
+    """One row per (building, type) with its months as an array; unusable types are gone.
+
+    Dropped: types that never have a value or hold one constant. A single month is kept.
+    """
+    return (
         monthly.groupBy("id_building_primaire", "type")
-        .agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        .agg(
+            F.count("value").alias("n"),
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+            F.array_sort(F.collect_list(F.struct("month", "value"))).alias("entries"),
+        )
         .where((F.col("n") == 1) | (F.col("lo") != F.col("hi")))
-        .select("id_building_primaire", "type")
+        .select("id_building_primaire", "type", "entries")
     )
-    return monthly.join(stats, ["id_building_primaire", "type"], "left_semi")
+
+
+def non_constant(monthly: DataFrame) -> DataFrame:
+    """Monthly factors without the unusable types (long form)."""
+    return _by_type(monthly).select("id_building_primaire", "type", F.inline("entries"))
+
+
+def _is_factor() -> Column:
+    return factor_class(F.col("type")).isNotNull() & ~F.col("type").isin(STANDARD_COLUMNS)
 
 
 def monthly_usage_factors(usage: DataFrame) -> DataFrame:
     """Monthly means of the usable types, with their class (0 influencing, 1 usage)."""
-    return (
-        non_constant(monthly_usage(usage))
-        .withColumn("factor_class", factor_class(F.col("type")))
-        .where(F.col("factor_class").isNotNull() & ~F.col("type").isin(STANDARD_COLUMNS))
+    return non_constant(monthly_usage(usage).where(_is_factor())).withColumn(
+        "factor_class", factor_class(F.col("type"))
     )
 
 
-def factor_types(factors: DataFrame) -> DataFrame:
-    """Ordered regressor names per building: influencing first, then usage, each by name."""
-    return (
-        factors.groupBy("id_building_primaire")
-        .agg(F.array_sort(F.collect_set(F.struct("factor_class", "type"))).alias("t"))
-        .select("id_building_primaire", F.col("t.type").alias("factor_types"))
-    )
+def factor_matrix(usage: DataFrame) -> DataFrame:
+    """One row per building: ``factor_types``, ``factor_first`` month and ``factor_values``.
 
-
-def factor_maps(factors: DataFrame) -> DataFrame:
-    """One MAP(type -> value) per building and month."""
+    Types are in regressor order (influencing first, then usage, each by name);
+    ``factor_values[type][month offset]`` is the monthly mean, NULL where there is none.
+    """
+    dense = """transform(t, x -> transform(array(map_from_entries(x.entries)), m -> transform(
+        sequence(factor_first, factor_last, interval 1 month), d -> try_element_at(m, d)))[0])"""
     return (
-        factors.groupBy("id_building_primaire", "month")
-        .agg(F.map_from_entries(F.collect_list(F.struct("type", "value"))).alias("factor_map"))
+        _by_type(monthly_usage(usage).where(_is_factor()))
+        .groupBy("id_building_primaire")
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct(factor_class(F.col("type")).alias("c"), "type", "entries"))
+            ).alias("t")
+        )
+        .withColumn("factor_first", F.expr("array_min(transform(t, x -> x.entries[0].month))"))
+        .withColumn(
+            "factor_last", F.expr("array_max(transform(t, x -> element_at(x.entries, -1).month))")
+        )
+        .select(
+            "id_building_primaire",
+            F.col("t.type").alias("factor_types"),
+            "factor_first",
+            F.expr(dense).alias("factor_values"),
+        )
     )
 
 

@@ -1,7 +1,5 @@
 """Degree-days: pivot to one row per station and month, and its gaps."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,5 +80,28 @@ def missing_months(degreedays: DataFrame, months: DataFrame) -> DataFrame:
     return wanted.join(have, ["station_id", "month", "ref"], "left_anti")
 
 
-def any_of(flags: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags)
+def weather_matrix(degreedays: DataFrame) -> DataFrame:
+    """One row per station: ``weather_first`` month and ``weather`` indexed by month offset.
+
+    Entries are STRUCT(dju[6], present[6]), NULL where a month has no row. The calendar bounds
+    the array, and a series finds its months by position.
+    """
+    return (
+        pivot_references(degreedays)
+        .groupBy("station_id")
+        .agg(
+            F.min("month").alias("weather_first"),
+            F.max("month").alias("last"),
+            F.map_from_entries(
+                F.collect_list(F.struct("month", F.struct("dju", "present")))
+            ).alias("by_month"),
+        )
+        .select(
+            F.col("station_id").alias("weather_station"),
+            "weather_first",
+            F.expr(
+                "transform(sequence(weather_first, last, interval 1 month), "
+                "m -> try_element_at(by_month, m))"
+            ).alias("weather"),
+        )
+    )

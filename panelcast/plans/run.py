@@ -10,7 +10,6 @@ from panelcast.operators.diagnostics import (
     building_messages,
     distinct_notes,
     series_messages,
-    usage_messages,
 )
 from panelcast.operators.invoices import building_monthly_invoices
 from panelcast.operators.panel import series_table, usable_sites
@@ -18,7 +17,7 @@ from panelcast.operators.regression import choose_family, fit_series, model_rows
 from panelcast.operators.reports import building_metrics, outliers_table, until_month
 from panelcast.operators.strategy import choose_references, decide_strategy
 from panelcast.operators.target import build_target
-from panelcast.operators.usage import monthly_usage_factors
+from panelcast.operators.usage import factor_matrix
 from panelcast.sources.catalog import Sources, building_usage, site_lookup
 from panelcast.sources.sinks import persist_results
 
@@ -63,24 +62,27 @@ def monthly_panel(sources: Sources, params: DataFrame) -> DataFrame:
     return building_monthly_invoices(sources.table("invoice"), requested_meters(sources, params))
 
 
-def usage_factors(sources: Sources, params: DataFrame) -> DataFrame:
-    """Usable monthly factors over the union of both windows."""
+def requested_usage(sources: Sources, params: DataFrame) -> DataFrame:
+    """Usage rows inside the union of each request's two windows."""
     windows = params.select(
         "id_building_primaire",
         F.least("start_ref", "start_pred").alias("start"),
         F.greatest("end_ref", "end_pred").alias("end"),
     )
-    return monthly_usage_factors(building_usage(sources.table("usage_data"), windows))
+    return building_usage(sources.table("usage_data"), windows)
+
+
+def build_sites(sources: Sources, params: DataFrame, with_factors: bool = True) -> DataFrame:
+    """One row per runnable request with its weather and factors."""
+    factors = factor_matrix(requested_usage(sources, params)) if with_factors else None
+    building = site_lookup(sources.table("building"), params)
+    return usable_sites(params, building, sources.table("degreedays"), factors)
 
 
 def build_series(sources: Sources, params: DataFrame, with_factors: bool = True) -> DataFrame:
     """The model table of every requested series (one row per series)."""
-    factors = usage_factors(sources, params)
-    if not with_factors:
-        factors = factors.where(F.lit(False))
-    sites = usable_sites(params, site_lookup(sources.table("building"), params), factors)
     return series_table(
-        monthly_panel(sources, params), sites, sources.table("degreedays"), factors
+        monthly_panel(sources, params), build_sites(sources, params, with_factors)
     )
 
 
@@ -109,18 +111,22 @@ def train_series(
 def run(
     sources: Sources, params: DataFrame, max_month: str | None = None, structural: bool = True
 ) -> Results:
-    """All outputs for all requests. The fitted series are computed once and checkpointed."""
-    fitted = cut_lineage(train_series(build_series(sources, params), structural=structural))
+    """All outputs for all requests.
+
+    The monthly table, the sites and the fitted series are each computed once and checkpointed;
+    every output is a projection or a small aggregate of them.
+    """
     building = site_lookup(sources.table("building"), params)
+    monthly = cut_lineage(monthly_panel(sources, params))
+    sites = cut_lineage(build_sites(sources, params))
+    fitted = cut_lineage(train_series(series_table(monthly, sites), structural=structural))
     models = model_rows(fitted)
-    notes = usage_messages(params, usage_factors(sources, params))
-    per_building = building_messages(params, building, monthly_panel(sources, params))
     return Results(
         predictions=until_month(predict(fitted), max_month),
         models=models,
         outliers=outliers_table(fitted),
         messages=series_messages(fitted),
-        building_messages=per_building.unionByName(notes),
+        building_messages=building_messages(params, building, monthly, sites),
         building_metrics=building_metrics(models, building),
     )
 
