@@ -47,7 +47,10 @@ def solve_stack(x: np.ndarray, y: np.ndarray):
     keep = s > np.finfo(float).eps * max(n, p) * s[:, :1]
     inverse = np.where(keep, 1 / np.where(keep, s, 1.0), 0.0)
     beta = np.einsum("mkp,mk,mnk,mn->mp", vt, inverse, u, y, optimize=True)
-    gram = np.linalg.pinv(np.einsum("mnp,mnq->mpq", x, x))
+    # Cutoff of a pseudo-inverse of X'X, taken on the squared singular values of X itself.
+    squared = np.where(s**2 > 1e-15 * s[:, :1] ** 2, s, 0.0)
+    weight = np.where(squared > 0, 1 / np.where(squared > 0, squared, 1.0) ** 2, 0.0)
+    gram = np.einsum("mkp,mk,mkq->mpq", vt, weight, vt)
     sse = ((y - np.einsum("mnp,mp->mn", x, beta)) ** 2).sum(axis=1)
     return beta, gram, sse
 

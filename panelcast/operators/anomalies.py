@@ -19,6 +19,7 @@ from panelcast.functions.series import (
     subtract,
     var_pop,
 )
+from panelcast.functions.shape import settle
 from panelcast.functions.structural import structural_level
 from panelcast.schemas import FENCE_WIDTH, SEASON, SEASONAL_STRENGTH
 
@@ -101,7 +102,7 @@ def detect_anomalies(df: DataFrame, y: str, out: str, seasonal: bool = True) ->
     df = detect_once(df.withColumn("_again", F.expr(again)), "_again", "_missing", "_second",
                      seasonal)
     both = "zip_with(_first, _second, (a, b) -> a OR b)"
-    return (
+    df = (
         df.withColumn(out, F.expr(f"CASE WHEN _again IS NULL THEN _first ELSE {both} END"))
         .withColumn(
             f"{out}_fence",
@@ -109,6 +110,7 @@ def detect_anomalies(df: DataFrame, y: str, out: str, seasonal: bool = True) ->
         )
         .drop("_missing", "_first", "_first_fence", "_again", "_second", "_second_fence")
     )
+    return settle(df, [out, f"{out}_fence"])
 
 
 def rank_impute(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import full_month_starts, month_start, month_text
 from panelcast.functions.series import interpolate
+from panelcast.functions.shape import settle, unfold
 from panelcast.operators.weather import weather_matrix
 from panelcast.schemas import DJU_COLUMNS, KEY
 
@@ -109,7 +110,7 @@ def series_table(monthly: DataFrame, sites: DataFrame) -> DataFrame:
         offset.format("r.month", "factor_first")
     )
     no_dju = f"array_repeat(CAST(NULL AS DOUBLE), {len(DJU_COLUMNS)})"
-    return (
+    table = (
         series.withColumn(
             "station",
             F.expr(f"transform(spine, r -> get(weather, {offset.format('r.month', 'weather_first')}))"),
@@ -143,6 +144,7 @@ def series_table(monthly: DataFrame, sites: DataFrame) -> DataFrame:
             *KEY, "weather_station", *WINDOW_COLUMNS, "factor_types", "dju_seen", "dju_gaps", "rows"
         )
     )
+    return settle(table, ["dju_seen", "dju_gaps", "rows"])
 
 
 def dju_column(k: int) -> Column:
@@ -151,7 +153,7 @@ def dju_column(k: int) -> Column:
 
 def model_table(series: DataFrame) -> DataFrame:
     """One row per series and month, factors as MAP(type -> value)."""
-    return series.select(*KEY, "factor_types", F.inline("rows")).select(
+    return unfold(series, [*KEY, "factor_types"], "rows").select(
         *KEY,
         "month",
         month_text(F.col("month")).alias("month_year"),

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import is_finite, month_text
+from panelcast.functions.shape import unfold
 from panelcast.functions.solve import ols_solve
 from panelcast.operators.strategy import add_mean_model, test_rows
 from panelcast.schemas import DJU_COLUMNS, KEY, MIN_OBSERVATIONS, NORMAL_95
@@ -125,10 +126,9 @@ def predict(df: DataFrame) -> DataFrame:
             r.month.alias("month"), r.value.alias("real_consumption"), _design_row(r).alias("x")
         ),
     )
-    long = df.where(F.col("model_family").isNotNull()).select(
-        *KEY, "model_family", "beta", "gram_inverse", "sigma2", "t_crit", "monthly_mean",
-        "monthly_sd", F.inline(months),
-    )
+    kept = ["model_family", "beta", "gram_inverse", "sigma2", "t_crit", "monthly_mean",
+            "monthly_sd"]
+    long = unfold(df.where(F.col("model_family").isNotNull()), [*KEY, *kept], months)
     ready = F.col("beta").isNotNull() & _complete(F.col("x"))
     fit = F.when(ready, dot(F.col("x"), F.col("beta")))
     spread = quadratic_form(F.col("x"), F.col("gram_inverse")) * F.col("sigma2")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.shape import unfold
 from panelcast.schemas import KEY
 
 # --- fixed values: published names of the outlier columns -----------------------------------
@@ -21,7 +22,7 @@ OUTLIER_NAMES = {
 
 def target_table(df: DataFrame) -> DataFrame:
     """The corrected training rows, one per series and month."""
-    return df.select(*KEY, "best_y", "drop_zeros", F.inline("target"))
+    return unfold(df, [*KEY, "best_y", "drop_zeros"], "target")
 
 
 def outliers_table(df: DataFrame, dotted: bool = False) -> DataFrame:

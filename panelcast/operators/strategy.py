@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.linear import adj_r2, moments
 from panelcast.functions.series import let, mean, var_pop
+from panelcast.functions.shape import settle, unfold
 from panelcast.schemas import (
     CDD_COLUMNS,
     DJU_COLUMNS,
@@ -65,14 +66,12 @@ def add_mean_model(series: DataFrame) -> DataFrame:
 def mean_model(series: DataFrame) -> DataFrame:
     """Constant prediction with mean +- 1.96 sd for every prediction month."""
     half = F.lit(NORMAL_95) * F.col("monthly_sd")
-    return add_mean_model(series).select(
-        *KEY, "monthly_mean", "monthly_sd",
+    stats = ["monthly_mean", "monthly_sd"]
+    return unfold(add_mean_model(series), [*KEY, *stats], test_rows()).select(
+        *KEY, *stats,
         (12 * F.col("monthly_mean")).alias("annual_consumption_reference"),
-        F.explode(F.transform(test_rows(), lambda r: F.struct(r.month, r.value))).alias("t"),
-    ).select(
-        *KEY, "monthly_mean", "monthly_sd", "annual_consumption_reference",
-        F.col("t.month").alias("month"),
-        F.col("t.value").alias("real_consumption"),
+        "month",
+        F.col("value").alias("real_consumption"),
         F.col("monthly_mean").alias("predictive_consumption"),
         (F.col("monthly_mean") - half).alias("confidence_lower95"),
         (F.col("monthly_mean") + half).alias("confidence_upper95"),
@@ -113,7 +112,7 @@ def choose_references(series: DataFrame) -> DataFrame:
     """Add ``dju_scores[6]``, ``hdd_pos``/``cdd_pos`` and ``best_hdd``/``best_cdd``."""
     names = F.array(*[F.lit(c) for c in DJU_COLUMNS])
     return (
-        series.withColumn("dju_scores", reference_scores())
+        settle(series.withColumn("dju_scores", reference_scores()), ["dju_scores"])
         .withColumns({"hdd_pos": _best(HDD_COLUMNS), "cdd_pos": _best(CDD_COLUMNS)})
         .withColumns(
             {"best_hdd": F.get(names, F.col("hdd_pos")), "best_cdd": F.get(names, F.col("cdd_pos"))}
@@ -127,4 +126,4 @@ def score_table(series: DataFrame) -> DataFrame:
         F.array(*[F.lit(c) for c in DJU_COLUMNS]),
         lambda c, k: F.struct(c.alias("ref"), F.get("dju_scores", k).alias("adj_r2")),
     )
-    return series.select(*KEY, F.inline(pairs)).where(F.col("adj_r2").isNotNull())
+    return unfold(series, KEY, pairs, marker="adj_r2")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.linear import adj_r2_score, fitted_values
 from panelcast.functions.series import blank, fill_from, has_gaps
+from panelcast.functions.shape import settle
 from panelcast.operators.anomalies import any_true, detect_anomalies, rank_impute
 
 
@@ -151,7 +152,7 @@ def build_target(
         CASE WHEN best_y = 'consumption_imputation' THEN get(imputed, i)
             ELSE get(corrected, i) END AS y_final))"""
     hits = "filter(train, (r, i) -> get(anomaly, i))"
-    return df.withColumns(
+    df = df.withColumns(
         {
             "target": F.expr(
                 f"""filter({rows},
@@ -163,3 +164,8 @@ def build_target(
         "raw", "imputed", "fa", "fb", "n_factors", "anomaly", "blanked", "ranked", "refit",
         "corrected", "scores", "score_nonzero",
     )
+    return settle(
+        df,
+        ["target", "anomaly_months", "n_anomalies", "drop_zeros", "best_y", "score_imputed",
+         "score_corrected"],
+    )

@@ -1,6 +1,6 @@
 """Input tables and the four lookups on them, for any number of buildings at once."""
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,22 +35,30 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 class Sources:
-    """The five input tables as conformed DataFrames."""
+    """The five input tables as conformed DataFrames, each opened on first use."""
 
-    def __init__(self, tables: Mapping[str, DataFrame]):
-        self._tables = {n: conform(df, TABLES[n][1]) for n, df in tables.items()}
+    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+        self._given = dict(tables)
+        self._opened: dict[str, DataFrame] = {}
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, base: str) -> "Sources":
         """Read the fixed relative paths below ``base`` (any filesystem Spark can reach)."""
-        return cls({n: spark.read.parquet(f"{base}/{path}") for n, (path, _) in TABLES.items()})
+        def reader(path: str):
+            return lambda: spark.read.parquet(f"{base}/{path}")
+
+        return cls({n: reader(path) for n, (path, _) in TABLES.items()})
 
     def table(self, name: str) -> DataFrame:
-        return self._tables[name]
+        if name not in self._opened:
+            given = self._given[name]
+            df = given() if callable(given) else given
+            self._opened[name] = conform(df, TABLES[name][1])
+        return self._opened[name]
 
     def register_views(self) -> None:
-        for name, df in self._tables.items():
-            df.createOrReplaceTempView(name)
+        for name in self._given:
+            self.table(name).createOrReplaceTempView(name)
 
 
 def site_lookup(building: DataFrame, params: DataFrame) -> DataFrame:
