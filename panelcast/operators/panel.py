@@ -14,6 +14,8 @@ from panelcast.functions.shape import settle, unfold
 from panelcast.operators.weather import weather_matrix
 from panelcast.schemas import DJU_COLUMNS, KEY
 
+# Series per task when one building has more than this many meters.
+SERIES_PER_PART = 200
 WINDOW_COLUMNS = ["start_ref", "end_ref", "start_pred", "end_pred"]
 
 
@@ -53,16 +55,34 @@ def observed_pairs(monthly: DataFrame) -> DataFrame:
     return monthly.select(*KEY).distinct()
 
 
-def reaggregate_months(monthly: DataFrame) -> DataFrame:
-    """One row per series and start month. Rows without a start month are dropped.
+def building_parts(deliverypoints: DataFrame) -> DataFrame:
+    """Into how many parts each building's series are split, from its number of meters."""
+    return deliverypoints.groupBy("id_building_primaire").agg(
+        F.ceil(F.count(F.lit(1)) / SERIES_PER_PART).cast("int").alias("parts")
+    )
+
+
+def spread(monthly: DataFrame, parts: DataFrame) -> DataFrame:
+    """Partition monthly rows by (building, part): the one shuffle of all per-series work.
 
-    Monthly rows are few per series, so they are partitioned by series here once; the grouping
-    by series that follows needs no further shuffle.
+    A series stays whole, and a building with a large share of all series is divided over many
+    tasks. The partition count is explicit because the work per byte is high: merging small
+    partitions by size would leave most cores idle.
     """
+    part = F.pmod(F.hash("deliverypoint_id_primaire", "fluid"), F.col("parts"))
+    tasks = int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        monthly.join(parts, "id_building_primaire")
+        .withColumn("part", part)
+        .repartition(tasks, "id_building_primaire", "part")
+    )
+
+
+def reaggregate_months(monthly: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """One row per series and start month. Rows without a start month are dropped."""
     return (
         monthly.where(F.col("start").isNotNull())
-        .repartition(*KEY)
-        .groupBy(*KEY, month_start(F.col("start")).alias("month"))
+        .groupBy(*keys, month_start(F.col("start")).alias("month"))
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -89,18 +109,25 @@ def _rows_on_spine(pred: str) -> str:
         r.month BETWEEN trunc(start_pred, 'MM') AND trunc(end_pred, 'MM') AS is_test))"""
 
 
-def series_table(monthly: DataFrame, sites: DataFrame) -> DataFrame:
+def series_table(monthly: DataFrame, sites: DataFrame, parts: DataFrame) -> DataFrame:
     """One row per series: site columns, ``rows`` ordered by month, ``dju_seen[6]`` and
     ``dju_gaps[6]`` (spine months without a row, per reference).
 
     Degree-days of a month count only if the series' anchor reference (the first one with any
     row on its spine) has a row that month. Factors are gap-filled on row position.
+
+    Each site row is repeated once per part of its building (``building_parts``), so the join
+    keeps the partitioning of the series and no task receives a whole large building.
     """
+    keys = [*KEY, "part"]
+    per_part = sites.join(parts, "id_building_primaire").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    )
     series = (
-        reaggregate_months(monthly)
-        .groupBy(*KEY)
+        reaggregate_months(spread(monthly, parts), keys)
+        .groupBy(*keys)
         .agg(F.collect_list(F.struct("month", "start", "end", "value", "n_invoices")).alias("inv"))
-        .join(sites, "id_building_primaire")
+        .join(per_part, ["id_building_primaire", "part"])
         .withColumn("pred_months", full_month_starts(F.col("start_pred"), F.col("end_pred")))
         .withColumn("spine", F.expr(_rows_on_spine("pred_months")))
     )

@@ -12,7 +12,7 @@ from panelcast.operators.diagnostics import (
     series_messages,
 )
 from panelcast.operators.invoices import building_monthly_invoices
-from panelcast.operators.panel import series_table, usable_sites
+from panelcast.operators.panel import building_parts, series_table, usable_sites
 from panelcast.operators.regression import choose_family, fit_series, model_rows, predict
 from panelcast.operators.reports import building_metrics, outliers_table, until_month
 from panelcast.operators.strategy import choose_references, decide_strategy
@@ -82,7 +82,9 @@ def build_sites(sources: Sources, params: DataFrame, with_factors: bool = True)
 def build_series(sources: Sources, params: DataFrame, with_factors: bool = True) -> DataFrame:
     """The model table of every requested series (one row per series)."""
     return series_table(
-        monthly_panel(sources, params), build_sites(sources, params, with_factors)
+        monthly_panel(sources, params),
+        build_sites(sources, params, with_factors),
+        building_parts(requested_meters(sources, params)),
     )
 
 
@@ -119,7 +121,9 @@ def run(
     building = site_lookup(sources.table("building"), params)
     monthly = cut_lineage(monthly_panel(sources, params))
     sites = cut_lineage(build_sites(sources, params))
-    fitted = cut_lineage(train_series(series_table(monthly, sites), structural=structural))
+    parts = building_parts(requested_meters(sources, params))
+    series = series_table(monthly, sites, parts)
+    fitted = cut_lineage(train_series(series, structural=structural))
     models = model_rows(fitted)
     return Results(
         predictions=until_month(predict(fitted), max_month),
