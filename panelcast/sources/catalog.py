@@ -19,8 +19,12 @@ TABLES: dict[str, tuple[str, T.StructType]] = {
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the declared columns: bad values and NaN become NULL, absent columns are NULL."""
+    """Select the declared columns: bad values and NaN become NULL, absent columns are NULL.
+
+    Whole-number identifiers keep their type, so that "smallest id" stays numeric.
+    """
     cols = []
+    numbered = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
     for field in schema.fields:
         if field.name not in df.columns:
             c = F.lit(None).cast(field.dataType)
@@ -28,6 +32,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             c = to_double(F.col(field.name))
         elif isinstance(field.dataType, T.DateType):
             c = to_date(F.col(field.name))
+        elif isinstance(field.dataType, T.StringType) and field.name in numbered:
+            c = F.col(field.name)
         else:
             c = F.col(field.name).try_cast(field.dataType)
         cols.append(c.alias(field.name))

@@ -13,6 +13,8 @@ from panelcast.operators.invoices import (
     prepare_invoices,
     prorate_to_months,
 )
+from panelcast.schemas import INVOICE
+from panelcast.sources.catalog import conform
 
 SCHEMA = ("invoice_id_primaire string, deliverypoint_id_primaire string, fluid string, "
           "start date, end date, value double")
@@ -66,6 +68,17 @@ def test_dedup_keeps_smallest_end_and_collapses_null_starts(spark):
     assert {r.invoice_id_primaire for r in again.collect()} == kept
 
 
+def test_equal_periods_keep_the_smallest_id_numerically(spark):
+    raw = spark.createDataFrame(
+        [(11648, "P", date(2024, 1, 1), date(2024, 1, 9), 1.0),
+         (4368, "P", date(2024, 1, 1), date(2024, 1, 9), 2.0)],
+        "invoice_id_primaire bigint, deliverypoint_id_primaire string, start date, end date, "
+        "value double",
+    )
+    kept = dedup_invoices(conform(raw, INVOICE), ["deliverypoint_id_primaire"]).collect()
+    assert [r.invoice_id_primaire for r in kept] == [4368]
+
+
 def test_nan_is_null(spark):
     inv = frame(
         spark,
