@@ -1,6 +1,5 @@
 """Result tables: contract checks and latest-wins replacement per building."""
 
-import re
 import uuid
 from datetime import datetime, timezone
 
@@ -113,7 +112,3 @@ def persist_results(
     )
     replace_buildings(out_models, f"{base}/{MODELS_PATH}", requested, order)
     return run_id, created_at
-
-
-def is_valid_month(text: str) -> bool:
-    return re.match(MONTH_PATTERN, text) is not None
