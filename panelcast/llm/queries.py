@@ -26,7 +26,7 @@ def registry() -> dict:
 _OP4 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 p AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
       FROM d),
 win AS (SELECT r, i, list_slice(w, i, i + 4) AS s
         FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM p WHERE len(w) >= 5)),
