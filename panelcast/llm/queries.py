@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import rules
+from panelcast.llm import bpe, rules
 from panelcast.llm.common import read
 
 
@@ -19,8 +20,28 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every whole text; digests of the ids and of the decoded bytes."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(
+        read(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN
+    )
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = (
+    op4_quality_rules,
+    op8_byte_bpe,
+)
+
+
 def registry() -> dict:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {q.__name__: q for q in QUERIES}
 
 
 _OP4 = """
