@@ -6,10 +6,46 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, rules
+from panelcast.llm import bpe, quality, rules, toxicity
 from panelcast.llm.common import read
 
 
+#: From this probability of label 1 on a text counts as good.
+QUALITY_CUT = 0.3
+
+
+def _crc(column: str, modulus: int):
+    """Remainder of the CRC-32 of a number's text; null for null."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole text; learns from labels outside the held-out fifth only."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality").where(_crc("doc_id", 5) != 0)
+    model = quality.train(quality.training_rows(docs, labels, "quality"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        F.coalesce(_crc("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
+    )
+
+
+#: From this probability of a grade above 0 on a text counts as toxic.
+TOXIC_CUT = 0.3
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every whole text of documents; learns from a bounded sample of labels.toxic."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    return toxicity.score(docs, model).select(
+        "doc_id", "severity", "p_toxic", (F.col("p_toxic") >= TOXIC_CUT).alias("toxic")
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule ledger of every whole text under the newest policy."""
     entries = rules.ledger(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -35,6 +71,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    op1_quality_classifier,
+    op2_toxicity,
     op4_quality_rules,
     op8_byte_bpe,
 )
