@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Texts are worked on in blocks of about so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
 #: Known pre-tokens that a worker keeps between blocks.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 
 
 @lru_cache(maxsize=4)

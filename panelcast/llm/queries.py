@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, quality, rules, toxicity
+from panelcast.llm import bpe, quality, rules, simhash, toxicity
 from panelcast.llm.common import read
 
 
@@ -56,6 +56,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text; digests of the ids and of the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,6 +80,7 @@ QUERIES = (
     op1_quality_classifier,
     op2_toxicity,
     op4_quality_rules,
+    op6_simhash,
     op8_byte_bpe,
 )
 
