@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, quality, rules, simhash, toxicity
+from panelcast.llm import bpe, packing, quality, rules, simhash, toxicity
 from panelcast.llm.common import read
 
 
@@ -76,12 +76,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places every token piece of every document in sequences of 2048 tokens."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 QUERIES = (
     op1_quality_classifier,
     op2_toxicity,
     op4_quality_rules,
     op6_simhash,
     op8_byte_bpe,
+    op9_packing,
 )
 
 
