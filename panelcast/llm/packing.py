@@ -242,12 +242,12 @@ def _pack_level(items: DataFrame, capacity: int, islands: int) -> DataFrame:
 
     def settle(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         lengths = ordered(own)["length"].tolist()
-        return as_row(*key, evolve(lengths, capacity, key[1]), lengths)
+        return as_row(*key, evolve(lengths, capacity, int(key[1])), lengths)
 
     def meet(key: tuple, own: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
         lengths = ordered(own)["length"].tolist()
         known = [as_bins(p) for p in guests.sort_values("island")["place"]]
-        return as_row(*key, evolve(lengths, capacity, key[1] + islands, known), lengths)
+        return as_row(*key, evolve(lengths, capacity, int(key[1]) + islands, known), lengths)
 
     def lay_out(key: tuple, own: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         own = ordered(own)
