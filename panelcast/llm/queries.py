@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, packing, quality, rules, simhash, toxicity
-from panelcast.llm.common import read
+from panelcast.llm import bpe, packing, quality, rules, simhash, toxicity, warc
+from panelcast.llm.common import read, scratch_path
 
 
 #: From this probability of label 1 on a text counts as good.
@@ -56,6 +56,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives every page and reads the archives back."""
+    path = scratch_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    found = warc.read(spark, path, with_payload=False).where("reason IS NULL")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -87,6 +95,7 @@ QUERIES = (
     op1_quality_classifier,
     op2_toxicity,
     op4_quality_rules,
+    op5_warc,
     op6_simhash,
     op8_byte_bpe,
     op9_packing,
@@ -120,5 +129,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+_OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+k AS (SELECT payload_digest, max(page_id) AS kept FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < kept THEN kept END AS refers_to
+FROM d LEFT JOIN k USING (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _OP4}
+    return {"op4_quality_rules": _OP4, "op5_warc": _OP5}
