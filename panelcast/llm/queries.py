@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, packing, quality, rules, simhash, toxicity, warc
+from panelcast.llm import bpe, linededup, packing, quality, rules, simhash, toxicity, warc
 from panelcast.llm.common import read, scratch_path
 
 
@@ -91,6 +91,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that have an earlier near duplicate."""
+    return linededup.deduplicate(read(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", "text"
+    )
+
+
 QUERIES = (
     op1_quality_classifier,
     op2_toxicity,
@@ -99,6 +106,7 @@ QUERIES = (
     op6_simhash,
     op8_byte_bpe,
     op9_packing,
+    op10_line_dedup,
 )
 
 
@@ -139,5 +147,22 @@ FROM d LEFT JOIN k USING (payload_digest)
 """
 
 
+_OP10 = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+w AS (SELECT doc_id, i, regexp_extract_all(l[i], '[^\\x20\\x09-\\x0D]+') AS w FROM x),
+s AS (SELECT DISTINCT doc_id, i, list_slice(w, k, k + 4) AS s
+      FROM (SELECT doc_id, i, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)),
+n AS (SELECT doc_id, i, count(*) AS n FROM s GROUP BY 1, 2),
+c AS (SELECT b.doc_id, b.i, a.doc_id AS doc_a, a.i AS i_a, count(*) AS c
+      FROM s a JOIN s b ON a.s = b.s AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i)) GROUP BY 1, 2, 3, 4),
+g AS (SELECT DISTINCT c.doc_id, c.i FROM c JOIN n p ON p.doc_id = c.doc_id AND p.i = c.i
+      JOIN n q ON q.doc_id = c.doc_a AND q.i = c.i_a WHERE 5 * c.c >= 4 * (p.n + q.n - c.c))
+SELECT x.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+       coalesce(string_agg(CASE WHEN g.i IS NULL THEN l[x.i] END, chr(10) ORDER BY x.i), '') AS text
+FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _OP4, "op5_warc": _OP5}
+    return {"op4_quality_rules": _OP4, "op5_warc": _OP5, "op10_line_dedup": _OP10}
