@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, linededup, packing, quality, rules, simhash, toxicity, warc
+from panelcast.llm import bpe, linededup, packing, quality, rules, simhash, spotsigs, toxicity, warc
 from panelcast.llm.common import read, scratch_path
 
 
@@ -70,6 +70,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and their likeness."""
+    found = spotsigs.with_next(read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = found.withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
+    found = found.withColumn("edited_sigs", spotsigs.signatures(F.col("edited")))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text; digests of the ids and of the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -104,6 +120,7 @@ QUERIES = (
     op4_quality_rules,
     op5_warc,
     op6_simhash,
+    op7_spotsigs,
     op8_byte_bpe,
     op9_packing,
     op10_line_dedup,
