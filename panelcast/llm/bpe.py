@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.common import blocks
+
 #: Texts are worked on in blocks of about so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
 #: Known pre-tokens that a worker keeps between blocks.
@@ -103,21 +105,6 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]
     return out
 
 
-def blocks(texts: Iterable[str | None], limit: int) -> Iterator[list[str]]:
-    """Consecutive texts of ``limit`` characters in all, or one longer text."""
-    block: list[str] = []
-    size = 0
-    for text in texts:
-        text = text or ""
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append(text)
-        size += len(text)
-    if block:
-        yield block
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder per worker, so that later tasks find the words of earlier ones."""

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +53,31 @@ def let(value: Column, body) -> Column:
 def words_of(text: Column) -> Column:
     """Array of words of a text, split at white space (null and empty texts: no word)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+
+
+def blocks(texts: Iterable[str | None], limit: int) -> Iterator[list[str]]:
+    """Consecutive texts of ``limit`` characters in all, or one longer text."""
+    block: list[str] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        if block and size + len(text) > limit:
+            yield block
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield block
+
+
+def keep_rows(docs: DataFrame, test: Callable[[list[str]], np.ndarray], limit: int) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` (null: empty) passes ``test``, which sees blocks of texts."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = [test(texts) for texts in blocks((x.as_py() for x in batch.column(at)), limit)]
+            if passed:
+                yield batch.filter(pa.array(np.concatenate(passed), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

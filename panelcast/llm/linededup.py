@@ -200,10 +200,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty (one empty line, always kept) and come back empty. Rows without doc_id take part
     and come first; rows equal in doc_id and text count as one document and lose the same lines. An empty table
-    gives an empty result.
+    gives an empty result. Columns of docs named n_lines or n_removed are replaced; others may have any name.
     """
-    columns = [c for c in docs.columns if c != "text"]
-    base = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("doc_id", "text"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    other = [c for c in columns if c not in ("doc_id", "text")]
+    carried = [F.struct(*[F.col(f"`{c}`") for c in other]).alias("row")] if other else []
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carried)
+    base = base.withColumn("key", F.xxhash64("doc_id", "text"))
     gone = removed_lines(base.select("doc_id", "key", "text")).groupBy("doc_id", "key").agg(
         F.collect_set("line_no").alias("gone")
     )
@@ -213,8 +216,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kept = let(lines, lambda a: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("gone")), lambda i: F.get(a, i)), "\n"
     ))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text")
+    own = {"doc_id": F.col("doc_id"), "text": text}
     return joined.select(
-        *columns, F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        *[own.get(c, F.col("row").getField(c).alias(c) if c in other else None) for c in columns],
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.bpe import blocks
-from panelcast.llm.common import stored
+from panelcast.llm.common import blocks, stored
 
 CAPACITY = 2048
 #: Id that closes every document.

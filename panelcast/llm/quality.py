@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.bpe import blocks
+from panelcast.llm.common import blocks, keep_rows
 from panelcast.llm.features import Block, repeats
 
 #: Buckets of hashed features; the last one is the repeated-window feature.
@@ -115,6 +115,15 @@ def training_rows(
     return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32), r.label) for r in found]
 
 
+def probability(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of class 1 per text."""
+    total, count = np.zeros(len(texts)), np.zeros(len(texts))
+    for at, owner in bucketed(texts):
+        total += np.bincount(owner, weights[at], len(texts))
+        count += np.bincount(owner, minlength=len(texts))
+    return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -500, 500)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per input row: ``doc_id`` and ``score``, the probability of class 1.
 
@@ -129,14 +138,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             done = 0
             for texts in blocks((x.as_py() for x in batch.column(1)), BLOCK_CHARS):
-                total, count = np.zeros(len(texts)), np.zeros(len(texts))
-                for at, owner in bucketed(texts):
-                    total += np.bincount(owner, weights[at], len(texts))
-                    count += np.bincount(owner, minlength=len(texts))
-                value = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -500, 500)))
+                value = probability(texts, weights, bias)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(done, len(texts)), pa.array(value)], names=["doc_id", "score"]
                 )
                 done += len(texts)
 
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def keep_good(docs: DataFrame, model: Model, cut: float) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose ``text`` scores ``cut`` or more."""
+    weights, bias = model.weights()
+    weights = weights.astype(np.float32)
+    return keep_rows(docs, lambda texts: probability(texts, weights, bias) >= cut, BLOCK_CHARS)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.bpe import blocks
+from panelcast.llm.common import blocks, keep_rows
 from panelcast.llm.features import Block
 
 GRAM = 5
@@ -189,3 +189,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = picked.schema["doc_id"].dataType.simpleString()
     return picked.mapInArrow(run, f"doc_id {kind}, severity double, p_toxic double")
+
+
+def keep_clean(docs: DataFrame, model: Model, cut: float) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose ``text`` has P(grade >= 1) below ``cut``."""
+    return keep_rows(docs, lambda texts: model.predict(texts)[:, 0] < cut, BLOCK_CHARS)
