@@ -5,7 +5,8 @@ earlier line has a Jaccard similarity of at least 0.8. Earlier means by doc_id (
 the text (for rows that share a doc_id), then by place in the text; matches count whether or not the earlier line
 is itself removed. Lines of fewer than five words are always kept.
 
-1. Shingles get one total order by rarity: their hashes are counted in 8,192 buckets over all lines, rare buckets first.
+1. Shingles get one total order by rarity, the frequency of their first word: words are counted in 8,192 hash buckets
+   over all texts, rare buckets first.
 2. Lines with equal sets collapse into one class at their first place, so copies never meet in a join.
 3. A class keeps its prefix, the shingles among which any match must share one. Prefix shingles of one class only
    drop out; each other one has a leader, the earliest class that has it.
@@ -28,42 +29,29 @@ BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
 
 
-def shingles(line: Column) -> Column:
-    """Distinct 64-bit hashes of the line's five-word shingles; empty for shorter lines."""
-    words = F.split(line, SPACE + "+")
+def _plain(text: Column) -> Column:
+    """The text with one space between the words of a line and none around them."""
+    odd = F.lit(False)
+    for sign in ("\t", "\r", "\x0b", "\x0c", "  ", " \n", "\n "):
+        odd = odd | F.contains(text, F.lit(sign))
+    odd = odd | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    single = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.when(odd, F.regexp_replace(single, "^ | $|(?<=\n) | (?=\n)", "")).otherwise(text)
 
-    def hashed(w: Column) -> Column:
-        last = F.size(w) - SHINGLE
-        return F.when(
-            last >= 0,
-            F.array_distinct(F.transform(
-                F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]),
-            )),
-        ).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words, hashed)
+def _bucket(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - BUCKET_BITS).cast("int")
 
 
-def _trimmed_lines(text: Column) -> Column:
-    return F.transform(
-        F.split(text, "\n"), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
-    )
-
-
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
+def rarity(texts: DataFrame) -> Column:
+    """Array literal: the rank of every bucket of words by how often its words occur, rarest first.
 
-
-def rarity(lines: DataFrame) -> Column:
-    """Array literal: the rank of every hash bucket by how many shingles fall into it.
-
-    The number of buckets is fixed, so this is all that reaches the driver at any size.
+    All words of all texts are counted. The number of buckets is fixed, so this is all that reaches the
+    driver at any size.
     """
-    spark = lines.sparkSession
-    counted = lines.select(F.explode(shingles(F.col("line"))).alias("h")).groupBy(_bucket(F.col("h")).alias("b"))
-    counts = counted.agg(F.count("*").alias("n")).unionAll(
-        spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
+    words = texts.select(F.explode(F.split(F.col("text"), "[ \n]")).alias("w"))
+    counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).unionAll(
+        texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     )
     ordered = counts.groupBy("b").agg(F.sum("n").alias("n")).agg(
         F.array_sort(F.collect_list(F.struct("n", "b"))).alias("s")
@@ -73,15 +61,25 @@ def rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
 
 
-def ranked(hashes: Column, ranks: Column) -> Column:
-    """Hashes with their leading bits replaced by the bucket's rank, ascending: rarest first."""
+def shingles(line: Column, ranks: Column) -> Column:
+    """Distinct tokens of the line's five-word shingles, rarest first; empty for lines of fewer words.
+
+    A token is the rank of the shingle's first word, which no shingle can be more frequent than, before the
+    low bits of the shingle's 64-bit hash.
+    """
     rest = 64 - BUCKET_BITS
-    return F.sort_array(F.transform(
-        hashes,
-        lambda h: F.shiftleft((F.get(ranks, _bucket(h)) - BUCKETS // 2).cast("long"), rest).bitwiseOR(
-            h.bitwiseAND(F.lit((1 << rest) - 1))
-        ),
-    ))
+
+    def token(w: Column, i: Column) -> Column:
+        rank = F.get(ranks, _bucket(F.get(w, i))) - BUCKETS // 2
+        low = F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]).bitwiseAND(F.lit((1 << rest) - 1))
+        return F.shiftleft(rank.cast("long"), rest).bitwiseOR(low)
+
+    return let(F.split(line, " "), lambda w: F.when(
+        F.size(w) >= SHINGLE,
+        F.sort_array(F.array_distinct(F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: token(w, i)
+        ))),
+    ).otherwise(F.array().cast("array<bigint>")))
 
 
 def _least(n: Column) -> Column:
@@ -115,45 +113,55 @@ PLACE = ["doc_id", "key", "line_no"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line: its place and the line without outer white space."""
-    return docs.select("doc_id", "key", F.posexplode(_trimmed_lines(F.col("text"))).alias("line_no", "line"))
+    """One row per line: its place and the line."""
+    return docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, line_no) of every line that has an earlier match; ``docs``: doc_id, key, text."""
-    ranks = rarity(_lines(docs))
+    docs = docs.withColumn("text", _plain(F.col("text")))
+    ranks = rarity(docs)
+    tokens = shingles(F.col("line"), ranks)
+    # Behind the generator the filter cannot be pushed down, which would compute every set twice.
     sets = (
         _lines(docs)
-        .select(*PLACE, ranked(shingles(F.col("line")), ranks).alias("tokens"))
+        .select(*PLACE, F.explode(F.array(tokens)).alias("tokens"))
         .where(F.size("tokens") > 0)
         .select(
             *PLACE, F.xxhash64("tokens").alias("cls"), F.size("tokens").alias("n"),
-            F.slice("tokens", F.lit(1), F.size("tokens") - _least(F.size("tokens")) + 1).alias("prefix"),
+            # Half of each token is enough to find candidates; they are verified on whole ones.
+            F.transform(
+                F.slice("tokens", F.lit(1), F.size("tokens") - _least(F.size("tokens")) + 1),
+                lambda t: F.hash(t),
+            ).alias("prefix"),
         )
     )
     lines = stored(sets, "lines")
     classes = stored(
         lines.groupBy("cls", "n").agg(
             F.min(F.struct(*PLACE)).alias("place"), F.first("prefix").alias("prefix"), F.count("*").alias("copies")
-        ),
+        ).withColumn("id", F.monotonically_increasing_id()),
         "classes",
     )
-    prefixes = classes.select("cls", "n", "place", F.posexplode("prefix").alias("at", "token"))
-    shared = (
-        prefixes.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("place", "cls")).alias("leader"))
-        .where("df > 1").select("token", F.col("leader.cls").alias("leader"))
+    # One exchange serves the counts, the choice of leaders and the rows themselves.
+    prefixes = classes.select("id", F.col("place.doc_id").alias("doc_id"), F.posexplode("prefix").alias("at", "token"))
+    prefixes = prefixes.repartition("token")
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("first_id")).where("df > 1")
+    meeting = stored(prefixes.join(shared.select("token", "first_id"), "token"), "meeting")
+    entries = stored(meeting.drop("doc_id").join(classes.select("id", "cls", "n", "place"), "id").drop("id"), "entries")
+    leaders = entries.where(F.col("place.doc_id").eqNullSafe(F.col("first_id"))).groupBy("token").agg(
+        F.min(F.struct("place", "cls")).alias("leader")
     )
-    entries = stored(prefixes.join(shared, "token"), "entries")
+    entries = entries.join(leaders.select("token", F.col("leader.cls").alias("leader")), "token")
 
     # The sets of classes that share a prefix shingle, from the texts again.
     wanted = entries.select("cls", "place").distinct().select("cls", "place.*")
-    tokens = ranked(shingles(F.col("line")), ranks)
     by_doc = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line_no", "cls")).alias("wanted"))
     mine = docs.select("key", F.col("doc_id").alias("d"), "text").join(
         by_doc.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("d").eqNullSafe(F.col("doc_id"))
     )
     found = stored(
-        mine.select(F.explode("wanted").alias("w"), _trimmed_lines(F.col("text")).alias("lines"))
+        mine.select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
         .select("w.cls", F.get("lines", F.col("w.line_no")).alias("line"))
         .dropDuplicates(["cls"])
         .select("cls", tokens.alias("tokens")),
