@@ -94,15 +94,20 @@ def with_next(docs: DataFrame) -> DataFrame:
         "giver", F.coalesce("taker", "low").alias("taker"), F.coalesce("taker_n", "low_n").alias("taker_n")
     )
     signed = base.withColumn("sigs", signatures(F.col("text")))
-    least = signed.where("doc_id IS NOT NULL").selectExpr(
+    # One exchange serves both sides: documents as they are, and documents as givers.
+    known = signed.where("doc_id IS NOT NULL").repartition("doc_id")
+    least = known.selectExpr(
         "doc_id", "text", "sigs", "row_number() OVER (PARTITION BY doc_id ORDER BY text) AS at"
     ).where("at = 1")
     given = least.join(pairs, F.col("doc_id") == F.col("giver")).select(
         "taker", F.expr("left(text, cast(taker_n div 2 AS int))").alias("next_text"), F.col("sigs").alias("next_sigs")
     )
-    return signed.join(given, F.col("doc_id") == F.col("taker"), "left").select(
+    none = F.array().cast("array<bigint>")
+    return known.join(given, F.col("doc_id") == F.col("taker"), "left").select(
         "doc_id", "text", "sigs", F.coalesce("next_text", F.lit("")).alias("next_text"),
-        F.coalesce("next_sigs", F.array().cast("array<bigint>")).alias("next_sigs"),
+        F.coalesce("next_sigs", none).alias("next_sigs"),
+    ).unionAll(
+        signed.where("doc_id IS NULL").select("*", F.lit("").alias("next_text"), none.alias("next_sigs"))
     )
 
 
