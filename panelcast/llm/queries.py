@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, linededup, packing, quality, rules, simhash, spotsigs, toxicity, warc
+from panelcast.llm import bpe, katz, linededup, packing, quality, rules, simhash, spotsigs, toxicity, warc
 from panelcast.llm.common import read, scratch_path
 
 
@@ -46,6 +46,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text; a seventh of the documents is not learned from."""
+    held_out = F.coalesce(_crc("doc_id", 7) == 2, F.lit(False))
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("train", ~held_out)
+    return katz.score(docs).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule ledger of every whole text under the newest policy."""
     entries = rules.ledger(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -117,6 +126,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_quality_classifier,
     op2_toxicity,
+    op3_katz,
     op4_quality_rules,
     op5_warc,
     op6_simhash,
