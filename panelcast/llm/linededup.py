@@ -117,13 +117,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, line_no) of every line that has an earlier match; ``docs``: doc_id, key, text."""
-    docs = docs.withColumn("text", _plain(F.col("text")))
-    ranks = rarity(docs)
+def _line_sets(docs: DataFrame, ranks: Column) -> DataFrame:
+    """(place, cls, n, prefix) of every line with a shingle. ``cls`` stands for the line's set."""
     tokens = shingles(F.col("line"), ranks)
     # Behind the generator the filter cannot be pushed down, which would compute every set twice.
-    sets = (
+    return stored(
         _lines(docs)
         .select(*PLACE, F.explode(F.array(tokens)).alias("tokens"))
         .where(F.size("tokens") > 0)
@@ -134,72 +132,100 @@ def removed_lines(docs: DataFrame) -> DataFrame:
                 F.slice("tokens", F.lit(1), F.size("tokens") - _least(F.size("tokens")) + 1),
                 lambda t: F.hash(t),
             ).alias("prefix"),
-        )
-    )
-    lines = stored(sets, "lines")
-    classes = stored(
-        lines.groupBy("cls", "n").agg(
-            F.min(F.struct(*PLACE)).alias("place"), F.first("prefix").alias("prefix"), F.count("*").alias("copies")
-        ).withColumn("id", F.monotonically_increasing_id()),
-        "classes",
+        ),
+        "lines",
     )
-    # One exchange serves the counts, the choice of leaders and the rows themselves.
+
+
+def _classes(lines: DataFrame) -> DataFrame:
+    """One row per distinct set: its first place and how many lines have it."""
+    first = F.min(F.struct(*PLACE)).alias("place")
+    grouped = lines.groupBy("cls", "n").agg(first, F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
+    return stored(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+
+def _meeting(classes: DataFrame) -> DataFrame:
+    """(id, at, token, first_id): prefix shingles that two or more classes share."""
     prefixes = classes.select("id", F.col("place.doc_id").alias("doc_id"), F.posexplode("prefix").alias("at", "token"))
+    # One exchange serves the counts and the rows themselves.
     prefixes = prefixes.repartition("token")
     shared = prefixes.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("first_id")).where("df > 1")
-    meeting = stored(prefixes.join(shared.select("token", "first_id"), "token"), "meeting")
-    entries = stored(meeting.drop("doc_id").join(classes.select("id", "cls", "n", "place"), "id").drop("id"), "entries")
+    return stored(prefixes.drop("doc_id").join(shared.select("token", "first_id"), "token"), "meeting")
+
+
+def _entries(classes: DataFrame, meeting: DataFrame) -> DataFrame:
+    """Shared prefix shingles with their class and the token's leader, its earliest class."""
+    entries = meeting.join(classes.select("id", "cls", "n", "place"), "id").drop("id")
     leaders = entries.where(F.col("place.doc_id").eqNullSafe(F.col("first_id"))).groupBy("token").agg(
         F.min(F.struct("place", "cls")).alias("leader")
     )
-    entries = entries.join(leaders.select("token", F.col("leader.cls").alias("leader")), "token")
+    return stored(
+        entries.drop("first_id").join(leaders.select("token", F.col("leader.cls").alias("leader")), "token"), "entries"
+    )
+
 
-    # The sets of classes that share a prefix shingle, from the texts again.
+def _sets(docs: DataFrame, entries: DataFrame, ranks: Column) -> DataFrame:
+    """(cls, tokens) of the classes in ``entries``, from the texts again."""
     wanted = entries.select("cls", "place").distinct().select("cls", "place.*")
     by_doc = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line_no", "cls")).alias("wanted"))
     mine = docs.select("key", F.col("doc_id").alias("d"), "text").join(
         by_doc.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("d").eqNullSafe(F.col("doc_id"))
     )
-    found = stored(
-        mine.select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
-        .select("w.cls", F.get("lines", F.col("w.line_no")).alias("line"))
-        .dropDuplicates(["cls"])
-        .select("cls", tokens.alias("tokens")),
-        "sets",
-    )
+    found = mine.select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
+    # Rows equal in doc_id and text give a class twice.
+    found = found.select("w.cls", F.get("lines", F.col("w.line_no")).alias("line")).dropDuplicates(["cls"])
+    return stored(found.select("cls", shingles(F.col("line"), ranks).alias("tokens")), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (cls, other), the classes with a similar partner."""
+    a = sets.select("cls", F.col("tokens").alias("a"))
+    b = sets.select(F.col("cls").alias("other"), F.col("tokens").alias("b"))
+    similar = pairs.join(a, "cls").join(b, "other").where(_similar(F.col("a"), F.col("b")))
+    return stored(similar.select("cls").distinct(), "verified")
+
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (cls, other), the classes with a similar partner."""
-        a = found.select("cls", F.col("tokens").alias("a"))
-        b = found.select(F.col("cls").alias("other"), F.col("tokens").alias("b"))
-        return pairs.join(a, "cls").join(b, "other").where(_similar(F.col("a"), F.col("b"))).select("cls").distinct()
+def _to_leaders(entries: DataFrame) -> DataFrame:
+    return entries.where("cls <> leader").select("cls", F.col("leader").alias("other")).distinct()
 
-    to_leaders = entries.where("cls <> leader").select("cls", F.col("leader").alias("other")).distinct()
-    settled = stored(verified(to_leaders), "settled")
 
-    maps = found.select("cls", *[_bitmap(F.col("tokens"), k).alias(f"m{k}") for k in range(4)])
+def _to_earlier(entries: DataFrame, settled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a class that is not settled and an earlier one that pass all filters."""
+    maps = sets.select("cls", *[_bitmap(F.col("tokens"), k).alias(f"m{k}") for k in range(4)])
     index = entries.select("token", "cls", "place", "n", "at").join(maps, "cls")
+    names = ("cls", "place", "n", "at", "m0", "m1", "m2", "m3")
     later = entries.where("cls <> leader").join(settled, "cls", "left_anti").join(maps, "cls")
-    later = later.select("token", "leader", *[F.col(c).alias(f"q_{c}") for c in ("cls", "place", "n", "at", "m0", "m1", "m2", "m3")])
+    later = later.select("token", "leader", *[F.col(c).alias(f"q_{c}") for c in names])
     need = _overlap(F.col("n"), F.col("q_n"))
     differing = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"q_m{k}"))) for k in range(4)), F.lit(0))
-    pairs = index.join(
+    left = F.least(F.col("n") - F.col("at"), F.col("q_n") - F.col("q_at")) + F.least("at", "q_at")
+    return index.join(
         later,
         (index["token"] == later["token"])
-        & (F.col("place") < F.col("q_place"))
-        & (F.col("cls") != F.col("leader"))
+        & (F.col("place") < F.col("q_place")) & (F.col("cls") != F.col("leader"))
         & (F.col("n") >= _least(F.col("q_n"))) & (F.col("q_n") >= _least(F.col("n")))
-        & (1 + F.least(F.col("n") - F.col("at") - 1, F.col("q_n") - F.col("q_at") - 1) + F.least("at", "q_at") >= need)
-        & (F.col("n") + F.col("q_n") - differing >= 2 * need),
+        & (left >= need) & (F.col("n") + F.col("q_n") - differing >= 2 * need),
     ).select(F.col("q_cls").alias("cls"), F.col("cls").alias("other")).distinct()
-    gone = settled.unionAll(verified(pairs)).withColumn("gone", F.lit(True))
 
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, line_no) of every line that has an earlier match; ``docs``: doc_id, key, text."""
+    docs = docs.withColumn("text", _plain(F.col("text")))
+    ranks = rarity(docs)
+    lines = _line_sets(docs, ranks)
+    classes = _classes(lines)
+    entries = _entries(classes, _meeting(classes))
+    sets = _sets(docs, entries, ranks)
+    settled = _verified(_to_leaders(entries), sets)
+    rest = _verified(_to_earlier(entries, settled, sets), sets)
+    gone = settled.unionAll(rest).withColumn("gone", F.lit(True))
     hit = classes.join(gone, "cls", "left").where("copies > 1 OR gone").select(
         "cls", "place", F.coalesce("gone", F.lit(False)).alias("gone")
     )
-    return (
+    return stored(
         lines.select("cls", F.struct(*PLACE).alias("here")).join(hit, "cls")
-        .where("gone OR here <> place").select("here.*")
+        .where("gone OR here <> place").select("here.*"),
+        "removed",
     )
 
 

@@ -21,8 +21,8 @@ from panelcast.llm.features import Block
 GRAM = 5
 #: Most labelled rows of each class that are read for training (smallest hashes of their ids).
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 4000
-#: A feature is kept if so many toxic training texts have it and it is so many times likelier there.
-LEAST_TEXTS, LEAST_LIFT = 8, 10.0
+#: A feature is kept if this share of the toxic training texts (three at least) has it and it is so many times likelier there.
+LEAST_SHARE, LEAST_LIFT = 0.008, 10.0
 GRADES = 3
 FILTER_BITS = 22
 BLOCK_CHARS = 500_000
@@ -66,7 +66,8 @@ def select(rows: list[Row], toxic: list[bool]) -> np.ndarray:
     if not bad:
         return np.zeros(0, np.uint64)
     keys, n = np.unique(np.concatenate(bad), return_counts=True)
-    keys, n = keys[n >= LEAST_TEXTS], n[n >= LEAST_TEXTS]
+    enough = n >= max(3, LEAST_SHARE * len(bad))
+    keys, n = keys[enough], n[enough]
     seen = np.zeros(len(keys))
     if good and len(keys):
         other = np.concatenate(good)
