@@ -97,7 +97,7 @@ def grade(rows: list[Row], keys: np.ndarray, levels: int = GRADES) -> list[int]:
     return [int(1 + (cuts < x).sum()) if t else 0 for x, t in zip(hits, toxic)]
 
 
-def train(rows: list[Row], keys: np.ndarray, levels: int = GRADES, rounds: int = 400, ridge: float = 1e-3) -> Model:
+def train(rows: list[Row], keys: np.ndarray, levels: int = GRADES, rounds: int = 400, ridge: float = 1e-4) -> Model:
     """Proportional-odds fit by full gradients with momentum scaling (Adam); ``rows`` carry grades.
 
     No rows or no features give a model of base rates (probability 0 where nothing was seen).
