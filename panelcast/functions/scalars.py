@@ -10,9 +10,15 @@ def to_double(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+#: Days outside this calendar (nanosecond timestamps end there) count as no date, so that open-ended
+#: periods cannot grow into thousands of months.
+FIRST_DAY, LAST_DAY = "1677-09-22", "2262-04-11"
+
+
 def to_date(c: Column) -> Column:
-    """Date or NULL for text that is not a date."""
-    return c.try_cast("date")
+    """Date or NULL for text that is not a date of the calendar."""
+    day = c.try_cast("date")
+    return F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), day)
 
 
 def is_finite(c: Column) -> Column:

@@ -37,13 +37,11 @@ def _decompose(df: DataFrame, y: str, condition: str, out: str) -> DataFrame:
     return df.withColumn(out, seasonal_trend(F.expr(f"CASE WHEN {condition} THEN {y} END")))
 
 
-def fill_for_detection(df: DataFrame, y: str, out: str, seasonal: bool = True) -> DataFrame:
+def fill_for_detection(df: DataFrame, y: str, out: str) -> DataFrame:
     """Fill gaps with trend + seasonal when the series is long enough, else linearly."""
     df = df.withColumn("_line", F.expr(f"CASE WHEN {has_gaps(y)} THEN {interpolate(y)} END"))
-    filler = "_line"
-    if seasonal:
-        df = _decompose(df, "_line", f"{_long('_line')} AND NOT {has_gaps('_line')}", "_parts")
-        filler = "coalesce(zip_with(_parts.trend, _parts.seasonal, (t, s) -> t + s), _line)"
+    df = _decompose(df, "_line", f"{_long('_line')} AND NOT {has_gaps('_line')}", "_parts")
+    filler = "coalesce(zip_with(_parts.trend, _parts.seasonal, (t, s) -> t + s), _line)"
     filled = f"CASE WHEN {has_gaps(y)} THEN {fill_from(y, filler)} ELSE {y} END"
     return df.withColumn(out, F.expr(filled)).drop("_line", "_parts")
 
@@ -61,20 +59,15 @@ def seasonally_adjust(df: DataFrame, y: str, out: str) -> DataFrame:
     return df.withColumn(out, F.expr(adjusted)).drop("_parts", "_detrended")
 
 
-def detect_once(
-    df: DataFrame, y: str, missing: str, out: str, seasonal: bool = True
-) -> DataFrame:
+def detect_once(df: DataFrame, y: str, missing: str, out: str) -> DataFrame:
     """Flag residuals outside the fence: adds ``<out>`` (flags) and ``<out>_fence``.
 
     ``missing`` marks originally missing points: they shape neither fence nor flags.
     """
-    df = fill_for_detection(df, y, "_filled", seasonal)
+    df = fill_for_detection(df, y, "_filled")
     varies = f"NOT {has_gaps('_filled')} AND sqrt({var_pop('_filled')}) > {_FLAT}"
     df = df.withColumn("_x", F.expr(f"CASE WHEN {varies} THEN _filled END"))
-    if seasonal:
-        df = seasonally_adjust(df, "_x", "_adjusted")
-    else:
-        df = df.withColumn("_adjusted", F.col("_x"))
+    df = seasonally_adjust(df, "_x", "_adjusted")
     df = df.withColumn("_smooth", F.expr(smooth("_adjusted", SEASON)))
     residual = blank(subtract("_adjusted", "_smooth"), missing)
     df = df.withColumn("_residual", F.expr(residual))
@@ -91,16 +84,15 @@ def any_true(mask: str) -> str:
     return f"exists({mask}, m -> m)"
 
 
-def detect_anomalies(df: DataFrame, y: str, out: str, seasonal: bool = True) -> DataFrame:
+def detect_anomalies(df: DataFrame, y: str, out: str) -> DataFrame:
     """Two passes; the second blanks the first one's hits and runs only where there are any.
 
     Adds ``<out>`` (flags) and ``<out>_fence`` (of the last pass that ran, NULL without one).
     """
     df = df.withColumn("_missing", F.expr(f"transform({y}, v -> v IS NULL)"))
-    df = detect_once(df, y, "_missing", "_first", seasonal)
+    df = detect_once(df, y, "_missing", "_first")
     again = f"CASE WHEN {any_true('_first')} THEN {blank(y, '_first')} END"
-    df = detect_once(df.withColumn("_again", F.expr(again)), "_again", "_missing", "_second",
-                     seasonal)
+    df = detect_once(df.withColumn("_again", F.expr(again)), "_again", "_missing", "_second")
     both = "zip_with(_first, _second, (a, b) -> a OR b)"
     df = (
         df.withColumn(out, F.expr(f"CASE WHEN _again IS NULL THEN _first ELSE {both} END"))
@@ -113,9 +105,7 @@ def detect_anomalies(df: DataFrame, y: str, out: str, seasonal: bool = True) ->
     return settle(df, [out, f"{out}_fence"])
 
 
-def rank_impute(
-    df: DataFrame, y: str, out: str, seasonal: bool = True, structural: bool = True
-) -> DataFrame:
+def rank_impute(df: DataFrame, y: str, out: str) -> DataFrame:
     """Fill gaps with the mean of a linear, a structural and (long series) a seasonal arm.
 
     Series without gaps, or NULL, come back unchanged and never reach Python. Below three known
@@ -123,17 +113,14 @@ def rank_impute(
     """
     enough = f"size({known(y)}) >= 3"
     df = df.withColumn("_line", F.expr(f"CASE WHEN {has_gaps(y)} THEN {interpolate(y)} END"))
-    level, season = "_line", "CAST(NULL AS ARRAY<DOUBLE>)"
-    if structural:
-        df = df.withColumn("_level", structural_level(F.expr(f"CASE WHEN {enough} THEN _line END")))
-        finite = "forall(_level, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('inf'))"
-        level = f"CASE WHEN {finite} THEN _level ELSE _line END"
-    if seasonal:
-        df = _decompose(df, "_line", f"{enough} AND {_long(y)}", "_parts")
-        rest = interpolate(subtract(y, "_parts.seasonal"))
-        df = df.withColumn("_rest", F.expr(f"CASE WHEN _parts IS NOT NULL THEN {rest} END"))
-        whole = "coalesce(zip_with(_rest, _parts.seasonal, (r, s) -> r + s), _line)"
-        season = f"CASE WHEN {_long(y)} THEN {whole} END"
+    df = df.withColumn("_level", structural_level(F.expr(f"CASE WHEN {enough} THEN _line END")))
+    finite = "forall(_level, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('inf'))"
+    level = f"CASE WHEN {finite} THEN _level ELSE _line END"
+    df = _decompose(df, "_line", f"{enough} AND {_long(y)}", "_parts")
+    rest = interpolate(subtract(y, "_parts.seasonal"))
+    df = df.withColumn("_rest", F.expr(f"CASE WHEN _parts IS NOT NULL THEN {rest} END"))
+    whole = "coalesce(zip_with(_rest, _parts.seasonal, (r, s) -> r + s), _line)"
+    season = f"CASE WHEN {_long(y)} THEN {whole} END"
     total = f"zip_with(_line, {level}, (a, b) -> a + b)"
     df = df.withColumns({"_two": F.expr(total), "_third": F.expr(season)})
     combined = """CASE WHEN _third IS NULL THEN transform(_two, v -> v / 2)

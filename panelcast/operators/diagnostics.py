@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import month_text
 from panelcast.operators.strategy import test_rows
+from panelcast.operators.weather import reference_problems
 from panelcast.schemas import DJU_COLUMNS, GAP_WARNING, KEY
 
-NO_FACTORS = "ALL INFLUENCING FACTOR NOT FOUND OR VALUE of INFLUENCING FACTOR IS CONSTANT"
+NO_FACTORS = "no usage factor that varies is available"
 
 
 def _text(*parts) -> Column:
@@ -59,72 +60,72 @@ def series_messages(df: DataFrame) -> DataFrame:
     for k, ref in enumerate(DJU_COLUMNS):
         seen = c("dju_seen")[k]
         messages += [
-            _message(any_dju & ~seen, "error_008", f"no degree-days for reference {ref}"),
+            _message(any_dju & ~seen, "error_008", f"reference {ref} never occurs at the station"),
             _message(
                 seen & (F.size(c("dju_gaps")[k]) > 0),
-                "error_009", f"{ref} has missing DJU data for months ", _list(c("dju_gaps")[k]),
+                "error_009", f"reference {ref} lacks the months ", _list(c("dju_gaps")[k]),
             ),
         ]
     messages += [
-        _message(~any_dju, "error_010", "ALL DJU REFERENCE NOT FOUND FOR STATION ",
+        _message(~any_dju, "error_010", "none of the six references exists for station ",
                  c("weather_station")),
-        _message(~any_dju, "note", "DJU table is empty (no DJU merged)"),
-        _message(repeated > 0, "debug_invoices", repeated, " months have multiple invoice rows"),
-        _message(always, "debug_invoices_agg", "rows ", invoices, "->", invoiced),
+        _message(~any_dju, "note", "the series goes without degree-days"),
+        _message(repeated > 0, "debug_invoices", repeated, " months are billed more than once"),
+        _message(always, "debug_invoices_agg", "monthly rows ", invoices, " merged into ", invoiced),
         _message(F.size("factor_types") == 0, "note_012", NO_FACTORS),
-        _message(always, "debug_model_table", "months_total=", F.size("rows"),
-                 " months_with_value=", F.size(F.filter("rows", lambda r: r.value.isNotNull()))),
-        _message(always, "note_annual_ref", *name, " was used ", n_train,
-                 " months for ANNUAL REFERENCE"),
-        _message(always, "debug_ref_bounds", "start_ref=", c("start_ref"), " end_ref=",
+        _message(always, "debug_model_table", "months: ", F.size("rows"),
+                 ", with a value: ", F.size(F.filter("rows", lambda r: r.value.isNotNull()))),
+        _message(always, "note_annual_ref", *name, ": the annual reference rests on ",
+                 n_train, " months"),
+        _message(always, "debug_ref_bounds", "reference from ", c("start_ref"), " to ",
                  c("end_ref")),
-        _message(n_train > 0, "debug_ref_window", "train month_year range = ",
-                 month_text(F.array_min(c("train.month"))), " -> ",
+        _message(n_train > 0, "debug_ref_window", "training months ",
+                 month_text(F.array_min(c("train.month"))), " to ",
                  month_text(F.array_max(c("train.month")))),
         _message(dup_starts > 0, "debug_duplicates", dup_starts,
-                 " duplicated start dates found in train"),
-        _message(always, "debug_pred_bounds", "start_pred=", c("start_pred"), " end_pred=",
+                 " training rows repeat a start date"),
+        _message(always, "debug_pred_bounds", "prediction from ", c("start_pred"), " to ",
                  c("end_pred")),
-        _message(F.size(test) > 0, "debug_test", "months_in_test=", F.size(test)),
-        _message(F.size(test) == 0, "note", "test is empty for given prediction period"),
-        _message(n_train == 0, "note", "train is empty for given reference period"),
-        _message(n_train == 0, "note_000", *name, ": no reference data"),
+        _message(F.size(test) > 0, "debug_test", "months to predict: ", F.size(test)),
+        _message(F.size(test) == 0, "note", "no month to predict"),
+        _message(n_train == 0, "note", "no training row in the reference period"),
+        _message(n_train == 0, "note_000", *name, ": nothing billed in the reference period"),
         _message((n_train > 0) & (c("n_value") == 0), "note_000", *name,
-                 ": all reference invoice are missing (NA)"),
+                 ": every reference value is missing"),
         _message((c("n_value") > 0) & (c("n_zero") == n_train), "note_000", *name,
-                 ": all reference invoice are null (zero)"),
-        _message(c("status_code") == "note_001", "note_001", *name, ": historical data has only ",
-                 n_train, " OBSERVATIONS"),
-        _message(ready & no_reference, "note", "no usable HDD/CDD found for scoring"),
-        _message(ready & c("best_hdd").isNotNull(), "debug_postprocess_dju", "best_hdd=",
-                 c("best_hdd"), " adjR2=", F.round(F.get("dju_scores", c("hdd_pos")), 3)),
-        _message(ready & c("best_cdd").isNotNull(), "debug_postprocess_dju", "best_cdd=",
-                 c("best_cdd"), " adjR2=", F.round(F.get("dju_scores", c("cdd_pos")), 3)),
+                 ": every reference value is zero"),
+        _message(c("status_code") == "note_001", "note_001", *name, ": too few observations, ",
+                 n_train),
+        _message(ready & no_reference, "note", "no heating or cooling reference could be scored"),
+        _message(ready & c("best_hdd").isNotNull(), "debug_postprocess_dju", "heating ",
+                 c("best_hdd"), ", adjusted R2 ", F.round(F.get("dju_scores", c("hdd_pos")), 3)),
+        _message(ready & c("best_cdd").isNotNull(), "debug_postprocess_dju", "cooling ",
+                 c("best_cdd"), ", adjusted R2 ", F.round(F.get("dju_scores", c("cdd_pos")), 3)),
         _message(ready & (c("gap_ratio") >= GAP_WARNING), "note_003",
-                 "number of MISSING data > 20%, the result is not guaranteed"),
-        _message(ready & (c("n_missing") > 0), "note_004", "number of MISSING data: ",
+                 "more than a fifth of the values is missing, treat results with care"),
+        _message(ready & (c("n_missing") > 0), "note_004", "missing values: ",
                  c("n_missing")),
-        _message(ready & c("raw_wins"), "note", "raw adjR2 > imputed adjR2 -> drop raw NA rows"),
-        _message(ready & (c("n_anomalies") > 0), "note_005", "number of ANOMALIES data: ",
+        _message(ready & c("raw_wins"), "note", "the raw series fits better than the filled one, its gaps are dropped"),
+        _message(ready & (c("n_anomalies") > 0), "note_005", "anomalous values: ",
                  c("n_anomalies")),
         _message(ready & (c("n_anomalies") > 0), "debug_outliers_months",
                  _list(c("anomaly_months"))),
         _message(ready & (c("n_anomalies") > 0), "debug_outliers_iqr",
-                 "low=", F.round("anomaly_fence.low", 2), " high=", F.round("anomaly_fence.high", 2),
-                 " q1=", F.round("anomaly_fence.q1", 2), " q3=", F.round("anomaly_fence.q3", 2)),
-        _message(ready & c("drop_zeros"), "note_006", "reference data WITHOUT ZEROS is selected"),
+                 "fence ", F.round("anomaly_fence.low", 2), " to ", F.round("anomaly_fence.high", 2),
+                 ", quartiles ", F.round("anomaly_fence.q1", 2), " and ", F.round("anomaly_fence.q3", 2)),
+        _message(ready & c("drop_zeros"), "note_006", "months of zero are left out"),
         _message(ready & ~c("drop_zeros"), "note_007",
-                 "reference data WITH CORRECTED ZEROS is selected"),
-        _message(ready, "note_008", c("best_y"), " was selected as the best outcome Y"),
-        _message(ready & c("best_hdd").isNotNull(), "debug_dju_choice", "best_hdd=",
+                 "months of zero stay in"),
+        _message(ready, "note_008", "target: ", c("best_y")),
+        _message(ready & c("best_hdd").isNotNull(), "debug_dju_choice", "heating: ",
                  c("best_hdd")),
-        _message(ready & c("best_cdd").isNotNull(), "debug_dju_choice", "best_cdd=",
+        _message(ready & c("best_cdd").isNotNull(), "debug_dju_choice", "cooling: ",
                  c("best_cdd")),
         _message(regression & (F.size(unpredicted) > 0), "note",
-                 "missing predictors -> predictive_consumption=NA for months ",
+                 "no prediction, as a predictor is missing, in ",
                  _list(unpredicted)),
         _message(ready & ~regression, "note",
-                 "DJU+factors model not usable -> fallback to mean model"),
+                 "no regression possible, the mean is used"),
     ]
     return df.select(*KEY, F.posexplode(F.array_compact(F.array(*messages))).alias("seq", "m")).select(
         *KEY, "seq", "m.code", "m.text"
@@ -132,9 +133,14 @@ def series_messages(df: DataFrame) -> DataFrame:
 
 
 def building_messages(
-    params: DataFrame, building: DataFrame, monthly: DataFrame, sites: DataFrame
+    params: DataFrame, building: DataFrame, monthly: DataFrame, sites: DataFrame,
+    degreedays: DataFrame,
 ) -> DataFrame:
     """Why a requested building yields nothing, or loses rows; such buildings do not fail others."""
+    params = params.groupBy("id_building_primaire").agg(
+        F.count_distinct("start_ref", "end_ref", "start_pred", "end_pred").alias("n_requests"),
+        F.max("start_pred").alias("start_pred"), F.min("end_pred").alias("end_pred"),
+    )
     have = monthly.groupBy("id_building_primaire").agg(
         F.count(F.lit(1)).alias("n_months"),
         F.count_if(F.col("start").isNull()).alias("n_no_start"),
@@ -143,10 +149,15 @@ def building_messages(
         "id_building_primaire", "weather_station", F.lit(True).alias("known")
     )
     factors = sites.select("id_building_primaire", F.size("factor_types").alias("n_factors"))
+    stations = building.select(F.col("weather_station").alias("station_id")).distinct()
+    problems = reference_problems(degreedays.join(stations, "station_id", "left_semi")).select(
+        F.col("station_id").alias("weather_station"), "n_bad_months", "n_ambiguous"
+    )
     joined = (
         params.join(known, "id_building_primaire", "left")
         .join(have, "id_building_primaire", "left")
         .join(factors, "id_building_primaire", "left")
+        .join(problems, "weather_station", "left")
     )
     unknown = F.col("known").isNull()
     messages = [
@@ -159,6 +170,12 @@ def building_messages(
         _message(F.col("n_no_start") > 0, "warning", F.col("n_no_start"),
                  " monthly rows without a start date were dropped"),
         _message(F.col("n_factors") == 0, "note_012", NO_FACTORS),
+        _message(F.col("n_requests") > 1, "error_request", F.col("n_requests"),
+                 " different requests for one building, none was run"),
+        _message(F.col("n_bad_months") > 0, "warning", F.col("n_bad_months"),
+                 " degree-day rows without a usable month were left out"),
+        _message(F.col("n_ambiguous") > 0, "warning", F.col("n_ambiguous"),
+                 " degree-day references have several values in a month, the largest counts"),
     ]
     return joined.select(
         "id_building_primaire", F.inline(F.array_compact(F.array(*messages)))

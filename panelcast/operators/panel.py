@@ -27,6 +27,8 @@ def usable_sites(
     Needs a known building with a station and an ordered prediction window. ``factors`` is a
     factor matrix, or None for models without factors.
     """
+    stations = building.select(F.col("weather_station").alias("station_id")).distinct()
+    degreedays = degreedays.join(stations, "station_id", "left_semi")
     sites = (
         params.where(F.col("start_pred") <= F.col("end_pred"))
         .join(

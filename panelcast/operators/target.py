@@ -53,9 +53,9 @@ def _with_factors(df: DataFrame) -> DataFrame:
     )
 
 
-def impute_target(df: DataFrame, seasonal: bool, structural: bool) -> DataFrame:
+def impute_target(df: DataFrame) -> DataFrame:
     """Fill missing raw values, then drop them again if the raw series scores strictly better."""
-    df = rank_impute(_with_factors(df), "raw", "filled", seasonal, structural)
+    df = rank_impute(_with_factors(df), "raw", "filled")
     df = df.withColumn("refit", F.expr(_refit("raw", has_gaps("raw"))))
     filler = f"CASE WHEN refit IS NULL THEN filled ELSE {fill_from('refit', 'filled')} END"
     df = df.withColumn("imputed", F.expr(fill_from("raw", filler)))
@@ -85,16 +85,14 @@ def impute_target(df: DataFrame, seasonal: bool, structural: bool) -> DataFrame:
     )
 
 
-def build_target(
-    df: DataFrame, impute: bool = True, seasonal: bool = True, structural: bool = True
-) -> DataFrame:
+def build_target(df: DataFrame, impute: bool = True) -> DataFrame:
     """Add ``target`` (array of rows with every stage) and the facts behind each decision.
 
     ``impute=False`` skips the missing-value stage for inputs that cannot have any, as training
     rows of a model table.
     """
     if impute:
-        df = impute_target(df, seasonal, structural)
+        df = impute_target(df)
     else:
         df = df.withColumns(
             {
@@ -104,7 +102,7 @@ def build_target(
                 "raw_wins": F.lit(False),
             }
         )
-    df = detect_anomalies(_with_factors(df), "imputed", "anomaly", seasonal)
+    df = detect_anomalies(_with_factors(df), "imputed", "anomaly")
 
     df = df.withColumns(
         {
@@ -114,7 +112,7 @@ def build_target(
             ),
         }
     )
-    df = rank_impute(df, "blanked", "ranked", seasonal, structural)
+    df = rank_impute(df, "blanked", "ranked")
     df = df.withColumn("refit", F.expr(_refit("ranked", "ranked IS NOT NULL")))
     filler = f"CASE WHEN refit IS NULL THEN ranked ELSE {fill_from('refit', 'ranked')} END"
     corrected = f"CASE WHEN blanked IS NULL THEN raw ELSE {fill_from('blanked', filler)} END"

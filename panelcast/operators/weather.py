@@ -11,18 +11,25 @@ def _reference() -> Column:
     return F.concat("indicator", F.col("basis").cast("string"))
 
 
+def with_month(degreedays: DataFrame) -> DataFrame:
+    """Adds ``month`` (first day), NULL for text that is no month inside the calendar."""
+    return degreedays.withColumn("month", to_date(F.concat("period_month", F.lit("-01"))))
+
+
 def pivot_references(degreedays: DataFrame) -> DataFrame:
     """Long degree-days to ``station_id, month, dju[6], present[6]``.
 
     ``present`` says whether a row exists at all, which differs from a NULL value. A reference
-    occurring twice in a month keeps its largest value; see ``duplicate_references``.
+    occurring twice in a month keeps its largest value; see ``reference_problems``. Rows whose month
+    is no month, or lies outside the calendar, are left out.
     """
     ref = _reference()
+    degreedays = with_month(degreedays).where("month IS NOT NULL")
     aggs = [F.max(F.when(ref == c, F.col("value"))).alias(c) for c in DJU_COLUMNS]
     seen = [F.coalesce(F.bool_or(ref == c), F.lit(False)).alias(f"has_{c}") for c in DJU_COLUMNS]
     return (
         degreedays.where(ref.isin(DJU_COLUMNS))
-        .groupBy("station_id", to_date(F.concat("period_month", F.lit("-01"))).alias("month"))
+        .groupBy("station_id", "month")
         .agg(*aggs, *seen)
         .select(
             "station_id", "month",
@@ -32,12 +39,16 @@ def pivot_references(degreedays: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_references(degreedays: DataFrame) -> DataFrame:
-    """References with several distinct values in one month."""
+def reference_problems(degreedays: DataFrame) -> DataFrame:
+    """Per station: ``n_bad_months`` rows without a usable month, ``n_ambiguous`` references with several values."""
     return (
-        degreedays.groupBy("station_id", "period_month", "indicator", "basis")
-        .agg(F.count_distinct("value").alias("n_values"))
-        .where("n_values > 1")
+        with_month(degreedays).groupBy("station_id", "month", "indicator", "basis")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .groupBy("station_id")
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("month").isNull(), F.col("n"))), F.lit(0)).alias("n_bad_months"),
+            F.count_if(F.col("month").isNotNull() & (F.col("low") < F.col("high"))).alias("n_ambiguous"),
+        )
     )
 
 

@@ -5,8 +5,10 @@ Short names inside the chain: b building, d delivery point, f fluid, m month, s
 v value.
 """
 
-from panelcast.functions.solve import t_975
-from panelcast.plans.queries import NUDGE
+from math import exp, lgamma, log, pi, sqrt
+
+#: Far below the shown digits, so that exact halves round alike whatever the order of a sum.
+NUDGE = {0: 1e-4, 1: 1e-5, 2: 1e-6, 4: 1e-8, 6: 1e-9}
 
 K = "b, d, f"
 NAMED = "b AS id_building_primaire, d AS deliverypoint_id_primaire, f AS fluid"
@@ -17,6 +19,25 @@ SHORT = ("1996-01-01", "1997-12-31", "1998-01-01", "1998-12-31")
 LATE = ("1996-01-01", "1999-12-31", "2001-06-01", "2002-06-30")
 
 
+def t_975(dof: int) -> float:
+    """97.5% quantile of Student's t: Simpson's rule over the density, inverted by Newton's steps."""
+    scale = exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi)
+
+    def density(x: float) -> float:
+        return scale * exp(-(dof + 1) / 2 * log(1 + x * x / dof))
+
+    t = 2.0
+    for _ in range(60):
+        n, h = 4000, t / 4000
+        inner = sum((4 if k % 2 else 2) * density(k * h) for k in range(1, n))
+        area = h / 3 * (density(0.0) + inner + density(t))
+        step = (0.475 - area) / density(t)
+        t += max(-t / 2, min(step, t))
+        if abs(step) < 1e-13 * t:
+            break
+    return t
+
+
 def r(c: str, digits: int = 2) -> str:
     """Rounded like the Spark side; a rounded -0.0 becomes 0.0."""
     shown = f"round({c} + {NUDGE[digits]:.10f}, {digits})"
@@ -284,8 +305,56 @@ def detection(source: str, y: str) -> list[tuple[str, str]]:
     ]
 
 
+def structural() -> list[tuple[str, str]]:
+    """Level of a local linear trend per blanked series of at most two seasons: ``level``.
+
+    The covariance of every grid point is built from closed forms and eliminated in place,
+    next to the data and the two trend columns.
+    """
+    take = "list_transform(s.m, lambda w: w[n + {0}])"
+    low = "least(p, q)"
+    ramp = f"({low} - 1) * {low} * (2 * {low} - 1) / 6.0 + abs(p - q) * {low} * ({low} - 1) / 2.0"
+    return [
+        ("lined", f"""SELECT {K}, list(filled ORDER BY i) AS y, count(*) AS n FROM rank_filled
+            GROUP BY {K} HAVING bool_or(hit) AND count(kept) >= 3"""),
+        ("grid", """SELECT row_number() OVER (ORDER BY ql, qs) AS g, ql, qs
+            FROM (VALUES (0.0), (0.01), (0.1), (1.0), (10.0)) l(ql)
+            CROSS JOIN (VALUES (0.0), (0.001), (0.01), (0.1)) r(qs)"""),
+        ("system", f"""SELECT {K}, n, y, g, list_transform(range(0, n), lambda p: list_concat(
+                list_transform(range(0, n), lambda q: (CASE WHEN p = q THEN 1 ELSE 0 END
+                    + ql * least(p, q) + qs * ({ramp}))::double),
+                [y[p + 1]::double, 1.0::double, p::double])) AS m
+            FROM lined CROSS JOIN grid"""),
+        ("reduced", f"""SELECT {K}, n, y, g, list_reduce(list_concat(
+                [{{'m': m, 'ld': 0.0::double, 'k': 0::bigint}}],
+                list_transform(range(1, n + 1),
+                    lambda k: {{'m': NULL::double[][], 'ld': NULL::double, 'k': k::bigint}})),
+            lambda a, x: {{'m': list_transform(a.m, lambda w, z: CASE WHEN z = x.k
+                    THEN list_transform(w, lambda c: c / w[x.k])
+                    ELSE list_transform(w, lambda c, o: c - w[x.k] * a.m[x.k][o] / a.m[x.k][x.k]) END),
+                'ld': a.ld + ln(a.m[x.k][x.k]), 'k': x.k}}) AS s FROM system"""),
+        ("solved", f"""SELECT *, list_dot_product(t, u) AS b2, list_sum(u) AS b1,
+            list_sum(o) AS a11, list_sum(h) AS a12, list_dot_product(t, h) AS a22 FROM (
+            SELECT {K}, n, y, g, s.ld AS ld, {take.format(1)} AS u, {take.format(2)} AS o,
+            {take.format(3)} AS h, list_transform(range(0, n), lambda p: p::double) AS t FROM reduced)"""),
+        ("weighed", f"""SELECT *, list_transform(range(1, n + 1), lambda p: u[p]
+            - (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) * o[p]
+            - (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) * h[p]) AS e FROM solved"""),
+        ("rated", """SELECT *, row_number() OVER (PARTITION BY b, d, f ORDER BY -((n - 2)
+            * ln(greatest(list_dot_product(y, e), 1e-12 * list_dot_product(y, y)) / (n - 2))
+            + ld + ln(a11 * a22 - a12 * a12)) DESC, g) AS place FROM weighed"""),
+        ("level", f"""SELECT {K}, unnest(range(0, n)) AS i,
+            unnest(list_transform(range(1, n + 1), lambda p: y[p] - e[p])) AS level
+            FROM rated WHERE place = 1"""),
+        ("rank_mean", """SELECT x.* EXCLUDE (filled), CASE WHEN x.hit
+            THEN (x.filled + coalesce(l.level, x.filled)) / 2 ELSE x.filled END AS filled
+            FROM rank_filled x LEFT JOIN level l
+            ON x.b = l.b AND x.d = l.d AND x.f = l.f AND x.i = l.i"""),
+    ]
+
+
 def target() -> list[tuple[str, str]]:
-    """Correction, zero rule and final choice with the linear imputation arm: ``final_rows``."""
+    """Correction, zero rule and final choice for series of at most two seasons: ``final_rows``."""
     same = "x.b = {0}.b AND x.d = {0}.d AND x.f = {0}.f"
     score = """LEFT JOIN {0}_fit {0} ON x.b = {0}.b AND x.d = {0}.d AND x.f = {0}.f"""
     return [
@@ -293,10 +362,11 @@ def target() -> list[tuple[str, str]]:
         ("gapped", f"""SELECT x.*, g.hit, x.i AS pos, CASE WHEN NOT g.hit THEN x.v END AS kept
             FROM chosen x JOIN flags g ON {same.format('g')} AND x.i = g.i"""),
         *filled("rank", "gapped", K, "i", "kept"),
-        *fit("refit", "rank_filled", "filled"),
+        *structural(),
+        *fit("refit", "rank_mean", "filled"),
         ("corrected", f"""SELECT x.*, CASE WHEN x.hit THEN
             coalesce(r.b0 + r.ba * x.xa + r.bb * x.xb, x.filled) ELSE x.v END AS cor
-            FROM rank_filled x LEFT JOIN refit_fit r ON {same.format('r')}"""),
+            FROM rank_mean x LEFT JOIN refit_fit r ON {same.format('r')}"""),
         *fit("imp", "corrected", "v"),
         *fit("imp_nz", "corrected", "v", "v <> 0"),
         *fit("cor", "corrected", "cor"),
@@ -366,6 +436,8 @@ def oracle_sql() -> dict[str, str]:
     sql["series_pairs"] = query(seg, f"SELECT DISTINCT {NAMED} FROM inv "
                                 "WHERE e IS NOT NULL AND (b, d, f) IN (SELECT (b, d, f) FROM monthly)")
     sql["month_spine"] = query(seg, f"SELECT {NAMED}, {month()} FROM spine")
+    sql["horizon_cut"] = query(
+        seg, f"SELECT * FROM (SELECT {NAMED}, {month()} FROM spine) WHERE month_str <= '2000-11'")
     sql["month_spine_midstart"] = query(mid, f"SELECT {NAMED}, {month()} FROM spine")
 
     refs = ", ".join(f"{r(c)} AS {c}" for c in REFS)
@@ -492,7 +564,7 @@ def oracle_sql() -> dict[str, str]:
         {r('cor', 1)} AS invoice_consumption_correction FROM final_rows WHERE hit""")
     sql["outlier_notes"] = query(seg_target, f"""SELECT DISTINCT b AS id_building_primaire, code, text
         FROM (SELECT b, d, f, 'note_005' AS code,
-            concat('number of ANOMALIES data: ', count(*)) AS text
+            concat('anomalous values: ', count(*)) AS text
             FROM corrected WHERE hit GROUP BY {K}
             UNION ALL
             SELECT b, d, f, 'debug_outliers_months',

@@ -442,7 +442,7 @@ def lowess_equispaced(spark, sf_dir):
 
 
 def iqr_fence_query(spark, sf_dir):
-    """Fence of the raw values around their median-free level, per series."""
+    """Fence of the raw values of each series."""
     df = _values(spark, sf_dir, "customer", star.STANDARD_WINDOW)
     fences = settle(df.select(*KEY, F.expr(iqr_fence("y", 3.0)).alias("f")), ["f"])
     return fences.where("f IS NOT NULL").select(
@@ -450,8 +450,8 @@ def iqr_fence_query(spark, sf_dir):
     )
 
 
-def _anomaly_view(df: DataFrame, seasonal: bool) -> DataFrame:
-    flagged = detect_anomalies(df, "y", "anomaly", seasonal)
+def _anomaly_view(df: DataFrame) -> DataFrame:
+    flagged = detect_anomalies(df, "y", "anomaly")
     pairs = "transform(train, (r, i) -> struct(r.month AS month, get(anomaly, i) AS is_anomaly))"
     return unfold(flagged, KEY, pairs).select(
         *KEY, month_text(F.col("month")).alias("month_str"), "is_anomaly"
@@ -459,22 +459,22 @@ def _anomaly_view(df: DataFrame, seasonal: bool) -> DataFrame:
 
 
 def anomalies_short(spark, sf_dir):
-    return _anomaly_view(_values(spark, sf_dir, "segment", star.SHORT_WINDOW), False)
+    return _anomaly_view(_values(spark, sf_dir, "segment", star.SHORT_WINDOW))
 
 
 def customer_anomalies_short(spark, sf_dir):
-    return _anomaly_view(_values(spark, sf_dir, "customer", star.SHORT_WINDOW), False)
+    return _anomaly_view(_values(spark, sf_dir, "customer", star.SHORT_WINDOW))
 
 
 def anomalies_long(spark, sf_dir):
-    return _anomaly_view(_values(spark, sf_dir, "segment", star.STANDARD_WINDOW), True)
+    return _anomaly_view(_values(spark, sf_dir, "segment", star.STANDARD_WINDOW))
 
 
 # --- target, models, reports -------------------------------------------------------------------
 def _short_target(spark, sf_dir, grain):
-    """Targets of series of at most two years with the linear imputation arm alone."""
+    """Targets of series of at most two years."""
     ready = _ready(prepare_series(_series(spark, sf_dir, grain, star.SHORT_WINDOW)))
-    return build_target(ready, impute=False, seasonal=False, structural=False)
+    return build_target(ready, impute=False)
 
 
 def _target_view(df: DataFrame) -> DataFrame:
@@ -505,24 +505,20 @@ def outliers_table_query(spark, sf_dir):
     )
 
 
-def _trained(spark, sf_dir, grain="segment", window=star.STANDARD_WINDOW, **kw):
-    return train_series(_series(spark, sf_dir, grain, window, with_factors=True), **kw)
+def _trained(spark, sf_dir, grain="segment", window=star.STANDARD_WINDOW):
+    return train_series(_series(spark, sf_dir, grain, window, with_factors=True))
 
 
 def outlier_notes(spark, sf_dir):
     """Anomaly counts and months, once per building and text."""
-    fitted = train_series(
-        _series(spark, sf_dir, window=star.SHORT_WINDOW), seasonal=False, structural=False
-    )
+    fitted = train_series(_series(spark, sf_dir, window=star.SHORT_WINDOW))
     return distinct_notes(series_messages(fitted)).select("id_building_primaire", "code", "text")
 
 
 def missing_months_query(spark, sf_dir):
     """Prediction months whose factors or degree-days are missing, to the end of 2002."""
     window = (*star.STANDARD_WINDOW[:2], star.date(2001, 6, 1), star.date(2002, 6, 30))
-    fitted = train_series(
-        _series(spark, sf_dir, window=window), seasonal=False, structural=False
-    )
+    fitted = train_series(_series(spark, sf_dir, window=window))
     return missing_prediction_months(predict(fitted)).select(
         *KEY, F.array_join("missing_months", ",").alias("missing_months")
     )
@@ -543,8 +539,13 @@ def building_metrics_query(spark, sf_dir):
 
 
 def final_predictions(spark, sf_dir):
-    """Full models with factors, seasonal and structural steps: predictions up to 2000-11."""
-    return until_month(predict(_trained(spark, sf_dir)), "2000-11")
+    """Predictions of the full models, all months of the window."""
+    return predict(_trained(spark, sf_dir))
+
+
+def horizon_cut(spark, sf_dir):
+    """The monthly table up to a horizon; the cut is the operator shown here."""
+    return until_month(month_spine_query(spark, sf_dir), "2000-11")
 
 
 def final_model(spark, sf_dir):
@@ -558,7 +559,7 @@ def customer_final_model(spark, sf_dir):
 
 
 def run_messages(spark, sf_dir):
-    return series_messages(_trained(spark, sf_dir, structural=False))
+    return series_messages(_trained(spark, sf_dir))
 
 
 def month_validation(spark, sf_dir):
@@ -605,7 +606,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         customer_dju_scores, dju_best, ols_two_factor, fitted_two_factor, ols_confidence,
         accuracy_query, theil_sen_query, lowess_equispaced, iqr_fence_query, anomalies_short,
         customer_anomalies_short, anomalies_long, y_final, customer_y_final, outliers_table_query,
-        outlier_notes, missing_months_query, building_metrics_query, final_predictions,
+        outlier_notes, missing_months_query, building_metrics_query, final_predictions, horizon_cut,
         final_model, customer_final_model, run_messages, month_validation,
     ]
     return {renamed.get(f.__name__, f.__name__): f for f in listed}

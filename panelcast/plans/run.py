@@ -52,6 +52,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def single_requests(params: DataFrame) -> DataFrame:
+    """Requests of buildings that are asked for once. Equal requests count once; a building with
+    different ones is left out, which its message says.
+    """
+    distinct = params.distinct()
+    several = distinct.groupBy("id_building_primaire").count().where("count > 1")
+    return distinct.join(several, "id_building_primaire", "left_anti")
+
+
 def requested_meters(sources: Sources, params: DataFrame) -> DataFrame:
     ids = params.select("id_building_primaire").distinct()
     return sources.table("deliverypoint").join(ids, "id_building_primaire", "left_semi")
@@ -59,7 +68,12 @@ def requested_meters(sources: Sources, params: DataFrame) -> DataFrame:
 
 def monthly_panel(sources: Sources, params: DataFrame) -> DataFrame:
     """Monthly invoices of the requested buildings."""
-    return building_monthly_invoices(sources.table("invoice"), requested_meters(sources, params))
+    meters = requested_meters(sources, params)
+    # Before any aggregation, so that a request for one building does not shuffle the whole lake.
+    ids = meters.select("deliverypoint_id_primaire").distinct()
+    return building_monthly_invoices(
+        sources.table("invoice").join(ids, "deliverypoint_id_primaire", "left_semi"), meters
+    )
 
 
 def requested_usage(sources: Sources, params: DataFrame) -> DataFrame:
@@ -93,9 +107,7 @@ def prepare_series(series: DataFrame) -> DataFrame:
     return choose_references(decide_strategy(series))
 
 
-def train_series(
-    series: DataFrame, impute: bool = False, seasonal: bool = True, structural: bool = True
-) -> DataFrame:
+def train_series(series: DataFrame) -> DataFrame:
     """Strategy, references, target and fit for every series.
 
     Series that will not be regressed carry empty targets, so no later step works on them.
@@ -105,32 +117,34 @@ def train_series(
     reference = prepared.withColumn("reference", F.col("train")).withColumn(
         "train", F.when(ready, F.col("train")).otherwise(F.slice("train", 1, 0))
     )
-    built = build_target(reference, impute, seasonal, structural)
+    built = build_target(reference, impute=False)
     fitted = fit_series(built.withColumn("train", F.col("reference")).drop("reference"))
     return choose_family(fitted)
 
 
-def run(
-    sources: Sources, params: DataFrame, max_month: str | None = None, structural: bool = True
-) -> Results:
+def run(sources: Sources, params: DataFrame, max_month: str | None = None) -> Results:
     """All outputs for all requests.
 
     The monthly table, the sites and the fitted series are each computed once and checkpointed;
     every output is a projection or a small aggregate of them.
     """
+    requests, params = params, single_requests(params)
     building = site_lookup(sources.table("building"), params)
     monthly = cut_lineage(monthly_panel(sources, params))
     sites = cut_lineage(build_sites(sources, params))
     parts = building_parts(requested_meters(sources, params))
     series = series_table(monthly, sites, parts)
-    fitted = cut_lineage(train_series(series, structural=structural))
+    fitted = cut_lineage(train_series(series))
     models = model_rows(fitted)
     return Results(
         predictions=until_month(predict(fitted), max_month),
         models=models,
         outliers=outliers_table(fitted),
         messages=series_messages(fitted),
-        building_messages=building_messages(params, building, monthly, sites),
+        building_messages=building_messages(
+            requests, site_lookup(sources.table("building"), requests), monthly, sites,
+            sources.table("degreedays"),
+        ),
         building_metrics=building_metrics(models, building),
     )
 

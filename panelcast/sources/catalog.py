@@ -21,7 +21,8 @@ TABLES: dict[str, tuple[str, T.StructType]] = {
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the declared columns: bad values and NaN become NULL, absent columns are NULL.
 
-    Whole-number identifiers keep their type, so that "smallest id" stays numeric.
+    A whole-number invoice id keeps its type, so that "smallest id" stays numeric. All identifiers that
+    tables are joined on become text.
     """
     cols = []
     numbered = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
@@ -32,7 +33,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             c = to_double(F.col(field.name))
         elif isinstance(field.dataType, T.DateType):
             c = to_date(F.col(field.name))
-        elif isinstance(field.dataType, T.StringType) and field.name in numbered:
+        elif field.name == "invoice_id_primaire" and field.name in numbered:
             c = F.col(field.name)
         else:
             c = F.col(field.name).try_cast(field.dataType)

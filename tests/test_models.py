@@ -12,7 +12,7 @@ from panelcast.operators.reports import building_metrics, outliers_table, until_
 from panelcast.operators.strategy import choose_references, decide_strategy
 from panelcast.operators.target import build_target
 from panelcast.operators.usage import monthly_usage, monthly_usage_factors, profile_columns
-from panelcast.operators.weather import degreedays_pivot, duplicate_references, missing_months
+from panelcast.operators.weather import degreedays_pivot, missing_months, reference_problems
 from panelcast.plans.run import build_series, run, run_and_persist
 from panelcast.schemas import DJU_SPECS, MODEL_COLUMNS, PREDICTION_COLUMNS
 from panelcast.sources.catalog import Sources, unknown_buildings
@@ -70,7 +70,7 @@ def test_target_imputes_missing_with_fitted_values(spark):
     base = list(50 + np.random.default_rng(1).normal(0, 1, 20))
     base[4] = base[11] = None
     df, h, values = prepared(spark, base)
-    (r,) = build_target(df, impute=True, structural=True).collect()
+    (r,) = build_target(df, impute=True).collect()
     ok = [i for i, v in enumerate(values) if v is not None]
     fit = np.polyfit(h[ok], [values[i] for i in ok], 1)
     if r.raw_wins:
@@ -84,14 +84,14 @@ def test_zero_rule(spark):
     """Zeros that spoil the fit are dropped; without zeros the rule still reports a drop."""
     base = list(50 + np.random.default_rng(1).normal(0, 1, 24))
     df, _, _ = prepared(spark, base)
-    (clean,) = build_target(df, impute=False, structural=False).collect()
+    (clean,) = build_target(df, impute=False).collect()
     assert clean.drop_zeros and len(clean.target) == 24
     assert clean.best_y == "consumption_imputation"
     base[3] = base[9] = 0
     df, _, _ = prepared(spark, base)
-    (zeros,) = build_target(df, impute=False, structural=False).collect()
+    (zeros,) = build_target(df, impute=False).collect()
     assert zeros.drop_zeros and len(zeros.target) == 22
-    flagged = outliers_table(build_target(df, impute=False, structural=False)).collect()
+    flagged = outliers_table(build_target(df, impute=False)).collect()
     assert all(o.invoice_consumption_imputation != 0 for o in flagged)
 
 
@@ -145,7 +145,7 @@ def test_weather_anchor_and_gaps(spark):
     assert set(rows) == {1, 3} and rows[1].hdd15 == 2.0 and rows[3].hdd15 is None
     gaps = {(r.ref, r.month.month) for r in missing_months(dd, wanted).collect()}
     assert ("hdd10", 2) in gaps and ("hdd15", 3) in gaps and ("hdd10", 1) not in gaps
-    assert duplicate_references(dd).count() == 1
+    assert sum(r.n_ambiguous for r in reference_problems(dd).collect()) == 1
 
 
 def test_usage_constant_and_profile(spark):

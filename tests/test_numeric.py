@@ -108,7 +108,7 @@ def spiky(n, at, size):
 
 def test_anomaly_spikes(spark):
     rows = [spiky(20, 10, 20), spiky(20, 10, 40), spiky(14, 10, 20), [5.0] * 18]
-    out = detect_anomalies(arrays(spark, rows), "y", "hit", seasonal=False).orderBy("id").collect()
+    out = detect_anomalies(arrays(spark, rows), "y", "hit").orderBy("id").collect()
     first = [[i + 1 for i, h in enumerate(r.hit) if h] for r in out]
     assert 10 in first[0] and 10 in first[1]
     assert {9, 10, 11} <= set(first[1])
@@ -137,7 +137,7 @@ def test_long_series_spike_in_a_season(spark):
     line = np.interp(t, t[~first], y[~first])
     season, trend = (v[0] for v in decompose(line[None]))
     expected = first | brute_pass(np.where(first, season + trend, y))
-    (row,) = detect_anomalies(arrays(spark, [y]), "y", "hit", seasonal=True).collect()
+    (row,) = detect_anomalies(arrays(spark, [y]), "y", "hit").collect()
     assert first[30] and row.hit == list(expected)
 
 
