@@ -10,7 +10,7 @@ is itself removed. Lines of fewer than five words are always kept.
 2. Lines with equal sets collapse into one class at their first place, so copies never meet in a join.
 3. A class keeps its prefix, the shingles among which any match must share one. Prefix shingles of one class only
    drop out; each other one has a leader, the earliest class that has it.
-4. Classes are first compared with the leaders of their prefix. Most copies are settled here.
+4. A class is first compared with the leader that most of its prefix has. Most copies are settled here.
 5. Only classes without a match are joined with all earlier classes on the prefix, under length, positional and
    bitmap filters, and verified. Similarity is an existence test, so no group expands into its pairs.
 """
@@ -186,23 +186,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _to_leaders(entries: DataFrame) -> DataFrame:
-    return entries.where("cls <> leader").select("cls", F.col("leader").alias("other")).distinct()
+    """(cls, other): per class the leader that most of its prefix shingles have."""
+    common = entries.where("cls <> leader").groupBy("cls", "leader").agg(F.count("*").alias("n"))
+    return common.groupBy("cls").agg(F.max(F.struct("n", "leader")).alias("m")).select("cls", F.col("m.leader").alias("other"))
 
 
 def _to_earlier(entries: DataFrame, settled: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of a class that is not settled and an earlier one that pass all filters."""
     maps = sets.select("cls", *[_bitmap(F.col("tokens"), k).alias(f"m{k}") for k in range(4)])
-    index = entries.select("token", "cls", "place", "n", "at").join(maps, "cls")
     names = ("cls", "place", "n", "at", "m0", "m1", "m2", "m3")
-    later = entries.where("cls <> leader").join(settled, "cls", "left_anti").join(maps, "cls")
-    later = later.select("token", "leader", *[F.col(c).alias(f"q_{c}") for c in names])
+    open_ = stored(entries.where("cls <> leader").join(settled, "cls", "left_anti").drop("leader").join(maps, "cls"), "open")
+    later = open_.select(F.col("token").alias("q_token"), *[F.col(c).alias(f"q_{c}") for c in names])
+    # Only shingles that an open class has are looked at again.
+    index = entries.drop("leader").join(open_.select("token").distinct(), "token", "left_semi").join(maps, "cls")
     need = _overlap(F.col("n"), F.col("q_n"))
     differing = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"q_m{k}"))) for k in range(4)), F.lit(0))
     left = F.least(F.col("n") - F.col("at"), F.col("q_n") - F.col("q_at")) + F.least("at", "q_at")
     return index.join(
         later,
-        (index["token"] == later["token"])
-        & (F.col("place") < F.col("q_place")) & (F.col("cls") != F.col("leader"))
+        (F.col("token") == F.col("q_token")) & (F.col("place") < F.col("q_place"))
         & (F.col("n") >= _least(F.col("q_n"))) & (F.col("q_n") >= _least(F.col("n")))
         & (left >= need) & (F.col("n") + F.col("q_n") - differing >= 2 * need),
     ).select(F.col("q_cls").alias("cls"), F.col("cls").alias("other")).distinct()
