@@ -432,6 +432,8 @@ def oracle_sql() -> dict[str, str]:
         {r('v')} AS value, date_diff('day', s, e) + 1 AS invoice_duration,
         first_id AS first_invoice_id FROM monthly"""
     sql["monthly_invoices"] = sql["joined_monthly_invoices"] = query(seg, monthly)
+    sql["single_building_run"] = query(
+        seg, f"SELECT * FROM ({monthly}) WHERE id_building_primaire = 'B_1'")
     sql["customer_monthly_invoices"] = query(cust, monthly)
     sql["series_pairs"] = query(seg, f"SELECT DISTINCT {NAMED} FROM inv "
                                 "WHERE e IS NOT NULL AND (b, d, f) IN (SELECT (b, d, f) FROM monthly)")

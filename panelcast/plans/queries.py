@@ -166,6 +166,12 @@ def monthly_invoices_query(spark, sf_dir):
     return _monthly_view(monthly_panel(*_inputs(spark, sf_dir)))
 
 
+def single_building_run(spark, sf_dir):
+    """The monthly table of one requested building: other meters drop out before any aggregation."""
+    sources, params = _inputs(spark, sf_dir)
+    return _monthly_view(monthly_panel(sources, params.where("id_building_primaire = 'B_1'")))
+
+
 def customer_monthly_invoices(spark, sf_dir):
     return _monthly_view(monthly_panel(*_inputs(spark, sf_dir, "customer")))
 
@@ -598,7 +604,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     listed = [
         site_lookup, building_invoices, building_usage, station_degreedays, invoice_dedup,
-        invoice_dedup_removed, invoice_prorata, monthly_invoices_query, customer_monthly_invoices,
+        invoice_dedup_removed, invoice_prorata, monthly_invoices_query, single_building_run,
+        customer_monthly_invoices,
         joined_monthly_invoices, series_pairs, month_spine_query, month_spine_midstart,
         degreedays_pivot_query, degreedays_missing_months, usage_monthly, usage_non_constant,
         usage_wide, factor_profile, usage_interpolated, model_table_query, customer_model_table,

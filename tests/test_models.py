@@ -13,7 +13,7 @@ from panelcast.operators.strategy import choose_references, decide_strategy
 from panelcast.operators.target import build_target
 from panelcast.operators.usage import monthly_usage, monthly_usage_factors, profile_columns
 from panelcast.operators.weather import degreedays_pivot, missing_months, reference_problems
-from panelcast.plans.run import build_series, run, run_and_persist
+from panelcast.plans.run import build_series, monthly_panel, run, run_and_persist
 from panelcast.schemas import DJU_SPECS, MODEL_COLUMNS, PREDICTION_COLUMNS
 from panelcast.sources.catalog import Sources, unknown_buildings
 from panelcast.sources.sinks import MODELS_PATH, PREDICTIONS_PATH, persist_results, validate_months
@@ -280,3 +280,40 @@ def test_input_partitioning_does_not_matter(spark):
                         ("building", "deliverypoint", "degreedays", "usage_data", "invoice")})
     b = build_series(shuffled, requests(spark, "B1")).select("rows").collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_odd_inputs_end_in_messages(spark):
+    """Bad months, numeric meter ids, open-ended dates and contradicting requests neither fail nor merge."""
+    clean = lake(spark)
+    numbers = {"P1": 101, "P2": 102, "P3": 103}
+    number = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    meter = number[F.col("deliverypoint_id_primaire")]
+    known = F.col("deliverypoint_id_primaire").isin(*numbers)
+    dd = clean.table("degreedays")
+    extra = dd.limit(1).withColumn("period_month", F.lit("no month"))
+    twice = dd.where("value > 0").limit(1).withColumn("value", F.col("value") + 1)
+    invoice = clean.table("invoice").where(known).withColumn("deliverypoint_id_primaire", meter)
+    endless = invoice.limit(1).withColumns({"invoice_id_primaire": F.lit("open"), "end": F.to_date(F.lit("9999-12-31"))})
+    sources = Sources({
+        "building": clean.table("building"), "usage_data": clean.table("usage_data"),
+        "degreedays": dd.unionByName(extra).unionByName(twice),
+        "deliverypoint": clean.table("deliverypoint").where(known).withColumn("deliverypoint_id_primaire", meter.cast("string")),
+        "invoice": invoice.unionByName(endless),
+    })
+    other = requests(spark, "B1").withColumn("end_pred", F.to_date(F.lit("2023-06-30")))
+    asked = requests(spark, "B1", "B2", "B2").unionByName(other)
+    results = run(sources, asked)
+    buildings = {r.id_building_primaire for r in results.models.select("id_building_primaire").collect()}
+    assert buildings == {"B2"}
+    assert results.models.groupBy("id_building_primaire", "deliverypoint_id_primaire").count().where("count > 1").count() == 0
+    why = [(r.id_building_primaire, r.code, r.text) for r in results.building_messages.collect()]
+    assert [w[:2] for w in why].count(("B1", "error_request")) == 1 and ("B2", "error_request") not in [w[:2] for w in why]
+    assert any("without a usable month" in t for _, _, t in why) and any("several values" in t for _, _, t in why)
+
+
+def test_invoices_are_restricted_before_any_shuffle_of_them(spark):
+    panel = monthly_panel(lake(spark), requests(spark, "B2"))
+    plan = panel._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi = max(k for k, line in enumerate(plan) if "LeftSemi" in line and "deliverypoint_id_primaire" in line)
+    first_sum = max(k for k, line in enumerate(plan) if "Aggregate" in line and "invoice_id_primaire" in line)
+    assert semi > first_sum  # deeper in the plan, so earlier in the run
