@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import is_finite, month_text
-from panelcast.functions.shape import unfold
+from panelcast.functions.shape import settle, unfold
 from panelcast.functions.solve import ols_solve
 from panelcast.operators.strategy import add_mean_model, test_rows
 from panelcast.schemas import DJU_COLUMNS, KEY, MIN_OBSERVATIONS, NORMAL_95
@@ -46,6 +46,35 @@ def accuracy(df: DataFrame, keys: list[str], y: str, fitted: str, p: int) -> Dat
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
+def _mean(values: Column) -> Column:
+    """Mean of an array without NULLs; NULL for an empty one."""
+    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(values) > 0, total / F.size(values))
+
+
+def accuracy_of_pairs(pairs: Column, p: Column) -> dict[str, Column]:
+    """The measures of ``accuracy_aggregates`` as folds over one array of finite (y, fitted)."""
+    n = F.size(pairs)
+    err = F.transform(pairs, lambda r: r.fitted - r.y)
+    pct = F.transform(
+        F.filter(pairs, lambda r: r.fitted != 0), lambda r: (r.fitted - r.y) / r.fitted * 100
+    )
+    squares = F.transform(err, lambda e: e * e)
+    mean_y = _mean(F.transform(pairs, lambda r: r.y))
+    sst = n * _mean(F.transform(pairs, lambda r: (r.y - mean_y) * (r.y - mean_y)))
+    r2 = F.when((n >= 3) & (sst > 1e-12), 1 - n * _mean(squares) / F.when(sst > 1e-12, sst))
+    spare = F.when(n - p - 1 > 0, n - p - 1)
+    return {
+        "ME": _mean(err),
+        "RMSE": F.sqrt(_mean(squares)),
+        "MAE": _mean(F.transform(err, lambda e: F.abs(e))),
+        "MPE": _mean(pct),
+        "MAPE": _mean(F.transform(pct, lambda e: F.abs(e))),
+        "R2": r2,
+        "adjR2": 1 - (1 - r2) * (n - 1) / spare,
+    }
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -177,25 +206,15 @@ def model_rows(df: DataFrame) -> DataFrame:
         "model_family", "chosen_hdd", "chosen_cdd", "status", "status_code", "b_coefficient",
         "a_hdd", "a_cdd", "coefficients", "monthly_mean", "p",
     ]
-    long = described.select(
-        *KEY, F.struct(*kept).alias("m"),
-        F.inline_outer(F.when(ols, pairs)),
+    # One row per series stays one row: the measures are folds over its own pairs, without a shuffle.
+    finite = F.filter(F.coalesce("pairs", F.array()), lambda r: is_finite(r.y) & is_finite(r.fitted))
+    described = described.withColumn("pairs", F.when(ols, pairs))
+    described = settle(described.withColumn("pairs", finite.cast("array<struct<y:double,fitted:double>>")), ["pairs"])
+    measures = accuracy_of_pairs(F.col("pairs"), F.col("p"))
+    annual = F.when(F.col("model_family") == "mean", 12 * F.col("monthly_mean")).otherwise(
+        12 * _mean(F.transform("pairs", lambda r: r.fitted))
     )
-    aggs = accuracy_aggregates(F.col("y"), F.col("fitted"), F.col("m.p"))
-    annual = F.when(
-        F.col("m.model_family") == "mean", 12 * F.col("m.monthly_mean")
-    ).otherwise(12 * F.col("mean_fitted"))
-    return (
-        long.groupBy(*KEY)
-        .agg(
-            F.first("m").alias("m"),
-            F.avg("fitted").alias("mean_fitted"),
-            *[aggs[a].alias(a) for a in ACCURACY],
-        )
-        .select(
-            *KEY,
-            *[F.col(f"m.{c}").alias(c) for c in kept[:-2]],
-            annual.alias("annual_consumption_reference"),
-            *ACCURACY,
-        )
+    return described.select(
+        *KEY, *kept[:-2], annual.alias("annual_consumption_reference"),
+        *[measures[a].alias(a) for a in ACCURACY],
     )
