@@ -164,7 +164,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = distinct.join(roots, F.col("fp") == F.col("node"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Stored, so that the last join stands alone and a very frequent fingerprint can be split over many tasks.
+    named = stored(
+        distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named"
+    )
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
