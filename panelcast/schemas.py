@@ -8,9 +8,9 @@ PDL_KEY = ["deliverypoint_id_primaire", "fluid"]
 
 # --- fixed values: degree-day references, in evaluation order -------------------------------
 DJU_SPECS = [("hdd", 10), ("hdd", 15), ("hdd", 18), ("cdd", 21), ("cdd", 24), ("cdd", 26)]
-DJU_COLUMNS = ["hdd10", "hdd15", "hdd18", "cdd21", "cdd24", "cdd26"]
-HDD_COLUMNS = ["hdd10", "hdd15", "hdd18"]
-CDD_COLUMNS = ["cdd21", "cdd24", "cdd26"]
+DJU_COLUMNS = [f"{indicator}{basis}" for indicator, basis in DJU_SPECS]
+HDD_COLUMNS = [c for c in DJU_COLUMNS if c.startswith("hdd")]
+CDD_COLUMNS = [c for c in DJU_COLUMNS if c.startswith("cdd")]
 
 # --- fixed values: training status, persisted text and short code ---------------------------
 STATUS_TEXT = {
@@ -28,13 +28,6 @@ GAP_WARNING = 0.2
 NORMAL_95 = 1.96
 MONTH_PATTERN = r"^\d{4}-\d{2}$"
 
-# Non-factor columns of a model table; anything else that is not a degree-day is a factor.
-STANDARD_COLUMNS = [
-    "month_year", "start", "end", "deliverypoint_id_primaire", "deliverypoint_code",
-    "deliverypoint_number", "fluid", "invoice_id_primaire", "invoice_code",
-    "month_year_end_date", "value",
-]
-
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields.items()])
@@ -59,10 +52,15 @@ INVOICE = _struct(
 )
 USAGE = _struct(id_building_primaire=_S, date=_DATE, type=_S, value=_D)
 DEGREEDAYS = _struct(station_id=_S, period_month=_S, indicator=_S, basis=_I, value=_D)
-PARAMS = _struct(
-    id_building_primaire=_S, start_ref=_DATE, end_ref=_DATE, start_pred=_DATE, end_pred=_DATE,
-)
 
+# Non-factor columns of a model table; anything else that is not a degree-day is a factor.
+STANDARD_COLUMNS = [
+    *INVOICE.names,
+    *(c for c in DELIVERYPOINT.names if c not in ("deliverypoint_id_primaire", "id_building_primaire", "fluid_unit")),
+    "month_year", "month_year_end_date",
+]
+
+# --- fixed values: columns of the two persisted tables, in order -----------------------------
 PREDICTION_COLUMNS = [
     "id_building_primaire", "deliverypoint_id_primaire", "fluid", "month_str",
     "real_consumption", "predictive_consumption", "confidence_lower95", "confidence_upper95",
