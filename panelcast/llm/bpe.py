@@ -141,7 +141,6 @@ def encode(
     dropped; rows stand alone, nothing is shuffled. ``path``: ranks file; ``pattern``: pre-token pattern.
     """
     picked = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     id_type = picked.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +151,7 @@ def encode(
                 ids = batch.column(0).slice(done, len(block))
                 done += len(block)
                 packed = pa.array(encode_block(block), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, packed], schema=pa.schema([("doc_id", ids.type), kind.field(1)]))
+                yield pa.RecordBatch.from_arrays([ids, packed], names=["doc_id", "ids"])
 
     return picked.mapInArrow(run, f"doc_id {id_type}, ids binary")
 
