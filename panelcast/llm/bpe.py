@@ -23,7 +23,7 @@ from panelcast.llm.common import blocks
 #: Texts are worked on in blocks of about so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
 #: Known pre-tokens that a worker keeps between blocks.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 720_000
 
 
 @lru_cache(maxsize=4)
