@@ -33,6 +33,10 @@ POPULATION = 4
 GENERATIONS = 12
 #: Bins filled less than this share are opened again and packed across blocks.
 WELL_FILLED = 0.995
+#: A level that leaves more than this share of its pieces in poor bins will not be bettered by another one.
+STALLED = 0.75
+#: Levels that the sign-free bits of a sequence_id can tell apart; the last one keeps all its bins.
+LEVELS = 31
 BLOCK_CHARS = 2_000_000
 CACHE_WORDS = 600_000
 
@@ -218,7 +222,10 @@ def evolve(
 
 
 def _pack_level(items: DataFrame, capacity: int, islands: int) -> DataFrame:
-    """(block, item, bin, offset, load) for ``items`` (block, item, length), items unique per table."""
+    """(block, item, bin, offset, load, emptiest) for ``items`` (block, item, length), items unique per table.
+
+    ``emptiest`` marks the pieces of one bin per block, the one with the least load.
+    """
     dealt = items.select("block", "item", "length", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     elite = "block int, island int, bins int, spread double, place binary"
 
@@ -255,7 +262,8 @@ def _pack_level(items: DataFrame, capacity: int, islands: int) -> DataFrame:
         sums = own.groupby("bin")["length"]
         own["offset"] = sums.cumsum() - own["length"]
         own["load"] = sums.transform("sum")
-        return own[["block", "item", "bin", "offset", "load"]]
+        own["emptiest"] = own["bin"] == own["bin"].iloc[int(own["load"].to_numpy().argmin())]
+        return own[["block", "item", "bin", "offset", "load", "emptiest"]]
 
     first = stored(dealt.groupBy("block", "island").applyInPandas(settle, elite), "elites")
     moved = first.withColumn("island", (F.col("island") + 1) % islands)
@@ -266,7 +274,7 @@ def _pack_level(items: DataFrame, capacity: int, islands: int) -> DataFrame:
         F.min_by("place", F.struct("bins", -F.col("spread"), "island")).alias("place")
     )
     return items.select("block", "item", "length").groupBy("block").cogroup(best.groupBy("block")).applyInPandas(
-        lay_out, "block int, item long, bin int, offset long, load long"
+        lay_out, "block int, item long, bin int, offset long, load long, emptiest boolean"
     )
 
 
@@ -276,7 +284,9 @@ def pack(
     """Adds ``sequence_id`` and ``offset`` (gapless from 0) to every piece (column ``length``, at most ``capacity``).
 
     Full pieces are sequences of their own. Blocks hold about ``block_pieces`` pieces, dealt by row number,
-    so no id or length can make one block large. An empty table gives an empty result.
+    so no id or length can make one block large. Bins that stay poor whatever they are mixed with are sequences too:
+    a level that leaves most of its pieces in such bins keeps them, and only the emptiest of each block is packed
+    again. An empty table gives an empty result.
     """
     table = stored(rows.withColumn("item", F.monotonically_increasing_id()), "pieces")
     columns = [F.col(c) for c in rows.columns]
@@ -287,24 +297,24 @@ def pack(
     done: list[DataFrame] = []
     level = 1
     while True:
-        count = left.count()
+        count, total = left.agg(F.count("*"), F.sum("length")).first()
         if not count:
             break
-        parts = max(1, round(count / block_pieces))
+        # Blocks of tiny pieces still get the tokens of several sequences.
+        parts = max(1, min(round(count / block_pieces), total // (4 * capacity)))
         deal = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(parts)).cast("int")
         placed = stored(_pack_level(left.withColumn("block", deal), capacity, islands), "packed")
-        poor = F.col("load") < WELL_FILLED * capacity if parts > 1 else F.lit(False)
+        last = parts == 1 or level == LEVELS
+        opened = F.lit(False) if last else F.col("load") < WELL_FILLED * capacity
+        # Where poor bins hold most pieces, mixing blocks again gains little: their bins stay, but for the last of each block.
+        if not last and placed.where(opened).count() > STALLED * count:
+            opened = opened & F.col("emptiest")
         number = F.lit(level << 58) + F.col("block").cast("long") * (1 << 26) + F.col("bin")
-        done.append(placed.where(~poor).select("item", number.alias("sequence_id"), "offset"))
-        again = placed.where(poor).select("item")
-        rest = left.join(again, "item", "left_semi")
-        if parts == 1:
+        done.append(placed.where(~opened).select("item", number.alias("sequence_id"), "offset"))
+        if last:
             break
-        # Where poor bins hold most pieces, mixing blocks again gains little: one last round with fewer, larger gaps.
-        left = stored(rest, "left-over")
+        left = stored(left.join(placed.where(opened).select("item"), "item", "left_semi"), "left-over")
         level += 1
-        if level > 30:
-            raise RuntimeError("packing did not settle")
     if not done:
         return full
     placed = done[0]

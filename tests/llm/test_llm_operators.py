@@ -176,6 +176,26 @@ def test_small_blocks_pack_across_blocks(spark):
     assert len({r.sequence_id for r in got}) <= least + 2
 
 
+def test_bins_that_stay_poor_are_kept(spark):
+    rng = random.Random(5)
+    long = [(i, rng.randint(1100, 2000)) for i in range(600)]
+    short = [(i, 1500) for i in range(500)] + [(i, rng.randint(300, 548)) for i in range(500, 600)]
+    tiny = [(i, 1) for i in range(600)]
+    least = (600, 500, 1)
+    for rows, bins in zip((long, short, tiny), least):
+        frame = spark.createDataFrame(rows, "doc_id long, length long")
+        got = packing.pack(frame, block_pieces=200).collect()
+        assert sorted((r.doc_id, r.length) for r in got) == rows
+        at = collections.defaultdict(list)
+        for r in got:
+            at[r.sequence_id].append((r.offset, r.length))
+        for placed in at.values():
+            placed.sort()
+            assert [a for a, _ in placed] == [sum(n for _, n in placed[:k]) for k in range(len(placed))]
+            assert sum(n for _, n in placed) <= packing.CAPACITY
+        assert bins <= len(at) <= bins + 2
+
+
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     body = "<p>" + "x" * 2000
     pages = spark.createDataFrame(
