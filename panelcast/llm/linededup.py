@@ -145,7 +145,9 @@ def _meeting(classes: DataFrame) -> DataFrame:
     prefixes = classes.select("id", F.col("place.doc_id").alias("doc_id"), F.posexplode("prefix").alias("at", "token"))
     # One exchange serves the counts and the rows themselves.
     prefixes = prefixes.repartition("token")
-    shared = prefixes.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("first_id")).where("df > 1")
+    # min skips nulls, but a null doc_id is the first place. A minimum of structs would need a sort.
+    first_id = F.when(F.count("doc_id") == F.count("*"), F.min("doc_id")).alias("first_id")
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("df"), first_id).where("df > 1")
     return stored(prefixes.drop("doc_id").join(shared.select("token", "first_id"), "token"), "meeting")
 
 

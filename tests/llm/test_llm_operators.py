@@ -285,6 +285,19 @@ def test_line_dedup_matches_brute_force(spark, docs, empty):
     assert linededup.deduplicate(empty).count() == 0
 
 
+def test_near_copies_of_a_line_without_doc_id(spark):
+    first = [f"t{i}" for i in range(30)]
+    second = first[:-1] + ["other"]
+    third = [f"u{i}" for i in range(25)]
+    rows = [(None, " ".join(first)), (5, " ".join(second) + "\n" + " ".join(third)), (6, " ".join(third[:-1]) + " end\n" + " ".join(first[1:]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in linededup.deduplicate(frame).collect()}
+    gone = brute_lines(rows)
+    assert gone == {(5, 0), (6, 0), (6, 1)}
+    for doc_id, text in rows:
+        assert got[doc_id].text == "\n".join(x for k, x in enumerate(text.split("\n")) if (doc_id, k) not in gone)
+
+
 def test_spot_signatures(spark, docs, empty):
     found = {(r.doc_id, r.text): r for r in spotsigs.with_next(docs).collect()}
     assert len(spotsigs.with_next(docs).collect()) == len(EDGES)
