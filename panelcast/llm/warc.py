@@ -3,7 +3,9 @@
 Records are written as gzip members by Spark's text writer, so archives may lie in any store Spark can
 write to; between two members stands an empty member, which readers of gzip skip. The reader checks every
 record. After a failed check it searches for the next valid member or version line, goes on there and
-logs the bytes between as quarantined.
+logs the bytes between as quarantined. The same holds for the content of a member: records around a bad one
+are kept. Of a member that does not inflate to its end, or fails its own check, the records are kept whose
+block digest is right (header lines have no digest); of one that is only cut off, all whole records.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ VERSION = b"WARC/1."
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _STEP = 1 << 16
+_CUT = "unfinished member"
 
 
 def member(data: bytes) -> bytes:
@@ -155,33 +158,83 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[Record, int]:
     return found, stop + 4
 
 
-def _unpack(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and the index behind the member."""
+def _unpack(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` inflates to, the index behind the member, and what is wrong with it."""
     opener = zlib.decompressobj(31)
     parts = []
     p = at
     try:
         while not opener.eof:
             if p >= len(data):
-                raise Damaged("unfinished member")
+                return b"".join(parts), p, _CUT
             parts.append(opener.decompress(data[p : p + _STEP]))
             p += _STEP
-    except zlib.error as error:
-        raise Damaged("damaged member") from error
-    return b"".join(parts), min(p, len(data)) - len(opener.unused_data)
+    except zlib.error:
+        opener = zlib.decompressobj(31)
+        parts = [opener.decompress(data[k : k + _STEP]) for k in range(at, p, _STEP)]
+        try:
+            # Byte by byte, as the call that fails gives nothing.
+            for k in range(p, min(p + _STEP, len(data))):
+                parts.append(opener.decompress(data[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), p, "damaged member"
+    return b"".join(parts), min(p, len(data)) - len(opener.unused_data), None
 
 
-def _read_at(data: bytes, at: int) -> tuple[list[Record], int]:
+def _behind(data: bytes, at: int, size: int) -> int:
+    """The index behind the bytes of the member at ``at`` that its first ``size`` bytes of content need."""
+    opener = zlib.decompressobj(31)
+    while size > 0:
+        part = data[at : at + _STEP]
+        size -= len(opener.decompress(part, size))
+        at += len(part) - len(opener.unconsumed_tail)
+    return at
+
+
+def _parse_content(content: bytes, whole: bool) -> tuple[list[Record | tuple[int, int, str]], int]:
+    """Valid records and gaps of a member's content, and the index behind the last record."""
+    found: list[Record | tuple[int, int, str]] = []
+    at = good = 0
+    reason = ""
+    while at < len(content):
+        try:
+            one, stop = _parse(content, at)
+            if not whole and "warc-block-digest" not in one.fields:
+                raise Damaged("no block digest in a damaged member")
+        except Damaged as error:
+            reason = reason or str(error)
+            at = content.find(VERSION, at + 1)
+            if at < 0:
+                break
+            continue
+        if reason:
+            found.append((good, at, reason))
+            reason = ""
+        found.append(one)
+        at = good = stop
+    if reason:
+        found.append((good, len(content), reason))
+    return found, good
+
+
+def _read_at(data: bytes, at: int) -> tuple[list[Record | tuple[int, int, str]], int, str | None]:
+    """Records and gaps at ``at``, the index to go on from, and the reason if a damaged member is left there."""
     if data.startswith(MAGIC, at):
-        content, stop = _unpack(data, at)
-        records, p = [], 0
-        while p < len(content):
-            found, p = _parse(content, p)
-            records.append(found)
-        return records, stop
+        content, stop, fault = _unpack(data, at)
+        found, good = _parse_content(content, fault in (None, _CUT))
+        if not good and (content or fault):
+            raise Damaged(fault or found[0][2])
+        if fault:
+            stop = _behind(data, at, good)
+            if not isinstance(found[-1], Record):
+                found.pop()  # what follows the last record is left for the caller
+        return [
+            x if isinstance(x, Record) else (at, stop, f"{x[2]}, content bytes {x[0]} to {x[1]}") for x in found
+        ], stop, fault
     if data.startswith(VERSION, at):
-        found, stop = _parse(data, at)
-        return [found], stop
+        one, stop = _parse(data, at)
+        return [one], stop, None
     raise Damaged("neither a member nor a version line")
 
 
@@ -189,18 +242,24 @@ _NEXT = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """All valid records in order, and (start, stop, reason) of each gap that was quarantined."""
+    """All valid records in order, and (start, stop, reason) of each gap that was quarantined.
+
+    A gap in a member's content has the place of the member, and its own in the reason.
+    """
     at = 0
     while at < len(data):
         try:
-            records, at = _read_at(data, at)
+            records, at, reason = _read_at(data, at)
             yield from records
-            continue
+            if not reason:
+                continue
+            search = at
         except Damaged as error:
             reason = str(error)
+            search = at + 1
         start = at
         while True:
-            found = _NEXT.search(data, at + 1)
+            found = _NEXT.search(data, search)
             if not found:
                 at = len(data)
                 break
@@ -209,7 +268,7 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
                 _read_at(data, at)
                 break
             except Damaged:
-                continue
+                search = at + 1
         yield start, at, reason
 
 

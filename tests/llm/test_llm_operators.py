@@ -241,6 +241,39 @@ def test_salvage_logs_gaps_and_recovers():
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk")) == [(0, 4, "neither a member nor a version line")]
 
 
+def test_salvage_inside_members():
+    import hashlib
+
+    rng = random.Random(7)
+    texts = [bytes(rng.randrange(32, 127) for _ in range(3000)) for _ in range(60)]
+    parts = [warc.record(k, "u", t, None, hashlib.sha1(t).hexdigest()) for k, t in enumerate(texts)]
+    last = warc.member(warc.record(60, "u", b"last", None, hashlib.sha1(b"last").hexdigest()))
+
+    def good(data):
+        found = list(warc.salvage(data))
+        gaps = [x for x in found if not isinstance(x, warc.Record)]
+        return [warc._number(r.fields["warc-record-id"]) for r in found if isinstance(r, warc.Record)], gaps
+
+    bad = list(parts)
+    for k in (0, 7, 8, 59):
+        bad[k] = bad[k].replace(texts[k][:5], b"#####")
+    whole = warc.member(b"".join(bad))
+    ids, gaps = good(whole + last)
+    assert ids == [k for k in range(61) if k not in (0, 7, 8, 59)]
+    assert len(gaps) == 3 and all(g[:2] == (0, len(whole)) and "wrong block digest" in g[2] for g in gaps)
+    packed = warc.member(b"".join(parts))
+    assert good(packed + last) == (list(range(61)), [])
+    cut = len(packed) // 2
+    ids, gaps = good(packed[:cut])
+    assert ids == list(range(len(ids))) and 25 <= len(ids) <= 30
+    assert len(gaps) == 1 and gaps[0][0] < gaps[0][1] == cut and gaps[0][2] == "unfinished member"
+    broken = packed[:cut] + b"\xff" * 300 + packed[cut + 300 :]
+    ids, gaps = good(broken + last)
+    first = [k for k in ids if k < 30]
+    assert first == list(range(len(first))) and len(first) >= 25 and ids == sorted(set(ids)) and ids[-1] == 60
+    assert gaps and gaps[-1][1:] == (len(packed), "damaged member")
+
+
 def brute_lines(rows):
     """Removed lines of (doc_id, text) rows, by comparing all pairs of lines."""
     sets, gone = [], set()
