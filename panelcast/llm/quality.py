@@ -89,7 +89,8 @@ def training_rows(
     """Features of at most ``limit`` labelled documents.
 
     ``labels`` has doc_id and the label column; rows with a null in either are skipped. The sample is
-    ``limit`` rows at most, so joining it by broadcast is bounded; the executors return counted buckets.
+    ``limit`` rows at most, so joining it by broadcast is bounded; the executors return counted buckets, one row
+    for a doc_id and label however often documents repeats them.
     """
     chosen = (
         labels.select("doc_id", F.col(label_column).cast("int").alias("label"))
@@ -97,7 +98,10 @@ def training_rows(
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(limit)
     )
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
+    # Of rows that share a doc_id the text with the least hash is taken, before features, within each task first.
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("label", "doc_id").agg(
+        F.min(F.struct(F.xxhash64("text"), "text")).alias("least")
+    ).select("label", "least.text", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -138,14 +138,17 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[Row]:
     """Counted features of a bounded sample of labelled texts (``labels``: doc_id, toxic).
 
     Rows with a null in doc_id or toxic are skipped. At most TRAIN_TOXIC + TRAIN_CLEAN rows are chosen, so the
-    broadcast join and what returns to the driver are bounded.
+    broadcast join and what returns to the driver, one row for a doc_id and label, are bounded.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id IS NOT NULL")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("label = 1").orderBy(*order).limit(TRAIN_TOXIC).unionAll(
         known.where("label = 0").orderBy(*order).limit(TRAIN_CLEAN)
     )
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
+    # Of rows that share a doc_id the text with the least hash is taken, before features, within each task first.
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("label", "doc_id").agg(
+        F.min(F.struct(F.xxhash64("text"), "text")).alias("least")
+    ).select("label", "least.text", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -434,6 +434,17 @@ def test_classifiers_without_labels(spark, docs, empty):
     assert toxicity.keep_clean(docs, harmless, 0.3).count() == len(EDGES)
 
 
+def test_repeated_ids_give_one_training_row(spark):
+    rows = [(1, f"copy {i % 3} of the text") for i in range(300)] + [(2, "good text"), (3, None), (3, None), (4, "no label"), (None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 0, 0), (3, 0, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    for train in (lambda d: quality.training_rows(d, labels, "quality"), lambda d: toxicity.training_rows(d, labels)):
+        got = train(frame.repartition(5))
+        again = train(frame.orderBy(F.desc("text")).repartition(2))
+        assert [r[2] for r in got] == [1, 0, 0] == [r[2] for r in again]
+        assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(got, again))
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     docs = corpus(spark)
     columns = docs.columns
