@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import linededup, packing, quality, simhash, toxicity
-from panelcast.llm.common import read
+from panelcast.llm.common import read, stored
 from panelcast.llm.queries import QUALITY_CUT, TOXIC_CUT
 from panelcast.shipping import ship
 
@@ -66,7 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result; each one before is written to the shared folder and read back as the next one's docs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *stages, (_, last) = STAGES
+    for name, stage in stages:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return last(spark, docs, sf_dir)

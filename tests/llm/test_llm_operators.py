@@ -460,3 +460,21 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
             after = sum(len(r.text.split("\n")) for r in docs.collect() if r.text)
             assert after == before - len(expected)
     assert counts[0] > 150 and counts[1] < counts[0] and counts[2] == counts[1] and counts[3] <= counts[2]
+
+
+def test_pipeline_run_stores_every_stage(spark, monkeypatch):
+    seen = []
+
+    def watched(stage):
+        def run(spark, docs, sf_dir):
+            seen.append((docs.inputFiles(), docs.count()))
+            return stage(spark, docs, sf_dir)
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(s)) for n, s in corpus_pipeline.STAGES])
+    placed = corpus_pipeline.run(spark, SF)
+    names = [n.replace(" ", "-") for n, _ in corpus_pipeline.STAGES]
+    assert all("/documents.parquet" in f for f in seen[0][0])
+    for name, (files, _) in zip(names, seen[1:]):
+        assert files and all(f"/{name}-" in f for f in files)
+    assert placed.where("piece = 0").count() == seen[-1][1] > 0
