@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, katz, linededup, packing, quality, rules, simhash, spotsigs, toxicity, warc
+from panelcast.llm import alignment, bpe, katz, linededup, packing, periods, quality, rules, simhash, spotsigs, subwords, toxicity, warc
 from panelcast.llm.common import read, scratch_path
 
 
@@ -123,6 +125,60 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every whole text; digests of the ids and of the decoded text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = subwords.encode(read(spark, sf_dir, "documents", "doc_id", "text"), path)
+    return subwords.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links the tokens of two tokenizers in every whole text and counts their id pairs over all documents."""
+    return alignment.link_counts(
+        read(spark, sf_dir, "documents", "doc_id", "text"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def repeated(doc_id: int | None, words: list) -> list:
+    """The words of every tenth document, from a place on, as repetitions of the first few of them (no id: as they are)."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return [words[i if i < start else start + (i - start) % period] for i in range(n)]
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words (every tenth one edited), the strongest run and digests."""
+    found = periods.detect(read(spark, sf_dir, "documents", "doc_id", "text"), repeated)
+    # runs come by start and period, so the first of equal exponents stays
+    best = F.expr(
+        "aggregate(runs, cast(null AS struct<start: bigint, length: bigint, period: bigint>), (b, r) -> "
+        "if(b IS NULL OR r.length * b.period > b.length * r.period, r, b))"
+    )
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = (
     op1_quality_classifier,
     op2_toxicity,
@@ -134,6 +190,9 @@ QUERIES = (
     op8_byte_bpe,
     op9_packing,
     op10_line_dedup,
+    op11_sentencepiece,
+    op12_alignment,
+    op13_periods,
 )
 
 
