@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import blocks, stored
-from panelcast.llm.subwords import MARK, agenda
+from panelcast.llm.subwords import MARK, library
 
 #: Texts are worked on in blocks of about so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
@@ -45,6 +45,10 @@ class Side:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         raise NotImplementedError
 
+    def spells(self, text: str, ids: np.ndarray) -> bool:
+        """Whether the tokens of a text are the bytes of space + text."""
+        return b"".join(map(self.token.__getitem__, ids.tolist())) == b" " + text.encode()
+
 
 class ByteSide(Side):
     """A byte-level BPE vocabulary of the tokenizers library whose ids are in merge order, encoded through its ranks."""
@@ -68,22 +72,30 @@ class ByteSide(Side):
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self.encoding.encode_ordinary(" " + t), dtype=np.int64) for t in texts]
+        return [self.encoding.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64) for t in texts]
+
+    def spells(self, text: str, ids: np.ndarray) -> bool:
+        # tokens are consecutive stretches of the text, so only what no pattern matches can be missing
+        return int(self.sizes[ids].sum()) == 1 + len(text.encode())
 
 
 class PieceSide(Side):
     """A SentencePiece vocabulary; its prefix stands for the space before the text."""
 
     def __init__(self, path: str):
-        self.agenda = agenda(path)
-        library = self.agenda.library
-        token = [library.id_to_piece(i).replace(MARK, " ").encode() for i in range(library.get_piece_size())]
-        for b, i in enumerate(self.agenda.bytes):
-            token[i] = bytes([b])
-        super().__init__(token)
+        self.library = library(path)
+        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        super().__init__([
+            bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(MARK, " ").encode()
+            for i, p in enumerate(pieces)
+        ])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4").astype(np.int64) for x in self.agenda.encode(texts)]
+        return [np.array(x, dtype=np.int64) for x in self.library.encode(texts, num_threads=1)]
+
+    def spells(self, text: str, ids: np.ndarray) -> bool:
+        # with a piece or bytes for every character the tokens are the normalised text
+        return self.library.normalize(text).replace(MARK, " ") == " " + text
 
 
 @lru_cache(maxsize=2)
@@ -115,10 +127,10 @@ def shared_groups(ends_a: np.ndarray, ends_b: np.ndarray, first: np.ndarray, las
             at[seeking] = np.searchsorted(ends_a, other)
             seeking = seeking[at[seeking] < high[seeking]]
         # Between the middle and the found end (or the range's end) nothing is shared.
+        halves = np.stack((np.ones_like(found), found), axis=1)
         low, high, top = (
-            np.concatenate((low, at[found] + 1)),
-            np.concatenate((middle, high[found])),
-            np.concatenate((np.where(found, at, top), top[found])),
+            np.stack(pair, axis=1)[halves]  # left and right side by side, so that places stay in order
+            for pair in ((low, at + 1), (middle, high), (np.where(found, at, top), top))
         )
     cuts = np.concatenate(leaves) if leaves else np.zeros(0, np.int64)
     cuts.sort()
@@ -155,12 +167,7 @@ def align(texts: list[str], side_a: Side, side_b: Side) -> Aligned:
     """Tokens and groups of texts; an empty text, or one whose tokens do not spell space + text, has none."""
     ids_a, ids_b = side_a.ids(texts), side_b.ids(texts)
     for k, text in enumerate(texts):
-        given = b" " + text.encode()
-        spelled = text and all(
-            b"".join(map(side.token.__getitem__, ids[k].tolist())) == given
-            for side, ids in ((side_a, ids_a), (side_b, ids_b))
-        )
-        if not spelled:
+        if not (text and side_a.spells(text, ids_a[k]) and side_b.spells(text, ids_b[k])):
             ids_a[k] = ids_b[k] = np.zeros(0, np.int64)
     n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
     a, b = (np.concatenate([*ids, np.zeros(0, np.int64)]) for ids in (ids_a, ids_b))
@@ -171,25 +178,34 @@ def align(texts: list[str], side_a: Side, side_b: Side) -> Aligned:
     return Aligned(a, b, np.searchsorted(np.cumsum(n_a), to_a), to_a, to_b, n_a, n_b)
 
 
-def spellings(found: Aligned, names_a: list[str], names_b: list[str]) -> list[str]:
-    """Groups of each text as `a1,a2|b1;a3|b2,b3`. ``names``: each side's ids followed by `,`, then by `|` or `;`."""
-    text = [""] * len(found.n_a)
+def spellings(found: Aligned, names: Names) -> list[bytes]:
+    """Groups of each text as `a1,a2|b1;a3|b2,b3`; no trailing `;`."""
     if not len(found.to_a):
-        return text
-    shift = len(names_a)
+        return [b""] * len(found.n_a)
+    a_ids, b_ids = names.shift
     group_a = np.repeat(np.arange(len(found.to_a)), found.to_a - found.from_a)
     group_b = np.repeat(np.arange(len(found.to_b)), found.to_b - found.from_b)
     place = np.zeros(len(found.a) + len(found.b), dtype=np.int64)
-    a, b = found.a.copy(), found.b + shift
-    a[found.to_a - 1] += shift // 2
-    b[found.to_b - 1] += len(names_b) // 2
+    a, b = found.a.copy(), found.b + 2 * a_ids
+    a[found.to_a - 1] += a_ids
+    b[found.to_b - 1] += b_ids
     place[np.arange(len(a)) + found.from_b[group_a]] = a
     place[np.arange(len(b)) + found.to_a[group_b]] = b
-    get = [*names_a, *names_b].__getitem__
-    ends = np.cumsum(found.n_a + found.n_b)
-    for k, (start, end) in enumerate(zip(ends - found.n_a - found.n_b, ends)):
-        text[k] = "".join(map(get, place[start:end].tolist()))[:-1]
-    return text
+    letters = names.text[place].view(np.uint8)
+    joined = letters[letters != 0].tobytes()
+    tokens = np.cumsum(found.n_a + found.n_b)
+    ends = np.concatenate(([0], np.cumsum(names.sizes[place])))[np.concatenate(([0], tokens))].tolist()
+    return [joined[start : max(start, end - 1)] for start, end in zip(ends, ends[1:])]
+
+
+class Names:
+    """Decimal ids of both sides: A's followed by `,` and again by `|`, then B's followed by `,` and again by `;`."""
+
+    def __init__(self, n_a: int, n_b: int):
+        self.shift = (n_a, n_b)
+        listed = [f"{i}{c}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for c in ends for i in range(n)]
+        self.text = np.array(listed, dtype=np.bytes_)
+        self.sizes = np.array([len(x) for x in listed], dtype=np.int64)
 
 
 def linked_pairs(found: Aligned, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,8 +245,7 @@ def _align_blocks(docs: DataFrame, byte_path: str, pattern: str, piece_path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = sides(byte_path, pattern, piece_path)
         width = len(side_b.token)
-        names_a = [f"{i}{c}" for c in ",|" for i in range(len(side_a.token))]
-        names_b = [f"{i}{c}" for c in ",;" for i in range(width)]
+        names = Names(len(side_a.token), width)
         block_id = TaskContext.get().partitionId() << 32
         for batch in batches:
             done = 0
@@ -242,9 +257,7 @@ def _align_blocks(docs: DataFrame, byte_path: str, pattern: str, piece_path: str
                 pairs, at = np.unique(code, return_inverse=True)
                 links = np.zeros(len(texts), np.int64)
                 np.add.at(links, found.text, found.links)
-                digests = [
-                    hashlib.sha256(x.encode()).hexdigest() if x else "" for x in spellings(found, names_a, names_b)
-                ]
+                digests = [hashlib.sha256(x).hexdigest() if x else "" for x in spellings(found, names)]
                 lists = {
                     "doc_id": ids,
                     "n_a": found.n_a,

@@ -37,11 +37,16 @@ _LEFT = (1 << 32) - 1
 _SYMBOL_BITS = 24
 
 
+@lru_cache(maxsize=2)
+def library(path: str) -> SentencePieceProcessor:
+    return SentencePieceProcessor(model_file=path)
+
+
 class Agenda:
     """Encoder of one model file."""
 
     def __init__(self, path: str):
-        self.library = SentencePieceProcessor(model_file=path)
+        self.library = library(path)
         size = self.library.get_piece_size()
         special = {
             i for i in range(size) if self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i)
@@ -235,7 +240,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode_ids = agenda(path).library.decode
+        decode_ids = library(path).decode
         for batch in batches:
             column = batch.column(at)
             values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()

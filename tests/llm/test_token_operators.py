@@ -158,6 +158,15 @@ def test_alignment_matches_brute_force(spark, docs, monkeypatch):
     assert alignment.link_counts(docs.where("false"), BYTES, public_tokenizers.PATTERN, PIECES).count() == 0
 
 
+def test_short_checks_of_spelling_equal_the_joined_tokens():
+    sides = alignment.sides(BYTES, public_tokenizers.PATTERN, PIECES)
+    texts = [t for t in odd_texts(2000, 8) if t]
+    for side in sides:
+        for text, ids in zip(texts, side.ids(texts)):
+            assert side.spells(text, ids) == alignment.Side.spells(side, text, ids)
+    assert any(not sides[1].spells(t, i) for t, i in zip(texts, sides[1].ids(texts)))
+
+
 def test_wide_groups_give_the_same_pairs(monkeypatch):
     side_a, side_b = alignment.sides(BYTES, public_tokenizers.PATTERN, PIECES)
     found = alignment.align([*odd_texts(300, 5), "梦🙂" * 50], side_a, side_b)
