@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,6 +46,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fitted(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """``fit`` of all ``rows`` as dictionaries, a bounded sample, worked out in one task; the driver gets only the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(taken))], pa.binary())})
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit([])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

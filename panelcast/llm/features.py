@@ -24,19 +24,22 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Code points of several texts, each followed by one space."""
+    """Code points of several texts, each between two spaces of its own.
+
+    A gram may hold white space only as its first or last character, so none reaches from one text into another.
+    """
 
     points: np.ndarray
-    ends: np.ndarray  # index behind the closing space of each text
+    ends: np.ndarray  # index behind the second space of each text
     space: np.ndarray
     prefix: np.ndarray
     back: np.ndarray
 
     @classmethod
     def of(cls, texts: list[str]) -> Block:
-        joined = " ".join([*texts, ""])
+        joined = "".join([f" {t} " for t in texts])
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        ends = np.cumsum(np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts)))
         space = (points == 32) | ((points >= 9) & (points <= 13))
         prefix = np.zeros(len(points) + 1, dtype=np.uint64)
         np.cumsum(points.astype(np.uint64) * powers(_BASE, len(points)), out=prefix[1:])

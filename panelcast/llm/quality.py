@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import blocks, keep_rows
+from panelcast.llm.common import blocks, fitted, keep_rows
 from panelcast.llm.features import Block, repeats
 
 #: Buckets of hashed features; the last one is the repeated-window feature.
@@ -28,7 +28,7 @@ GRAMS = (3, 4, 5)
 REPEAT_WORDS = 3
 #: Most labelled rows that are read for training (smallest hashes of their ids).
 TRAIN_ROWS = 3000
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 250_000
 
 
 def bucketed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -46,16 +46,13 @@ def bucketed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass(frozen=True)
 class Model:
-    vectors: np.ndarray  # buckets x dimensions
-    layer: np.ndarray  # dimensions x 2
-    bias: np.ndarray  # 2
+    """Log-odds of class 1 per unit of each bucket's share, and the constant."""
 
-    def weights(self) -> tuple[np.ndarray, float]:
-        """Log-odds of class 1 per unit of each bucket's share, and the constant."""
-        return self.vectors @ (self.layer[:, 1] - self.layer[:, 0]), float(self.bias[1] - self.bias[0])
+    weights: np.ndarray
+    bias: float
 
 
-def train(
+def descend(
     rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 5, rate: float = 0.5, seed: int = 7
 ) -> Model:
     """Rows are (distinct buckets, counts, label). No rows give a model that scores 0.5."""
@@ -80,17 +77,29 @@ def train(
             bias -= 0.1 * step * wrong
             # Shares are small: a feature's own step is scaled up by the number of distinct features.
             vectors[at] -= (step * np.minimum(share * len(at), 5.0))[:, None] * back
-    return Model(vectors, layer, bias)
+    # Scoring is linear in the average: one number per bucket.
+    weights = vectors @ (layer[:, 1] - layer[:, 0])
+    return Model(weights.astype(np.float32), float(bias[1] - bias[0]))
+
+
+def train(rows: DataFrame) -> Model:
+    """Model of ``training_rows``, trained in one task; the driver receives one number per bucket."""
+
+    def fit(taken: list[dict]) -> Model:
+        taken.sort(key=lambda r: (str(r["doc_id"]), r["label"], r["at"]))
+        return descend([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32), r["label"]) for r in taken])
+
+    return fitted(rows, fit)
 
 
 def training_rows(
     docs: DataFrame, labels: DataFrame, label_column: str, limit: int = TRAIN_ROWS
-) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of at most ``limit`` labelled documents.
+) -> DataFrame:
+    """Counted features (label, doc_id, at, n) of at most ``limit`` labelled documents.
 
     ``labels`` has doc_id and the label column; rows with a null in either are skipped. The sample is
-    ``limit`` rows at most, so joining it by broadcast is bounded; the executors return counted buckets, one row
-    for a doc_id and label however often documents repeats them.
+    ``limit`` rows at most, so joining it by broadcast is bounded; there is one row for a doc_id and label however
+    often documents repeats them.
     """
     chosen = (
         labels.select("doc_id", F.col(label_column).cast("int").alias("label"))
@@ -114,9 +123,7 @@ def training_rows(
                 })
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    found = picked.mapInArrow(run, f"label int, doc_id {kind}, at binary, n binary").collect()
-    found.sort(key=lambda r: (str(r.doc_id), r.label, bytes(r["at"])))
-    return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32), r.label) for r in found]
+    return picked.mapInArrow(run, f"label int, doc_id {kind}, at binary, n binary")
 
 
 def probability(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
@@ -134,8 +141,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no features and get the model's constant. Null ids and repeated rows are
     kept; other columns are dropped. Nothing is shuffled.
     """
-    weights, bias = model.weights()
-    weights = weights.astype(np.float32)
+    weights, bias = model.weights, model.bias
     picked = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +159,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, cut: float) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose ``text`` scores ``cut`` or more."""
-    weights, bias = model.weights()
-    weights = weights.astype(np.float32)
+    weights, bias = model.weights, model.bias
     return keep_rows(docs, lambda texts: probability(texts, weights, bias) >= cut, BLOCK_CHARS)

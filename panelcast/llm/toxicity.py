@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import blocks, keep_rows
+from panelcast.llm.common import blocks, fitted, keep_rows
 from panelcast.llm.features import Block
 
 GRAM = 5
@@ -25,7 +25,7 @@ TRAIN_TOXIC, TRAIN_CLEAN = 1000, 4000
 LEAST_SHARE, LEAST_LIFT = 0.008, 10.0
 GRADES = 3
 FILTER_BITS = 22
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 250_000
 
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -62,17 +62,16 @@ Row = tuple[np.ndarray, np.ndarray, int]  # distinct feature hashes, counts, lab
 def select(rows: list[Row], toxic: list[bool]) -> np.ndarray:
     """Hashes that occur in enough toxic texts and are far likelier there; sorted."""
     bad = [r[0] for r, t in zip(rows, toxic) if t]
-    good = [r[0] for r, t in zip(rows, toxic) if not t]
+    good = [r[0] for r, t in zip(rows, toxic) if not t]  # counted one by one, not copied together
     if not bad:
         return np.zeros(0, np.uint64)
     keys, n = np.unique(np.concatenate(bad), return_counts=True)
     enough = n >= max(3, LEAST_SHARE * len(bad))
     keys, n = keys[enough], n[enough]
     seen = np.zeros(len(keys))
-    if good and len(keys):
-        other = np.concatenate(good)
+    for other in good if len(keys) else ():
         at = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
-        seen = np.bincount(at[keys[at] == other], minlength=len(keys))
+        seen[at[keys[at] == other]] += 1
     lift = (n / len(bad)) / ((seen + 0.5) / (len(good) + 1))
     return keys[lift >= LEAST_LIFT]
 
@@ -134,11 +133,11 @@ def train(rows: list[Row], keys: np.ndarray, levels: int = GRADES, rounds: int =
     return Model(keys, params[: len(keys)], t)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list[Row]:
-    """Counted features of a bounded sample of labelled texts (``labels``: doc_id, toxic).
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counted features (label, doc_id, h, n) of a bounded sample of labelled texts (``labels``: doc_id, toxic).
 
     Rows with a null in doc_id or toxic are skipped. At most TRAIN_TOXIC + TRAIN_CLEAN rows are chosen, so the
-    broadcast join and what returns to the driver, one row for a doc_id and label, are bounded.
+    broadcast join is bounded; there is one row for a doc_id and label.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id IS NOT NULL")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -161,15 +160,19 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[Row]:
                 })
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    found = picked.mapInArrow(run, f"label int, doc_id {kind}, h binary, n binary").collect()
-    found.sort(key=lambda r: (str(r.doc_id), r.label, bytes(r.h)))
-    return [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.n, np.uint16), r.label) for r in found]
+    return picked.mapInArrow(run, f"label int, doc_id {kind}, h binary, n binary")
 
 
-def fit(rows: list[Row]) -> Model:
-    """Selects features, grades the 0/1 labels and fits the ordinal model."""
-    keys = select(rows, [bool(r[2]) for r in rows])
-    return train([(h, n, g) for (h, n, _), g in zip(rows, grade(rows, keys))], keys)
+def fit(rows: DataFrame) -> Model:
+    """Selects features, grades the 0/1 labels and fits the ordinal model, all in one task on the bounded sample."""
+
+    def learn(taken: list[dict]) -> Model:
+        taken.sort(key=lambda r: (str(r["doc_id"]), r["label"], r["h"]))
+        counted = [(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.uint16), r["label"]) for r in taken]
+        keys = select(counted, [bool(r[2]) for r in counted])
+        return train([(h, n, g) for (h, n, _), g in zip(counted, grade(counted, keys))], keys)
+
+    return fitted(rows, learn)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
