@@ -26,6 +26,15 @@ def monthly_usage(usage: DataFrame) -> DataFrame:
     ).agg(F.avg("value").alias("value"))
 
 
+def monthly_from_daily(daily: DataFrame) -> DataFrame:
+    """``monthly_usage`` from the sums and counts of ``daily_usage``."""
+    return (
+        daily.groupBy("id_building_primaire", month_start(F.col("date")).alias("month"), "type")
+        .agg(F.sum("total").alias("total"), F.sum("n_values").alias("n"))
+        .select("id_building_primaire", "month", "type", F.expr("total / nullif(n, 0)").alias("value"))
+    )
+
+
 def _by_type(monthly: DataFrame) -> DataFrame:
     """One row per (building, type) with its months as an array; unusable types are gone.
 
@@ -60,8 +69,8 @@ def monthly_usage_factors(usage: DataFrame) -> DataFrame:
     )
 
 
-def factor_matrix(usage: DataFrame) -> DataFrame:
-    """One row per building: ``factor_types``, ``factor_first`` month and ``factor_values``.
+def factor_matrix(monthly: DataFrame) -> DataFrame:
+    """From monthly means, one row per building: ``factor_types``, ``factor_first`` month and ``factor_values``.
 
     Types are in regressor order (influencing first, then usage, each by name);
     ``factor_values[type][month offset]`` is the monthly mean, NULL where there is none.
@@ -69,7 +78,7 @@ def factor_matrix(usage: DataFrame) -> DataFrame:
     dense = """transform(t, x -> transform(array(map_from_entries(x.entries)), m -> transform(
         sequence(factor_first, factor_last, interval 1 month), d -> try_element_at(m, d)))[0])"""
     return (
-        _by_type(monthly_usage(usage).where(_is_factor()))
+        _by_type(monthly.where(_is_factor()))
         .groupBy("id_building_primaire")
         .agg(
             F.array_sort(

@@ -391,9 +391,35 @@ def target() -> list[tuple[str, str]]:
     ]
 
 
+def gauss_jordan(name: str, source: str, keys: str, xs: list[str]) -> list[tuple[str, str]]:
+    """Coefficients, inverse of X'X and variance per key by plain elimination on the raw normal equations."""
+    p = len(xs) + 1
+    cols = ["1.0", *[f"cast({x} AS double)" for x in xs]]
+    gram = ", ".join("[" + ", ".join(
+        [f"sum({a} * {b})" for b in cols] + [f"{float(i == j)}::double" for j in range(p)]) + "]"
+        for i, a in enumerate(cols))
+    fitted = " + ".join(f"beta[{i + 1}] * {a}" for i, a in enumerate(cols))
+    rest = f"""list_transform(range(1, {2 * p + 1}), lambda j: CASE WHEN i = k THEN a[k][j] / a[k][k]
+        ELSE a[i][j] - a[i][k] * a[k][j] / a[k][k] END)"""
+    moment = ", ".join(f"sum({a} * v)" for a in cols)
+    return [
+        (f"{name}_gram", f"""SELECT {keys}, count(*) AS n, [{gram}] AS a, [{moment}] AS g
+            FROM {source} GROUP BY {keys}"""),
+        (f"{name}_steps", f"""SELECT {keys}, n, g, 1 AS k, a FROM {name}_gram UNION ALL
+            SELECT {keys}, n, g, k + 1, list_transform(range(1, {p + 1}), lambda i: {rest})
+            FROM {name}_steps WHERE k <= {p}"""),
+        (f"{name}_beta", f"""SELECT {keys}, n, list_transform(a, lambda x: x[{p + 1}:{2 * p}]) AS inv,
+            list_transform(a, lambda x: list_dot_product(x[{p + 1}:{2 * p}], g)) AS beta
+            FROM {name}_steps WHERE k = {p + 1}"""),
+        (f"{name}_sse", f"""SELECT {keys}, sum((v - ({fitted})) * (v - ({fitted}))) AS sse
+            FROM {source} JOIN {name}_beta USING ({keys}) GROUP BY {keys}"""),
+    ]
+
+
 def query(ctes: list[tuple[str, str]], select: str) -> str:
     chain = ",\n".join(f"{n} AS ({q})" for n, q in ctes)
-    return f"WITH {chain}\n{select}"
+    steps = "RECURSIVE " if any(f"FROM {n} WHERE" in q for n, q in ctes) else ""
+    return f"WITH {steps}{chain}\n{select}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -503,6 +529,19 @@ def oracle_sql() -> dict[str, str]:
         {r('12 * mean_v')} AS annual_consumption_reference
         FROM panel p JOIN counts c ON p.b = c.b AND p.d = c.d AND p.f = c.f
         WHERE p.is_test AND c.n_train > 0""")
+    chosen = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    sql["quantile_selection"] = " UNION ALL ".join(
+        f"""SELECT {g} AS grp, count(*) AS n, {p}::double AS probability,
+            {r(f'quantile_cont(o_totalprice, {p})', 4)} AS quantile
+            FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""" for g in ("'all'", "c_mktsegment")
+        for p in chosen)
+    factor = "CASE WHEN p.b = 'B_0' THEN 2 ELSE 1 END"
+    run_of = "CASE WHEN p.b = 'B_0' THEN 'second' ELSE 'first' END"
+    sql["persist_roundtrip"] = query(seg + dec, f"""SELECT p.b AS id_building_primaire,
+        p.d AS deliverypoint_id_primaire, p.f AS fluid, {month('p.m')}, {run_of} AS run_id, {run_of} AS model_run,
+        {r(f'{factor} * mean_v')} AS predictive, {r('12 * mean_v')} AS annual
+        FROM panel p JOIN counts c ON p.b = c.b AND p.d = c.d AND p.f = c.f
+        WHERE p.is_test AND c.n_train > 0 AND p.b <> 'B_1'""")
     scores = f"SELECT {NAMED}, ref, {r('adj', 6)} AS adj_r2 FROM scored"
     sql["dju_scores"] = query(seg + dec, scores)
     sql["customer_dju_scores"] = query(cust_short + dec, scores)
@@ -583,6 +622,26 @@ def oracle_sql() -> dict[str, str]:
         {r(f'{total} / nullif(g.occupant, 0)')} AS ratio_kwh_occupant
         FROM fx_building g LEFT JOIN counts c ON c.b = g.b
         GROUP BY g.b, g.surface, g.occupant""")
+    many = [
+        *seg,
+        ("many", """SELECT b, f, v, dur AS days, dayofyear(s) AS day_of_year,
+            12 * (year(s) - 1992) + month(s) AS month_number, dayofweek(s) + 1 AS weekday, id % 11 AS remainder
+            FROM inv WHERE v IS NOT NULL AND dur IS NOT NULL"""),
+        *gauss_jordan("full5", "many", "b, f", ["days", "day_of_year", "month_number", "weekday", "remainder"]),
+        *gauss_jordan("three", "many", "b, f", ["days", "month_number", "weekday"]),
+    ]
+    full = ["intercept", "days", "day_of_year", "month_number", "weekday", "remainder"]
+    # x and 2x share a slope in the ratio 1 : 2, an intercept and a constant of 12 in the ratio 1 : 12.
+    shared = [("intercept", 1, 1 / 145), ("days", 2, 1 / 5), ("twice_days", 2, 2 / 5), ("month_number", 3, 1),
+              ("weekday", 4, 1), ("twelve", 1, 12 / 145)]
+    sides = [(name, "full", "full5", k + 1, 1, 6) for k, name in enumerate(full)]
+    sides += [(name, "dependent", "three", at, share, 4) for name, at, share in shared]
+    sql["ols_many_factors"] = query(many, " UNION ALL ".join(
+        f"""SELECT b AS id_building_primaire, f AS fluid, '{design}' AS design, '{name}' AS term, n, {rank}::bigint AS rank,
+            {r(f'beta[{at}] * {share!r}')} AS beta,
+            {r(f'sqrt(inv[{at}][{at}] * sse / greatest(n - 6, 1)) * {share!r}')} AS std_error,
+            {r('sqrt(sse / greatest(n - 6, 1))', 1)} AS sigma
+            FROM {fit}_beta JOIN {fit}_sse USING (b, f)""" for name, design, fit, at, share, rank in sides))
     text = """CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m')
         WHEN 1 THEN strftime(o_orderdate, '%Y%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d')
         ELSE strftime(o_orderdate, '%m/%Y') END"""

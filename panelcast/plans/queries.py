@@ -4,7 +4,9 @@ Dates are shown as text. Amounts are rounded for display; a nudge far below the
 keeps exact halves from depending on summation order.
 """
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ from panelcast.operators.invoices import (
     prorate_to_months,
 )
 from panelcast.operators.panel import model_table, observed_pairs
-from panelcast.operators.regression import accuracy, choose_family, fit_series, model_rows, predict
+from panelcast.operators.least_squares import fit_groups, terms
+from panelcast.operators.regression import ACCURACY, accuracy, choose_family, fit_series, model_rows, predict
 from panelcast.operators.reports import (
     building_metrics,
     missing_prediction_months,
@@ -32,11 +35,13 @@ from panelcast.operators.reports import (
     target_table,
     until_month,
 )
-from panelcast.operators.strategy import decide_strategy, mean_model, score_table
+from panelcast.operators.selection import quantiles
+from panelcast.operators.strategy import add_mean_model, decide_strategy, mean_model, score_table
 from panelcast.operators.target import build_target
 from panelcast.operators.usage import (
     filter_usage,
     interpolate_long,
+    monthly_from_daily,
     monthly_usage,
     non_constant,
     profile_columns,
@@ -45,9 +50,11 @@ from panelcast.operators.usage import (
 from panelcast.operators.weather import degreedays_pivot, missing_months
 from panelcast.plans.run import (
     build_series,
+    cut_lineage,
     monthly_panel,
     prepare_series,
     requested_usage,
+    shared_folder,
     train_series,
 )
 from panelcast.schemas import DJU_COLUMNS, KEY, MONTH_PATTERN, PDL_KEY, SEASON
@@ -56,7 +63,13 @@ from panelcast.sources.catalog import building_invoices as sourced_invoices
 from panelcast.sources.catalog import building_usage as sourced_usage
 from panelcast.sources.catalog import site_lookup as sourced_sites
 from panelcast.sources.catalog import station_degreedays as sourced_degreedays
-from panelcast.sources.sinks import invalid_months
+from panelcast.sources.sinks import (
+    invalid_months,
+    persist_results,
+    published_models,
+    published_predictions,
+    stage_results,
+)
 
 FACTORS = ["fi_A", "fi_N", "fi_R"]
 NUDGE = {0: 1e-4, 1: 1e-5, 2: 1e-6, 4: 1e-8, 6: 1e-9}
@@ -112,9 +125,8 @@ def building_usage(spark, sf_dir):
     windows = params.select(
         "id_building_primaire", F.col("start_pred").alias("start"), F.col("end_pred").alias("end")
     )
-    rows = sourced_usage(sources.table("usage_data"), windows)
-    return rows.groupBy("id_building_primaire", day("date"), "type").agg(
-        F.count(F.lit(1)).alias("n_rows"), shown(F.sum("value")).alias("total")
+    return sourced_usage(sources, windows).select(
+        "id_building_primaire", day("date"), "type", "n_rows", shown("total").alias("total")
     )
 
 
@@ -243,7 +255,7 @@ def degreedays_missing_months(spark, sf_dir):
 
 def usage_monthly(spark, sf_dir):
     sources, params = _inputs(spark, sf_dir)
-    return monthly_usage(requested_usage(sources, params)).select(
+    return monthly_from_daily(requested_usage(sources, params)).select(
         "id_building_primaire", month_text(F.col("month")).alias("month_str"), "type",
         shown("value", 6).alias("value"),
     )
@@ -251,7 +263,7 @@ def usage_monthly(spark, sf_dir):
 
 def usage_non_constant(spark, sf_dir):
     sources, params = _inputs(spark, sf_dir)
-    kept = non_constant(monthly_usage(requested_usage(sources, params)))
+    kept = non_constant(monthly_from_daily(requested_usage(sources, params)))
     return kept.select(
         "id_building_primaire", month_text(F.col("month")).alias("month_str"), "type",
         shown("value", 6).alias("value"),
@@ -396,6 +408,36 @@ def fitted_two_factor(spark, sf_dir):
     )
 
 
+#: Factors of `ols_many_factors`: five of full rank, and five of which two depend on the others.
+MANY = ["days", "day_of_year", "month_number", "weekday", "remainder"]
+DEPENDENT = ["days", "twice_days", "month_number", "weekday", "twelve"]
+
+
+def ols_many_factors(spark, sf_dir):
+    """Regression of raw invoice values of each building and fluid on five factors, from all their invoices."""
+    start = F.col("start")
+    rows = _raw_invoices(spark, sf_dir).select(
+        "id_building_primaire", "fluid", "value",
+        (F.datediff("end", start) + 1).alias("days"),
+        (2 * (F.datediff("end", start) + 1)).alias("twice_days"),
+        F.dayofyear(start).alias("day_of_year"),
+        (12 * (F.year(start) - 1992) + F.month(start)).alias("month_number"),
+        F.dayofweek(start).alias("weekday"),
+        (F.col("invoice_id_primaire").cast("bigint") % 11).alias("remainder"),
+        F.lit(12.0).alias("twelve"),
+    )
+    keys = ["id_building_primaire", "fluid"]
+    designs = [
+        terms(fit_groups(rows, keys, "value", xs), keys, xs).withColumn("design", F.lit(name))
+        for name, xs in (("full", MANY), ("dependent", DEPENDENT))
+    ]
+    return designs[0].unionByName(designs[1]).select(
+        *keys, "design", "term", count("n").alias("n"), count("rank").alias("rank"),
+        shown("beta").alias("beta"), shown("std_error").alias("std_error"),
+        shown(F.sqrt("sigma2"), 1).alias("sigma"),
+    )
+
+
 def _plain_fit(spark, sf_dir):
     """Regression of the raw value on the two chosen references."""
     ready = _ready(prepare_series(_series(spark, sf_dir)))
@@ -588,6 +630,50 @@ def month_validation(spark, sf_dir):
     )
 
 
+def persist_roundtrip(spark, sf_dir):
+    """What readers see after three runs: one for all buildings, a later one for two of them, of which one has no
+    rows any more, and one that was written but never committed."""
+    series = decide_strategy(_series(spark, sf_dir)).where("n_train > 0")
+    predictions = mean_model(series).withColumn("month_str", month_text(F.col("month")))
+    models = add_mean_model(series).select(
+        *KEY, *[F.lit(None).cast("string").alias(c) for c in ("chosen_hdd", "chosen_cdd")], "status",
+        F.lit("mean").alias("model_family"), F.col("monthly_mean").alias("b_coefficient"),
+        (12 * F.col("monthly_mean")).alias("annual_consumption_reference"),
+        *[F.lit(None).cast("double").alias(c) for c in ("a_hdd", "a_cdd", *ACCURACY)],
+    )
+    predictions, models = cut_lineage(predictions), cut_lineage(models)
+    base = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    asked = star.params(spark, sf_dir)
+    noon = datetime(2020, 1, 1, 12, tzinfo=timezone.utc)
+    persist_results(predictions, models, asked, base, "first", noon)
+    kept = "id_building_primaire = 'B_0'"
+    again = predictions.withColumn("predictive_consumption", 2 * F.col("predictive_consumption")).where(kept)
+    pair = asked.where("id_building_primaire IN ('B_0', 'B_1')")
+    persist_results(again, models.where(kept), pair, base, "second", noon + timedelta(hours=1))
+    stage_results(again, models, asked, base, "third", noon + timedelta(hours=2))
+    described = published_models(spark, base).select(
+        *KEY, F.col("run_id").alias("model_run"), shown("annual_consumption_reference").alias("annual")
+    )
+    return published_predictions(spark, base).join(described, KEY).select(
+        *KEY, "month_str", "run_id", "model_run", shown("predictive_consumption").alias("predictive"), "annual"
+    )
+
+
+def quantile_selection(spark, sf_dir):
+    """Exact quantiles of all order prices as one group, and of each customer segment's orders."""
+    orders = star.read(spark, sf_dir, "orders").join(
+        star.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    )
+    probabilities = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    groups = [
+        quantiles(orders.withColumn("grp", g), ["grp"], "o_totalprice", probabilities, cut_lineage)
+        for g in (F.lit("all"), F.col("c_mktsegment"))
+    ]
+    return groups[0].unionByName(groups[1]).select(
+        "grp", count("n").alias("n"), "probability", shown("quantile", 4).alias("quantile")
+    )
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     renamed = {
         "monthly_invoices_query": "monthly_invoices",
@@ -611,9 +697,11 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         usage_wide, factor_profile, usage_interpolated, model_table_query, customer_model_table,
         train_test_flags, train_decision, customer_train_decision, mean_model_query, dju_scores,
         customer_dju_scores, dju_best, ols_two_factor, fitted_two_factor, ols_confidence,
+        ols_many_factors,
         accuracy_query, theil_sen_query, lowess_equispaced, iqr_fence_query, anomalies_short,
         customer_anomalies_short, anomalies_long, y_final, customer_y_final, outliers_table_query,
         outlier_notes, missing_months_query, building_metrics_query, final_predictions, horizon_cut,
-        final_model, customer_final_model, run_messages, month_validation,
+        final_model, customer_final_model, run_messages, month_validation, persist_roundtrip,
+        quantile_selection,
     ]
     return {renamed.get(f.__name__, f.__name__): f for f in listed}

@@ -3,7 +3,7 @@
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.diagnostics import (
@@ -17,7 +17,7 @@ from panelcast.operators.regression import choose_family, fit_series, model_rows
 from panelcast.operators.reports import building_metrics, outliers_table, until_month
 from panelcast.operators.strategy import choose_references, decide_strategy
 from panelcast.operators.target import build_target
-from panelcast.operators.usage import factor_matrix
+from panelcast.operators.usage import factor_matrix, monthly_from_daily
 from panelcast.sources.catalog import Sources, building_usage, site_lookup
 from panelcast.sources.sinks import persist_results
 
@@ -36,12 +36,12 @@ class Results:
         return distinct_notes(self.messages)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -49,6 +49,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="run-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -77,18 +83,18 @@ def monthly_panel(sources: Sources, params: DataFrame) -> DataFrame:
 
 
 def requested_usage(sources: Sources, params: DataFrame) -> DataFrame:
-    """Usage rows inside the union of each request's two windows."""
+    """Daily usage between the earlier start and the later end of each request's two windows."""
     windows = params.select(
         "id_building_primaire",
         F.least("start_ref", "start_pred").alias("start"),
         F.greatest("end_ref", "end_pred").alias("end"),
     )
-    return building_usage(sources.table("usage_data"), windows)
+    return building_usage(sources, windows)
 
 
 def build_sites(sources: Sources, params: DataFrame, with_factors: bool = True) -> DataFrame:
     """One row per runnable request with its weather and factors."""
-    factors = factor_matrix(requested_usage(sources, params)) if with_factors else None
+    factors = factor_matrix(monthly_from_daily(requested_usage(sources, params))) if with_factors else None
     building = site_lookup(sources.table("building"), params)
     return usable_sites(params, building, sources.table("degreedays"), factors)
 

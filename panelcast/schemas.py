@@ -71,3 +71,14 @@ MODEL_COLUMNS = [
     "model_family", "chosen_hdd", "chosen_cdd", "status", "b_coefficient", "a_hdd", "a_cdd",
     "annual_consumption_reference", "ME", "RMSE", "MAE", "MPE", "MAPE", "R2", "adjR2",
 ]
+
+_TEXT = {
+    "id_building_primaire", "deliverypoint_id_primaire", "fluid", "month_str", "run_id", "model_family",
+    "chosen_hdd", "chosen_cdd", "status",
+}
+PREDICTIONS, MODELS = (
+    _struct(**{c: _S if c in _TEXT else _TS if c == "created_at" else _D for c in columns})
+    for columns in (PREDICTION_COLUMNS, MODEL_COLUMNS)
+)
+RUN_REQUESTS = _struct(id_building_primaire=_S, run_id=_S)
+COMMITS = _struct(run_id=_S, created_at=_TS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast import schemas
-from panelcast.functions.scalars import month_start, to_date, to_double
+from panelcast.functions.scalars import month_start, months_covered, to_date, to_double
 
 TABLES: dict[str, tuple[str, T.StructType]] = {
     "building": ("silver/building/building.parquet", schemas.BUILDING),
@@ -63,6 +63,21 @@ class Sources:
             self._opened[name] = conform(df, TABLES[name][1])
         return self._opened[name]
 
+    def between(self, name: str, column: str, first, last) -> DataFrame:
+        """``table(name)`` with the date ``column`` inside [first, last] (a null bound: no row).
+
+        Where the source has a date column, the bounds are compared with it as it is, so that the scan can skip by them.
+        """
+        if first is None or last is None:
+            return self.table(name).where(F.lit(False))
+        given = self._given[name]
+        df = given() if callable(given) else given
+        kind = df.schema[column].dataType if column in df.columns else None
+        if isinstance(kind, T.DateType):
+            df = df.where(F.col(column).between(F.lit(first), F.lit(last)))
+        conformed = conform(df, TABLES[name][1])
+        return conformed.where(F.col(column).between(F.lit(first), F.lit(last)))
+
     def register_views(self) -> None:
         for name in self._given:
             self.table(name).createOrReplaceTempView(name)
@@ -106,19 +121,46 @@ def building_invoices(
     return invoice.join(meters, "deliverypoint_id_primaire")
 
 
-def building_usage(usage: DataFrame, windows: DataFrame) -> DataFrame:
-    """Usage rows of each requested building inside its inclusive [start, end].
+def window_bounds(windows: DataFrame) -> tuple:
+    """First start and last end of all windows (two values); two nulls without a window."""
+    return tuple(windows.agg(F.min("start"), F.max("end")).first())
+
 
-    ``windows``: id_building_primaire, start, end.
+def daily_usage(usage: DataFrame) -> DataFrame:
+    """Readings reduced to one row per building, date and type: ``n_rows``, ``n_values``, ``total``.
+
+    The reduction starts in the scan's own tasks, so a building with most of the readings is combined before it moves.
     """
-    w = windows.select(
-        "id_building_primaire", F.col("start").alias("w_start"), F.col("end").alias("w_end")
+    return usage.groupBy("id_building_primaire", "date", "type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"), F.sum("value").alias("total")
     )
-    return (
-        usage.join(w, "id_building_primaire")
-        .where(F.col("date").between(F.col("w_start"), F.col("w_end")))
-        .drop("w_start", "w_end")
+
+
+def in_windows(daily: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows of each building inside its inclusive [start, end]; a row stands once per window that holds it.
+
+    ``windows``: id_building_primaire, start, end. The range condition becomes an equal-key join on building and month
+    of the months that a window touches; days are compared only within a month.
+    """
+    months = windows.where("start <= end").select(
+        F.col("id_building_primaire").alias("w_building"), F.col("start").alias("w_start"),
+        F.col("end").alias("w_end"), F.explode(months_covered(F.col("start"), F.col("end"))).alias("w_month"),
     )
+    same_month = (F.col("id_building_primaire") == F.col("w_building")) & (
+        month_start(F.col("date")) == F.col("w_month")
+    )
+    return daily.join(months, same_month & F.col("date").between(F.col("w_start"), F.col("w_end"))).select(daily.columns)
+
+
+def building_usage(sources: Sources, windows: DataFrame) -> DataFrame:
+    """Daily usage (see ``daily_usage``) of each requested building inside its inclusive [start, end].
+
+    The earliest start and the latest end are read first, one row, and bound the dates of the scan.
+    """
+    first, last = window_bounds(windows)
+    ids = windows.select("id_building_primaire").distinct()
+    readings = sources.between("usage_data", "date", first, last)
+    return in_windows(daily_usage(readings.join(ids, "id_building_primaire", "left_semi")), windows)
 
 
 def station_degreedays(degreedays: DataFrame, windows: DataFrame) -> DataFrame:

@@ -1,16 +1,37 @@
-"""Result tables: contract checks and latest-wins replacement per building."""
+"""Result tables: contract checks, atomic publication and latest-wins replacement per building.
+
+A run writes both outputs and the list of its buildings into folders of its own, which no reader looks at yet. Its
+publication is one row in the table of commits. Readers take, for each building, the newest committed run that asked
+for it, so predictions and models change together, a building whose new run has no rows loses its old ones, and a run
+that ends before its commit changes nothing. Folders of a run never change, so a reader that has chosen its runs keeps
+a consistent picture while others are published.
+"""
 
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from panelcast.schemas import MODEL_COLUMNS, MONTH_PATTERN, PREDICTION_COLUMNS
-
+from pyspark.sql import types as T
+
+from panelcast.schemas import (
+    COMMITS,
+    MODEL_COLUMNS,
+    MODELS,
+    MONTH_PATTERN,
+    PREDICTION_COLUMNS,
+    PREDICTIONS,
+    RUN_REQUESTS,
+)
+
+# --- fixed values: where the two results lie below a base folder ------------------------------
 PREDICTIONS_PATH = "silver/resultats/predictions_monthly"
 MODELS_PATH = "silver/resultats/models"
 
+REQUESTS_PATH = "silver/resultats/requests"
+COMMITS_PATH = "silver/resultats/commits"
+
 _GENERATED = {
     "id_building_primaire", "run_id", "created_at", "confidence_lower95", "confidence_upper95",
 }
@@ -34,10 +55,6 @@ def validate_months(df: DataFrame) -> None:
         raise ValueError(f"invalid month_str (expected YYYY-MM), for example: {examples}")
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def stamp(df: DataFrame, run_id: str, created_at: datetime) -> DataFrame:
     return df.withColumns(
         {"run_id": F.lit(run_id), "created_at": F.lit(created_at).cast("timestamp")}
@@ -48,38 +65,77 @@ def new_run() -> tuple[str, datetime]:
     return str(uuid.uuid4()), datetime.now(timezone.utc)
 
 
-def replace_buildings(
-    df: DataFrame, path: str, requested: DataFrame, sort_by: list[str]
-) -> None:
-    """Overwrite exactly the requested buildings below ``path``; others keep their files.
+def _stage(df: DataFrame, path: str, run_id: str, sort_by: list[str]) -> None:
+    """Write a run's rows to its own folder below ``path``, one folder per building.
 
-    Rebalancing splits a building that dominates the output instead of giving it one task.
-    Requested buildings without output lose their old directory.
+    Rebalancing splits a building that dominates the output instead of giving it one task. A run id is used once.
     """
     (
-        df.hint("rebalance", "id_building_primaire")
+        df.drop("run_id")
+        .hint("rebalance", "id_building_primaire")
         .sortWithinPartitions("id_building_primaire", *sort_by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("errorifexists")
         .partitionBy("id_building_primaire")
-        .parquet(path)
+        .parquet(f"{path}/run_id={run_id}")
     )
-    empty = (
-        requested.select("id_building_primaire")
-        .distinct()
-        .join(df.select("id_building_primaire"), "id_building_primaire", "left_anti")
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table below ``path`` with its declared columns; a table that was never written is empty."""
+    try:
+        return spark.read.schema(schema).parquet(path).select(schema.names)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def stage_results(
+    predictions: DataFrame, models: DataFrame, requested: DataFrame, base: str, run_id: str, created_at: datetime
+) -> None:
+    """Check both outputs, then write them and the requested buildings. Nothing is visible before ``commit_run``."""
+    out_predictions = prediction_output(predictions, run_id, created_at)
+    out_models = model_output(models, run_id, created_at)
+    validate_months(out_predictions)
+    order = ["fluid", "deliverypoint_id_primaire"]
+    _stage(out_predictions, f"{base}/{PREDICTIONS_PATH}", run_id, [*order, "month_str"])
+    _stage(out_models, f"{base}/{MODELS_PATH}", run_id, order)
+    asked = requested.select("id_building_primaire").where("id_building_primaire IS NOT NULL").distinct()
+    asked.write.mode("errorifexists").parquet(f"{base}/{REQUESTS_PATH}/run_id={run_id}")
+
+
+def commit_run(spark: SparkSession, base: str, run_id: str, created_at: datetime) -> None:
+    """Publish a staged run: one row, one file, added to the table of commits."""
+    row = spark.createDataFrame([(run_id, created_at)], COMMITS)
+    row.coalesce(1).write.mode("append").parquet(f"{base}/{COMMITS_PATH}")
+
+
+def current_runs(spark: SparkSession, base: str) -> DataFrame:
+    """The run whose results count for each building: the newest committed one (largest run id among equal times)."""
+    requests = _read(spark, f"{base}/{REQUESTS_PATH}", RUN_REQUESTS)
+    return (
+        requests.join(_read(spark, f"{base}/{COMMITS_PATH}", COMMITS), "run_id")
+        .groupBy("id_building_primaire")
+        .agg(F.max(F.struct("created_at", "run_id")).alias("newest"))
+        .select("id_building_primaire", "newest.run_id")
     )
-    for row in empty.toLocalIterator():
-        _drop_partition(df, path, row.id_building_primaire)
 
 
-def _drop_partition(df: DataFrame, path: str, building: str) -> None:
-    """Remove one building's directory on whatever filesystem holds ``path``."""
-    jvm = df.sparkSession.sparkContext._jvm
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    target = jvm.org.apache.hadoop.fs.Path(path, f"id_building_primaire={escape(building)}")
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target.getFileSystem(conf).delete(target, True)
+def superseded_runs(spark: SparkSession, base: str) -> DataFrame:
+    """Committed runs that no building refers to any more; their folders can be removed."""
+    return _read(spark, f"{base}/{COMMITS_PATH}", COMMITS).join(current_runs(spark, base), "run_id", "left_anti")
+
+
+def published_predictions(spark: SparkSession, base: str) -> DataFrame:
+    """Published predictions of every building."""
+    rows = _read(spark, f"{base}/{PREDICTIONS_PATH}", PREDICTIONS)
+    return rows.join(current_runs(spark, base), ["id_building_primaire", "run_id"], "left_semi")
+
+
+def published_models(spark: SparkSession, base: str) -> DataFrame:
+    """Published models of every building."""
+    rows = _read(spark, f"{base}/{MODELS_PATH}", MODELS)
+    return rows.join(current_runs(spark, base), ["id_building_primaire", "run_id"], "left_semi")
 
 
 def prediction_output(df: DataFrame, run_id: str, created_at: datetime) -> DataFrame:
@@ -100,15 +156,9 @@ def persist_results(
     predictions: DataFrame, models: DataFrame, requested: DataFrame, base: str,
     run_id: str | None = None, created_at: datetime | None = None,
 ) -> tuple[str, datetime]:
-    """Check both outputs first, then replace the requested buildings' results."""
+    """Check both outputs, write them, then publish them as the requested buildings' results."""
     fresh_id, now = new_run()
     run_id, created_at = run_id or fresh_id, created_at or now
-    out_predictions = prediction_output(predictions, run_id, created_at)
-    out_models = model_output(models, run_id, created_at)
-    validate_months(out_predictions)
-    order = ["fluid", "deliverypoint_id_primaire"]
-    replace_buildings(
-        out_predictions, f"{base}/{PREDICTIONS_PATH}", requested, [*order, "month_str"]
-    )
-    replace_buildings(out_models, f"{base}/{MODELS_PATH}", requested, order)
+    stage_results(predictions, models, requested, base, run_id, created_at)
+    commit_run(predictions.sparkSession, base, run_id, created_at)
     return run_id, created_at

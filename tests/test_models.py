@@ -16,7 +16,7 @@ from panelcast.operators.weather import degreedays_pivot, missing_months, refere
 from panelcast.plans.run import build_series, monthly_panel, run, run_and_persist
 from panelcast.schemas import DJU_SPECS, MODEL_COLUMNS, PREDICTION_COLUMNS
 from panelcast.sources.catalog import Sources, unknown_buildings
-from panelcast.sources.sinks import MODELS_PATH, PREDICTIONS_PATH, persist_results, validate_months
+from panelcast.sources.sinks import persist_results, published_models, published_predictions, validate_months
 
 KEYS = "id_building_primaire string, deliverypoint_id_primaire string, fluid string"
 ROW = ("struct<month:date,start:date,end:date,value:double,n_invoices:bigint,is_train:boolean,"
@@ -236,18 +236,18 @@ def test_end_to_end(spark, tmp_path):
     assert until_month(results.predictions, "2023-03").count() == 9
     assert results.outlier_notes.count() >= 2
 
-    stored = spark.read.parquet(f"{base}/{PREDICTIONS_PATH}")
+    stored = published_predictions(spark, base)
     assert set(stored.columns) == set(PREDICTION_COLUMNS) and stored.count() == 36
-    assert set(spark.read.parquet(f"{base}/{MODELS_PATH}").columns) == set(MODEL_COLUMNS)
+    assert set(published_models(spark, base).columns) == set(MODEL_COLUMNS)
 
     again, second = run_and_persist(sources, requests(spark, "B2"), base)
     ids = {(r.id_building_primaire, r.run_id) for r in
-           spark.read.parquet(f"{base}/{MODELS_PATH}").collect()}
+           published_models(spark, base).collect()}
     assert ids == {("B1", run_id), ("B2", second)}
 
     empty = again.predictions.where("false"), again.models.where("false")
     persist_results(*empty, requests(spark, "B1"), base)
-    left = spark.read.parquet(f"{base}/{MODELS_PATH}").select("id_building_primaire").distinct()
+    left = published_models(spark, base).select("id_building_primaire").distinct()
     assert [r[0] for r in left.collect()] == ["B2"]
 
 
