@@ -611,6 +611,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT b, d, f, 'debug_outliers_months',
             concat('[', string_agg(strftime(m, '%Y-%m'), ', ' ORDER BY m), ']')
             FROM corrected WHERE hit GROUP BY {K})""")
+    sql["ordered_notes"] = query(
+        [*seg_target, ("said", f"""SELECT b, d, f, 0 AS seq, 'note_005' AS code,
+            concat('anomalous values: ', count(*)) AS text FROM corrected WHERE hit GROUP BY {K}
+            UNION ALL SELECT b, d, f, 1, 'debug_outliers_months',
+            concat('[', string_agg(strftime(m, '%Y-%m'), ', ' ORDER BY m), ']') FROM corrected WHERE hit GROUP BY {K}""")],
+        """SELECT b AS id_building_primaire, row_number() OVER (PARTITION BY b ORDER BY first) AS ordinal, code, text
+        FROM (SELECT b, code, text, min(struct_pack(d := d, f := f, s := seq)) AS first FROM said GROUP BY 1, 2, 3)""")
+    sql["usage_gapfill_long"] = query(
+        [("readings", """SELECT o_orderkey, 1 AS k, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos,
+            CASE WHEN (o_orderkey // 30) % 3 = 1 OR o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS value
+            FROM orders"""), *filled("long", "readings", "k", "pos", "value")],
+        f"SELECT o_orderkey AS reading, {r('value')} AS value, {r('filled')} AS filled FROM long_filled")
     sql["missing_prediction_months"] = query(
         [*late, *dec], f"""SELECT {NAMED}, string_agg(strftime(m, '%Y-%m'), ',' ORDER BY m)
             AS missing_months FROM chosen_all WHERE is_test AND (xa IS NULL OR xb IS NULL)

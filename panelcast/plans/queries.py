@@ -25,6 +25,7 @@ from panelcast.operators.invoices import (
     prepare_invoices,
     prorate_to_months,
 )
+from panelcast.operators.ordered import fill_gaps, positions
 from panelcast.operators.panel import model_table, observed_pairs
 from panelcast.operators.least_squares import fit_groups, terms
 from panelcast.operators.regression import ACCURACY, accuracy, choose_family, fit_series, model_rows, predict
@@ -674,6 +675,26 @@ def quantile_selection(spark, sf_dir):
     )
 
 
+def ordered_notes(spark, sf_dir):
+    """Outlier notes of each building, once per text, numbered by first appearance over its series."""
+    fitted = train_series(_series(spark, sf_dir, window=star.SHORT_WINDOW))
+    notes = distinct_notes(series_messages(fitted))
+    order = ["deliverypoint_id_primaire", "fluid", "seq"]
+    numbered = positions(notes, ["id_building_primaire"], order, "ordinal", cut_lineage)
+    return numbered.select("id_building_primaire", count("ordinal").alias("ordinal"), "code", "text")
+
+
+def usage_gapfill_long(spark, sf_dir):
+    """All orders as the readings of one meter, a third of them unknown in stretches of up to 30: one long series."""
+    key = F.col("o_orderkey")
+    unknown = (F.floor(key / 30) % 3 == 1) | (key % 17 == 0)
+    readings = star.read(spark, sf_dir, "orders").select(
+        F.lit("meter").alias("meter"), "o_orderdate", "o_orderkey", F.when(~unknown, F.col("o_totalprice")).alias("value")
+    )
+    filled = fill_gaps(readings, ["meter"], ["o_orderdate", "o_orderkey"], "value", cut_lineage)
+    return filled.select(key.alias("reading"), shown("value").alias("value"), shown("value_filled").alias("filled"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     renamed = {
         "monthly_invoices_query": "monthly_invoices",
@@ -702,6 +723,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         customer_anomalies_short, anomalies_long, y_final, customer_y_final, outliers_table_query,
         outlier_notes, missing_months_query, building_metrics_query, final_predictions, horizon_cut,
         final_model, customer_final_model, run_messages, month_validation, persist_roundtrip,
-        quantile_selection,
+        quantile_selection, ordered_notes, usage_gapfill_long,
     ]
     return {renamed.get(f.__name__, f.__name__): f for f in listed}
