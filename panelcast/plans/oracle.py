@@ -623,6 +623,13 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN (o_orderkey // 30) % 3 = 1 OR o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS value
             FROM orders"""), *filled("long", "readings", "k", "pos", "value")],
         f"SELECT o_orderkey AS reading, {r('value')} AS value, {r('filled')} AS filled FROM long_filled")
+    flagged = [("start", "bad_value", "o_orderkey % 23 = 0"), ("end", "out_of_calendar", "o_orderkey % 31 = 0 OR o_orderkey % 37 = 0"),
+               ("end", "bad_value", "o_orderkey % 41 = 0 AND o_orderkey % 31 <> 0 AND o_orderkey % 37 <> 0"),
+               ("value", "bad_value", "o_orderkey % 13 = 0"), ("value", "nan", "o_orderkey % 17 = 0 AND o_orderkey % 13 <> 0"),
+               ("value", "infinity", "o_orderkey % 19 = 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0")]
+    sql["input_problems"] = "SELECT * FROM (" + " UNION ALL ".join(
+        f"""SELECT 'invoice' AS "table", '{c}' AS "column", '{problem}' AS problem,
+            count(*) FILTER (WHERE {where}) AS n_rows FROM orders""" for c, problem, where in flagged) + ") WHERE n_rows > 0"
     sql["missing_prediction_months"] = query(
         [*late, *dec], f"""SELECT {NAMED}, string_agg(strftime(m, '%Y-%m'), ',' ORDER BY m)
             AS missing_months FROM chosen_all WHERE is_test AND (xa IS NULL OR xb IS NULL)

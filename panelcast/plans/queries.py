@@ -58,10 +58,11 @@ from panelcast.plans.run import (
     shared_folder,
     train_series,
 )
-from panelcast.schemas import DJU_COLUMNS, KEY, MONTH_PATTERN, PDL_KEY, SEASON
+from panelcast.schemas import DJU_COLUMNS, INVOICE, KEY, MONTH_PATTERN, PDL_KEY, SEASON
 from panelcast.sources import star_views as star
 from panelcast.sources.catalog import building_invoices as sourced_invoices
 from panelcast.sources.catalog import building_usage as sourced_usage
+from panelcast.sources.catalog import input_problems
 from panelcast.sources.catalog import site_lookup as sourced_sites
 from panelcast.sources.catalog import station_degreedays as sourced_degreedays
 from panelcast.sources.sinks import (
@@ -695,6 +696,23 @@ def usage_gapfill_long(spark, sf_dir):
     return filled.select(key.alias("reading"), shown("value").alias("value"), shown("value_filled").alias("filled"))
 
 
+def input_problems_query(spark, sf_dir):
+    """What is wrong with an invoice table whose dates and values are text, some of it unreadable."""
+    okey = F.col("o_orderkey")
+    start = F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = star.read(spark, sf_dir, "orders").select(
+        okey.alias("invoice_id_primaire"),
+        F.concat(F.lit("PDL_"), F.col("o_custkey").cast("string")).alias("deliverypoint_id_primaire"),
+        F.when(okey % 23 == 0, F.lit("soon")).when(okey % 29 == 0, F.lit(None)).otherwise(start).alias("start"),
+        F.when(okey % 31 == 0, F.lit("9999-12-31")).when(okey % 37 == 0, F.lit("1500-01-01"))
+        .when(okey % 41 == 0, F.lit("1996-02-30")).otherwise(start).alias("end"),
+        F.when(okey % 13 == 0, F.lit("n/a")).when(okey % 17 == 0, F.lit("NaN")).when(okey % 19 == 0, F.lit("-Infinity"))
+        .otherwise(F.col("o_totalprice").cast("string")).alias("value"),
+    )
+    found = input_problems(raw, INVOICE, "invoice")
+    return found.select("table", "column", "problem", count("n_rows").alias("n_rows"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     renamed = {
         "monthly_invoices_query": "monthly_invoices",
@@ -708,6 +726,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "outliers_table_query": "outliers_table",
         "missing_months_query": "missing_prediction_months",
         "building_metrics_query": "building_metrics",
+        "input_problems_query": "input_problems",
     }
     listed = [
         site_lookup, building_invoices, building_usage, station_degreedays, invoice_dedup,
@@ -723,6 +742,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         customer_anomalies_short, anomalies_long, y_final, customer_y_final, outliers_table_query,
         outlier_notes, missing_months_query, building_metrics_query, final_predictions, horizon_cut,
         final_model, customer_final_model, run_messages, month_validation, persist_roundtrip,
-        quantile_selection, ordered_notes, usage_gapfill_long,
+        quantile_selection, ordered_notes, usage_gapfill_long, input_problems_query,
     ]
     return {renamed.get(f.__name__, f.__name__): f for f in listed}

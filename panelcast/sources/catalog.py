@@ -1,8 +1,9 @@
 """Input tables and the four lookups on them, for any number of buildings at once."""
 
+import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,26 +42,84 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
+def problem_flags(df: DataFrame, schema: T.StructType) -> dict[tuple[str, str], Column]:
+    """Per (column, problem) whether a row's raw value is lost or odd after ``conform``.
+
+    ``bad_value``: a value that does not read as the column's type; ``nan``; ``infinity`` (kept as it is); for dates
+    ``out_of_calendar``. Nulls and absent columns are no problem.
+    """
+    flags = {}
+    for field in schema.fields:
+        if field.name not in df.columns:
+            continue
+        raw = F.col(field.name)
+        read = raw.try_cast(field.dataType)
+        if isinstance(field.dataType, T.StringType):
+            continue  # everything reads as text
+        flags[field.name, "bad_value"] = raw.isNotNull() & read.isNull()
+        if isinstance(field.dataType, T.DoubleType):
+            flags[field.name, "nan"] = F.isnan(read)
+            flags[field.name, "infinity"] = F.abs(read) == F.lit(float("inf"))
+        elif isinstance(field.dataType, T.DateType):
+            flags[field.name, "out_of_calendar"] = read.isNotNull() & to_date(raw).isNull()
+    return flags
+
+
+def input_problems(df: DataFrame, schema: T.StructType, table: str) -> DataFrame:
+    """``table``, ``column``, ``problem`` and ``n_rows`` of every problem that occurs; one aggregation of one scan."""
+    flags = problem_flags(df, schema)
+    if not flags:
+        return df.sparkSession.createDataFrame([], "table string, column string, problem string, n_rows bigint")
+    counts = df.agg(*[F.count_if(flag).alias(f"p{k}") for k, flag in enumerate(flags.values())])
+    listed = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(problem).alias("problem"), F.col(f"p{k}").alias("n_rows"))
+        for k, (c, problem) in enumerate(flags)
+    ])
+    return counts.select(F.lit(table).alias("table"), F.inline(listed)).where("n_rows > 0")
+
+
 class Sources:
-    """The five input tables as conformed DataFrames, each opened on first use."""
+    """The five input tables as conformed DataFrames, each opened on first use.
+
+    With ``count_problems`` every table counts its rejected values while it is read for something else; see
+    ``problems``.
+    """
 
-    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], count_problems: bool = False):
         self._given = dict(tables)
         self._opened: dict[str, DataFrame] = {}
+        self._observed: dict[str, tuple[Observation, list[tuple[str, str]]]] = {}
+        self._count_problems = count_problems
+
+    def _raw(self, name: str) -> DataFrame:
+        given = self._given[name]
+        df = given() if callable(given) else given
+        flags = problem_flags(df, TABLES[name][1]) if self._count_problems else {}
+        if not flags:
+            return df
+        watch = Observation(f"{name}-{uuid.uuid4().hex}")
+        self._observed[name] = watch, list(flags)
+        return df.observe(watch, *[F.count_if(flag).alias(f"p{k}") for k, flag in enumerate(flags.values())])
+
+    def problems(self) -> dict[str, dict[tuple[str, str], int]]:
+        """Per table that an action has read, the (column, problem) counts above zero of its first reading."""
+        found = {}
+        for name, (watch, listed) in self._observed.items():
+            counts = watch.get
+            found[name] = {key: n for k, key in enumerate(listed) if (n := counts.get(f"p{k}"))}
+        return found
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, base: str) -> "Sources":
+    def from_parquet(cls, spark: SparkSession, base: str, count_problems: bool = False) -> "Sources":
         """Read the fixed relative paths below ``base`` (any filesystem Spark can reach)."""
         def reader(path: str):
             return lambda: spark.read.parquet(f"{base}/{path}")
 
-        return cls({n: reader(path) for n, (path, _) in TABLES.items()})
+        return cls({n: reader(path) for n, (path, _) in TABLES.items()}, count_problems)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._opened:
-            given = self._given[name]
-            df = given() if callable(given) else given
-            self._opened[name] = conform(df, TABLES[name][1])
+            self._opened[name] = conform(self._raw(name), TABLES[name][1])
         return self._opened[name]
 
     def between(self, name: str, column: str, first, last) -> DataFrame:
@@ -70,10 +129,9 @@ class Sources:
         """
         if first is None or last is None:
             return self.table(name).where(F.lit(False))
-        given = self._given[name]
-        df = given() if callable(given) else given
+        df = self._raw(name)
         kind = df.schema[column].dataType if column in df.columns else None
-        if isinstance(kind, T.DateType):
+        if isinstance(kind, T.DateType) and not self._count_problems:  # counting needs all rows
             df = df.where(F.col(column).between(F.lit(first), F.lit(last)))
         conformed = conform(df, TABLES[name][1])
         return conformed.where(F.col(column).between(F.lit(first), F.lit(last)))

@@ -10,9 +10,9 @@ from panelcast.operators.least_squares import fit_groups, terms
 from panelcast.operators.selection import iqr_bounds, quantiles, rank_values
 from panelcast.operators.usage import monthly_from_daily, monthly_usage
 from panelcast.plans.run import cut_lineage
-from panelcast.schemas import MODELS, PREDICTIONS
+from panelcast.schemas import MODELS, PREDICTIONS, USAGE
 from panelcast.sources import sinks
-from panelcast.sources.catalog import Sources, building_usage, daily_usage, in_windows
+from panelcast.sources.catalog import Sources, building_usage, daily_usage, in_windows, input_problems
 
 XS = [f"x{i}" for i in range(5)]
 
@@ -188,3 +188,22 @@ def test_selection_equals_numpy(spark):
     q1, q3 = np.quantile(groups["normal"], [0.25, 0.75])
     assert np.isclose(fences["normal"].high, q3 + 1.5 * (q3 - q1)) and "one" not in fences
     assert quantiles(df.where("false"), ["g"], "v", p, cut_lineage).count() == 0
+
+
+def test_rejected_values_are_counted_while_reading(spark):
+    usage = spark.createDataFrame(
+        [("B", "2020-01-01", "u", "1.5"), ("B", "later", "u", "x"), ("B", "9999-12-31", "u", "NaN"), ("B", None, "u", None),
+         ("B", "2020-01-02", "u", "Infinity"), ("B", "1500-01-01", "u", "2")],
+        "id_building_primaire string, date string, type string, value string",
+    )
+    sources = Sources({"usage_data": usage}, count_problems=True)
+    assert sources.table("usage_data").where("value IS NOT NULL").count() == 3
+    want = {("date", "bad_value"): 1, ("date", "out_of_calendar"): 2, ("value", "bad_value"): 1, ("value", "nan"): 1,
+            ("value", "infinity"): 1}
+    assert sources.problems() == {"usage_data": want}
+    listed = input_problems(usage, USAGE, "usage_data").collect()
+    assert {(r["column"], r.problem): r.n_rows for r in listed} == want
+    clean = Sources({"usage_data": usage_rows(spark)}, count_problems=True)
+    clean.table("usage_data").count()
+    assert clean.problems() == {"usage_data": {}} and Sources({"usage_data": usage}).problems() == {}
+    assert input_problems(usage.select("type"), USAGE, "usage_data").count() == 0
