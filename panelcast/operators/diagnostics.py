@@ -137,8 +137,11 @@ def building_messages(
     degreedays: DataFrame,
 ) -> DataFrame:
     """Why a requested building yields nothing, or loses rows; such buildings do not fail others."""
+    dates = ["start_ref", "end_ref", "start_pred", "end_pred"]
     params = params.groupBy("id_building_primaire").agg(
-        F.count_distinct("start_ref", "end_ref", "start_pred", "end_pred").alias("n_requests"),
+        # as one value, so that requests without some date count, too
+        F.count_distinct(F.struct(*dates)).alias("n_requests"),
+        F.max(F.exists(F.array(*dates), lambda d: d.isNull())).alias("incomplete"),
         F.max("start_pred").alias("start_pred"), F.min("end_pred").alias("end_pred"),
     )
     have = monthly.groupBy("id_building_primaire").agg(
@@ -168,10 +171,11 @@ def building_messages(
                  "start_pred must be <= end_pred"),
         _message(~unknown & F.col("n_months").isNull(), "warning", "no invoice found"),
         _message(F.col("n_no_start") > 0, "warning", F.col("n_no_start"),
-                 " monthly rows without a start date were dropped"),
+                 " months have no first day and were left out"),
         _message(F.col("n_factors") == 0, "note_012", NO_FACTORS),
         _message(F.col("n_requests") > 1, "error_request", F.col("n_requests"),
                  " different requests for one building, none was run"),
+        _message(F.col("incomplete"), "error_request", "a date of the request is missing"),
         _message(F.col("n_bad_months") > 0, "warning", F.col("n_bad_months"),
                  " degree-day rows without a usable month were left out"),
         _message(F.col("n_ambiguous") > 0, "warning", F.col("n_ambiguous"),

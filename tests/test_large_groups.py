@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.operators.diagnostics import building_messages
 from panelcast.operators.least_squares import fit_groups, terms
 from panelcast.operators.selection import iqr_bounds, quantiles, rank_values
 from panelcast.operators.usage import monthly_from_daily, monthly_usage
@@ -207,3 +208,21 @@ def test_rejected_values_are_counted_while_reading(spark):
     clean.table("usage_data").count()
     assert clean.problems() == {"usage_data": {}} and Sources({"usage_data": usage}).problems() == {}
     assert input_problems(usage.select("type"), USAGE, "usage_data").count() == 0
+
+
+def test_requests_without_a_date_are_reported(spark):
+    days = (date(2020, 1, 1), date(2020, 12, 31), date(2021, 1, 1))
+    params = spark.createDataFrame(
+        [("A", *days, date(2021, 12, 31)), ("B", *days, None), ("C", *days, None), ("C", *days, date(2021, 12, 31))],
+        "id_building_primaire string, start_ref date, end_ref date, start_pred date, end_pred date",
+    )
+    building = spark.createDataFrame([(b, "S") for b in "ABC"], "id_building_primaire string, weather_station string")
+    monthly = spark.createDataFrame([("A", days[0]), ("A", None), ("B", days[0]), ("C", days[0])], "id_building_primaire string, start date")
+    sites = spark.createDataFrame([(b, ["fi_x"]) for b in "ABC"], "id_building_primaire string, factor_types array<string>")
+    weather = spark.createDataFrame([], "station_id string, period_month string, indicator string, basis int, value double")
+    got = {}
+    for r in building_messages(params, building, monthly, sites, weather).collect():
+        got.setdefault(r.id_building_primaire, []).append((r.code, r.text))
+    assert [c for c, _ in got["A"]] == ["warning"] and got["A"][0][1].startswith("1 month")
+    assert got["B"] == [("error_request", "a date of the request is missing")]
+    assert [t.split()[0] for c, t in got["C"] if c == "error_request"] == ["2", "a"]
