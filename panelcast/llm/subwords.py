@@ -28,7 +28,7 @@ from panelcast.llm.common import blocks
 #: Texts are worked on in blocks of about so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 1_000_000
 #: Characters of chunks that a worker remembers between blocks; longer chunks than LONG_CHUNK are not remembered.
-KNOWN_CHARS, LONG_CHUNK = 8_000_000, 60
+KNOWN_CHARS, LONG_CHUNK = 12_000_000, 60
 #: Chunks of so many characters share a matrix of so many rows; a longer one has a heap of its own.
 SHORT_CHUNK, MATRIX_ROWS = 24, 8192
 MARK = "▁"
