@@ -1,9 +1,10 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its five-word shingles (64-bit hashes; case and punctuation count). It is removed if an
-earlier line has a Jaccard similarity of at least 0.8. Earlier means by doc_id (nulls first), then by a hash of
-the text (for rows that share a doc_id), then by place in the text; matches count whether or not the earlier line
-is itself removed. Lines of fewer than five words are always kept.
+A line is the set of its five-word shingles (64-bit hashes; case and punctuation count), a line of one to four words
+the set of one shingle, all its words. It is removed if an earlier line has a Jaccard similarity of at least 0.8; so
+a short line goes if an earlier one has the same words. Blank lines are always kept. Earlier means by doc_id (nulls
+first), then by a hash of the text (for rows that share a doc_id), then by place in the text; matches count whether
+or not the earlier line is itself removed.
 
 1. Shingles get one total order by rarity, the frequency of their first word: words are counted in 8,192 hash buckets
    over all texts, rare buckets first.
@@ -36,7 +37,7 @@ def _plain(text: Column) -> Column:
         odd = odd | F.contains(text, F.lit(sign))
     odd = odd | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
     single = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.when(odd, F.regexp_replace(single, "^ | $|(?<=\n) | (?=\n)", "")).otherwise(text)
+    return F.when(odd, F.regexp_replace(single, r"^ | \z|(?<=\n) | (?=\n)", "")).otherwise(text)
 
 
 def _bucket(word: Column) -> Column:
@@ -62,7 +63,7 @@ def rarity(texts: DataFrame) -> Column:
 
 
 def shingles(line: Column, ranks: Column) -> Column:
-    """Distinct tokens of the line's five-word shingles, rarest first; empty for lines of fewer words.
+    """Distinct tokens of the line's five-word shingles, or of all its one to four words, rarest first; none if blank.
 
     A token is the rank of the shingle's first word, which no shingle can be more frequent than, before the
     low bits of the shingle's 64-bit hash.
@@ -79,6 +80,8 @@ def shingles(line: Column, ranks: Column) -> Column:
         F.sort_array(F.array_distinct(F.transform(
             F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: token(w, i)
         ))),
+    ).when(
+        line != "", F.array(F.xxhash64(F.size(w), line))
     ).otherwise(F.array().cast("array<bigint>")))
 
 
@@ -141,8 +144,11 @@ def _classes(lines: DataFrame) -> DataFrame:
 
 
 def _meeting(classes: DataFrame) -> DataFrame:
-    """(id, at, token, first_id): prefix shingles that two or more classes share."""
-    prefixes = classes.select("id", F.col("place.doc_id").alias("doc_id"), F.posexplode("prefix").alias("at", "token"))
+    """(id, at, token, first_id): prefix shingles that two or more classes share.
+
+    A class of fewer than four shingles is similar to none but itself: 3 of 4 are less than 0.8.
+    """
+    prefixes = classes.where(F.col("n") >= NUMERATOR).select("id", F.col("place.doc_id").alias("doc_id"), F.posexplode("prefix").alias("at", "token"))
     # One exchange serves the counts and the rows themselves.
     prefixes = prefixes.repartition("token")
     # min skips nulls, but a null doc_id is the first place. A minimum of structs would need a sort.

@@ -238,7 +238,7 @@ WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM do
 x AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
 w AS (SELECT doc_id, i, regexp_extract_all(l[i], '[^\\x20\\x09-\\x0D]+') AS w FROM x),
 s AS (SELECT DISTINCT doc_id, i, list_slice(w, k, k + 4) AS s
-      FROM (SELECT doc_id, i, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)),
+      FROM (SELECT doc_id, i, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM w WHERE len(w) >= 1)),
 n AS (SELECT doc_id, i, count(*) AS n FROM s GROUP BY 1, 2),
 c AS (SELECT b.doc_id, b.i, a.doc_id AS doc_a, a.i AS i_a, count(*) AS c
       FROM s a JOIN s b ON a.s = b.s AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i)) GROUP BY 1, 2, 3, 4),

@@ -280,7 +280,7 @@ def brute_lines(rows):
     for doc_id, text in rows:
         for k, line in enumerate((text or "").split("\n")):
             w = words(line)
-            s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            s = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
             if s and any(5 * len(s & o) >= 4 * len(s | o) for o in sets):
                 gone.add((doc_id, k))
             if s:
@@ -331,6 +331,19 @@ def test_near_copies_of_a_line_without_doc_id(spark):
         assert got[doc_id].text == "\n".join(x for k, x in enumerate(text.split("\n")) if (doc_id, k) not in gone)
 
 
+def test_short_lines_without_a_new_word(spark):
+    rows = [
+        (1, "Read more\n\nTop"), (2, " Read\tmore \n\n \nread more"), (3, "Top \u2028\nRead more now please"),
+        (4, "Read more now  please\nTop\u2028\nmore Read"), (5, "a b c d e\na b c d"), (6, "a b c d\r\na b c d e\n"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in linededup.deduplicate(frame).collect()}
+    gone = brute_lines(rows)
+    assert gone == {(2, 0), (4, 0), (6, 0), (6, 1)}
+    for doc_id, text in rows:
+        assert got[doc_id].text == "\n".join(x for k, x in enumerate(text.split("\n")) if (doc_id, k) not in gone)
+
+
 def test_spot_signatures(spark, docs, empty):
     found = {(r.doc_id, r.text): r for r in spotsigs.with_next(docs).collect()}
     assert len(spotsigs.with_next(docs).collect()) == len(EDGES)
