@@ -29,8 +29,8 @@ def _message(when: Column, code: str, *text) -> Column:
     )
 
 
-def series_messages(df: DataFrame) -> DataFrame:
-    """Everything a finished series has to say, in processing order (``seq`` from 0)."""
+def message_list() -> Column:
+    """Everything a finished series has to say: an array of (code, text) in processing order."""
     c = F.col
     always = F.lit(True)
     any_dju = F.exists("dju_seen", lambda s: s)
@@ -127,9 +127,12 @@ def series_messages(df: DataFrame) -> DataFrame:
         _message(ready & ~regression, "note",
                  "no regression possible, the mean is used"),
     ]
-    return df.select(*KEY, F.posexplode(F.array_compact(F.array(*messages))).alias("seq", "m")).select(
-        *KEY, "seq", "m.code", "m.text"
-    )
+    return F.array_compact(F.array(*messages))
+
+
+def series_messages(df: DataFrame) -> DataFrame:
+    """The messages of every series, one per row (``seq`` from 0)."""
+    return df.select(*KEY, F.posexplode(message_list()).alias("seq", "m")).select(*KEY, "seq", "m.code", "m.text")
 
 
 def building_messages(

@@ -188,8 +188,8 @@ def choose_family(df: DataFrame) -> DataFrame:
     )
 
 
-def model_rows(df: DataFrame) -> DataFrame:
-    """One model row per series with its accuracy on the rows it was fitted on."""
+def model_rows(df: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """One model row per series with its accuracy on the rows it was fitted on, and the ``carried`` columns."""
     ols = F.col("model_family") == "ols_dju_plus_factors"
     pairs = F.transform(
         "fit_rows",
@@ -202,6 +202,7 @@ def model_rows(df: DataFrame) -> DataFrame:
             "p": F.size("x_cols"),
         }
     )
+    carried = carried or []
     kept = [
         "model_family", "chosen_hdd", "chosen_cdd", "status", "status_code", "b_coefficient",
         "a_hdd", "a_cdd", "coefficients", "monthly_mean", "p",
@@ -216,5 +217,5 @@ def model_rows(df: DataFrame) -> DataFrame:
     )
     return described.select(
         *KEY, *kept[:-2], annual.alias("annual_consumption_reference"),
-        *[measures[a].alias(a) for a in ACCURACY],
+        *[measures[a].alias(a) for a in ACCURACY], *carried,
     )

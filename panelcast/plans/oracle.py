@@ -391,6 +391,54 @@ def target() -> list[tuple[str, str]]:
     ]
 
 
+def final_models() -> list[tuple[str, str]]:
+    """Models over ``final_rows``: a regression on both references from six rows on, else the mean: ``models``."""
+    same = "x.b = {0}.b AND x.d = {0}.d AND x.f = {0}.f"
+    return [
+        *fit("model", "final_rows", "y_final"),
+        ("final_errors", f"""SELECT x.b, x.d, x.f, w.b0 + w.ba * x.xa + w.bb * x.xb AS h, x.y_final AS y
+            FROM final_rows x JOIN model_fit w ON {same.format('w')}
+            WHERE w.fn >= 6 AND x.y_final IS NOT NULL AND x.xa IS NOT NULL AND x.xb IS NOT NULL"""),
+        ("final_measures", f"""SELECT {K}, avg(h) AS mean_h, avg(h - y) AS me, sqrt(avg((h - y) * (h - y))) AS rmse,
+            avg(abs(h - y)) AS mae, avg((h - y) / nullif(h, 0) * 100) AS mpe,
+            avg(abs((h - y) / nullif(h, 0)) * 100) AS mape FROM final_errors GROUP BY {K}"""),
+        ("final_outliers", f"""SELECT {K}, string_agg(concat(strftime(m, '%Y-%m'), '=',
+            printf('%.1f', {r('cor', 1)})), ',' ORDER BY m) AS outliers FROM final_rows WHERE hit GROUP BY {K}"""),
+        ("final_notes", f"""SELECT {K}, concat('anomalous values: ', count(*), '; [',
+            string_agg(strftime(m, '%Y-%m'), ', ' ORDER BY m), ']') AS notes FROM corrected WHERE hit GROUP BY {K}"""),
+        ("models", f"""SELECT x.b, x.d, x.f, x.code, x.mean_v, x.sd_v, w.b0, w.ba, w.bb, w.adj,
+            1 - w.sse / w.syy AS r2, g.* EXCLUDE (b, d, f), z.best_hdd, z.best_cdd, c.best_y, o.outliers, s.notes,
+            CASE WHEN x.code = 'note_000' THEN NULL WHEN g.b IS NOT NULL THEN 'ols_dju_plus_factors'
+                ELSE 'mean' END AS family,
+            CASE WHEN x.code = 'note_000' THEN NULL WHEN g.b IS NOT NULL THEN 12 * g.mean_h
+                ELSE 12 * x.mean_v END AS annual
+            FROM decision x LEFT JOIN final_measures g ON {same.format('g')}
+            LEFT JOIN model_fit w ON {same.format('w')} AND g.b IS NOT NULL
+            LEFT JOIN best z ON {same.format('z')} AND g.b IS NOT NULL
+            LEFT JOIN choice c ON {same.format('c')} AND g.b IS NOT NULL
+            LEFT JOIN final_outliers o ON {same.format('o')} LEFT JOIN final_notes s ON {same.format('s')}"""),
+    ]
+
+
+def with_gaps() -> list[tuple[str, str]]:
+    """Two of seven months unknown, filled by the ranking mean, then by the fit of the known rows: ``imputed``."""
+    same = "x.b = {0}.b AND x.d = {0}.d AND x.f = {0}.f"
+    low = "coalesce({0}.adj, '-infinity'::double)"
+    return [
+        ("marked", "SELECT *, (12 * year(m) + month(m)) % 7 < 2 AS hit FROM chosen"),
+        ("gapped", "SELECT *, i AS pos, CASE WHEN NOT hit THEN v END AS kept FROM marked"),
+        *filled("rank", "gapped", K, "i", "kept"),
+        *structural(),
+        *fit("known", "rank_mean", "kept"),
+        ("imputed", f"""SELECT x.*, CASE WHEN x.hit THEN coalesce(w.b0 + w.ba * x.xa + w.bb * x.xb, x.filled)
+            ELSE x.v END AS imp FROM rank_mean x LEFT JOIN known_fit w ON {same.format('w')}"""),
+        *fit("whole", "imputed", "imp"),
+        ("gap_facts", f"""SELECT x.*, n_missing > 0 AND {low.format('whole')} < {low.format('known')} AS raw_wins
+            FROM (SELECT {K}, count(*) FILTER (WHERE hit) AS n_missing, count(*) AS n_rows FROM imputed GROUP BY {K}) x
+            LEFT JOIN whole_fit whole ON {same.format('whole')} LEFT JOIN known_fit known ON {same.format('known')}"""),
+    ]
+
+
 def gauss_jordan(name: str, source: str, keys: str, xs: list[str]) -> list[tuple[str, str]]:
     """Coefficients, inverse of X'X and variance per key by plain elimination on the raw normal equations."""
     p = len(xs) + 1
@@ -618,6 +666,30 @@ def oracle_sql() -> dict[str, str]:
             concat('[', string_agg(strftime(m, '%Y-%m'), ', ' ORDER BY m), ']') FROM corrected WHERE hit GROUP BY {K}""")],
         """SELECT b AS id_building_primaire, row_number() OVER (PARTITION BY b ORDER BY first) AS ordinal, code, text
         FROM (SELECT b, code, text, min(struct_pack(d := d, f := f, s := seq)) AS first FROM said GROUP BY 1, 2, 3)""")
+    seg_models = [*seg_target, *final_models()]
+    sql["model_details"] = query(seg_models, f"""SELECT {NAMED}, family AS model_family,
+        CASE code WHEN 'note_000' THEN 'TrainStatus.NO_REFERENCE_DATA'
+            WHEN 'note_001' THEN 'TrainStatus.TOO_FEW_OBSERVATIONS'
+            ELSE 'TrainStatus.OK_ANNUAL_REFERENCE' END AS status,
+        best_hdd AS chosen_hdd, best_cdd AS chosen_cdd,
+        CASE WHEN family = 'ols_dju_plus_factors' THEN concat_ws(',', best_hdd, best_cdd) END AS x_cols,
+        best_y AS y_col, {r('b0', 1)} AS b_coefficient, {r('annual', 1)} AS annual_consumption_reference,
+        {r('ba')} AS a_hdd, {r('bb')} AS a_cdd, {r('mean_v')} AS monthly_mean, {r('sd_v')} AS monthly_sd,
+        {r('me', 1)} AS "ME", {r('rmse', 1)} AS "RMSE", {r('mae', 1)} AS "MAE", {r('mpe', 1)} AS "MPE",
+        {r('mape', 1)} AS "MAPE", {r('r2', 6)} AS "R2", {r('adj', 6)} AS "adjR2",
+        coalesce(outliers, '') AS outliers, coalesce(notes, '') AS outlier_notes FROM models""")
+    report = "(SELECT sum(annual) FROM models x WHERE x.b = g.b)"
+    sql["building_report"] = query(seg_models, f"""SELECT g.b AS id_building_primaire,
+        {r('total', 1)} AS total_energy_annual_consumption_reference,
+        {r('total / nullif(g.surface, 0)', 1)} AS ratio_kwh_m2,
+        {r('total / nullif(g.occupant, 0)', 1)} AS ratio_kwh_occupant
+        FROM (SELECT *, {report} AS total FROM fx_building g) g""")
+    gaps = [*seg_short, *dec, *with_gaps()]
+    sql["ranking_imputation"] = query(gaps, f"""SELECT {NAMED}, {month()}, {r('kept')} AS value,
+        {r('filled', 1)} AS filled FROM rank_mean""")
+    sql["target_with_missing"] = query(gaps, f"""SELECT {named_x}, {month('x.m')}, {r('kept')} AS value,
+        {r('imp', 1)} AS consumption_imputation, n_missing, {r('n_missing / n_rows', 6)} AS gap_ratio, raw_wins
+        FROM imputed x JOIN gap_facts y ON x.b = y.b AND x.d = y.d AND x.f = y.f WHERE NOT raw_wins OR NOT hit""")
     sql["usage_gapfill_long"] = query(
         [("readings", """SELECT o_orderkey, 1 AS k, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos,
             CASE WHEN (o_orderkey // 30) % 3 = 1 OR o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS value

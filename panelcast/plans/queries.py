@@ -15,8 +15,9 @@ from panelcast.functions.linear import fit_if_enough, fitted_values, moments
 from panelcast.functions.scalars import month_text, months_covered, normalise_month
 from panelcast.functions.shape import settle, unfold
 from panelcast.functions.series import iqr_fence, let, lowess, theil_sen
-from panelcast.operators.anomalies import detect_anomalies
+from panelcast.operators.anomalies import detect_anomalies, rank_impute
 from panelcast.operators.calendar import month_spine
+from panelcast.operators.details import model_details
 from panelcast.operators.diagnostics import distinct_notes, series_messages
 from panelcast.operators.invoices import (
     dedup_invoices,
@@ -38,7 +39,7 @@ from panelcast.operators.reports import (
 )
 from panelcast.operators.selection import quantiles
 from panelcast.operators.strategy import add_mean_model, decide_strategy, mean_model, score_table
-from panelcast.operators.target import build_target
+from panelcast.operators.target import build_target, impute_target
 from panelcast.operators.usage import (
     filter_usage,
     interpolate_long,
@@ -608,6 +609,65 @@ def customer_final_model(spark, sf_dir):
     return models.withColumn("coefficients", F.to_json("coefficients"))
 
 
+def model_details_query(spark, sf_dir):
+    """Models of series of at most two years, without usage factors, from the nested records of the run's own fit."""
+    rows = model_details(train_series(_series(spark, sf_dir, window=star.SHORT_WINDOW)))
+    outliers = F.transform("outliers", lambda r: F.concat(
+        month_text(r.month), F.lit("="), F.format_string("%.1f", shown(r.consumption_correction, 1))
+    ))
+    notes = F.filter("diagnostics", lambda m: m.code.isin("note_005", "debug_outliers_months"))
+    return rows.select(
+        *KEY, "model_family", "status", "chosen_hdd", "chosen_cdd", F.array_join("x_cols", ",").alias("x_cols"),
+        "y_col", *[shown(c, 1).alias(c) for c in ("b_coefficient", "annual_consumption_reference")],
+        *[shown(c).alias(c) for c in ("a_hdd", "a_cdd", "monthly_mean", "monthly_sd")],
+        *[shown(c, 1).alias(c) for c in ("ME", "RMSE", "MAE", "MPE", "MAPE")],
+        *[shown(c, 6).alias(c) for c in ("R2", "adjR2")],
+        F.array_join(outliers, ",").alias("outliers"),
+        F.array_join(F.transform(notes, lambda m: m.text), "; ").alias("outlier_notes"),
+    )
+
+
+def building_report(spark, sf_dir):
+    """Roll-up of the models' own annual references, regression or mean, of series of at most two years."""
+    sources, params = _inputs(spark, sf_dir, window=star.SHORT_WINDOW)
+    models = model_rows(train_series(build_series(sources, params, False)))
+    out = building_metrics(models, sourced_sites(sources.table("building"), params))
+    return out.select(
+        "id_building_primaire", *[shown(c, 1).alias(c) for c in out.columns if c != "id_building_primaire"]
+    )
+
+
+def _with_gaps(spark, sf_dir):
+    """Series of at most two years whose value is unknown in two of seven months."""
+    unknown = "(12 * year(r.month) + month(r.month)) % 7 < 2"
+    ready = _ready(prepare_series(_series(spark, sf_dir, window=star.SHORT_WINDOW)))
+    return ready.withColumn("train", F.expr(
+        f"transform(train, r -> struct(r.month, r.start, r.end, CASE WHEN NOT {unknown} THEN r.value END AS value, "
+        "r.dju, r.factors))"
+    ))
+
+
+def ranking_imputation(spark, sf_dir):
+    """Unknown values as the mean of the linear and the structural arm."""
+    df = rank_impute(_with_gaps(spark, sf_dir).withColumn("y", F.expr("transform(train, r -> r.value)")), "y", "filled")
+    pairs = "transform(train, (r, i) -> struct(r.month AS month, r.value AS value, get(filled, i) AS filled))"
+    return unfold(df, KEY, pairs).select(
+        *KEY, month_text(F.col("month")).alias("month_str"), shown("value").alias("value"),
+        shown("filled", 1).alias("filled"),
+    )
+
+
+def target_with_missing(spark, sf_dir):
+    """Targets of series with unknown values: fitted or ranked filling, or the raw rows where they score better."""
+    df = impute_target(_with_gaps(spark, sf_dir))
+    pairs = "transform(train, (r, i) -> struct(r.month AS month, r.value AS value, get(imputed, i) AS imputed))"
+    return unfold(df, [*KEY, "n_missing", "gap_ratio", "raw_wins"], pairs).select(
+        *KEY, month_text(F.col("month")).alias("month_str"), shown("value").alias("value"),
+        shown("imputed", 1).alias("consumption_imputation"), count("n_missing").alias("n_missing"),
+        shown("gap_ratio", 6).alias("gap_ratio"), "raw_wins",
+    )
+
+
 def run_messages(spark, sf_dir):
     return series_messages(_trained(spark, sf_dir))
 
@@ -727,6 +787,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "missing_months_query": "missing_prediction_months",
         "building_metrics_query": "building_metrics",
         "input_problems_query": "input_problems",
+        "model_details_query": "model_details",
     }
     listed = [
         site_lookup, building_invoices, building_usage, station_degreedays, invoice_dedup,
@@ -743,5 +804,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         outlier_notes, missing_months_query, building_metrics_query, final_predictions, horizon_cut,
         final_model, customer_final_model, run_messages, month_validation, persist_roundtrip,
         quantile_selection, ordered_notes, usage_gapfill_long, input_problems_query,
+        model_details_query, building_report, ranking_imputation, target_with_missing,
     ]
     return {renamed.get(f.__name__, f.__name__): f for f in listed}
