@@ -1,5 +1,7 @@
 """Array maths against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +165,68 @@ def test_structural_level_follows_a_line_and_a_step():
     assert smoothed_level(noisy).std() < noisy.std()
 
 
+def dense_level(y):
+    """Best linear prediction of the level with the whole covariance matrix, ratio by ratio."""
+    n = len(y)
+    t = np.arange(n)
+    past = np.tril(np.ones((n, n)), -1)
+    seasonal = n > 24
+    x = np.column_stack([np.ones(n), t])
+    pulse = np.zeros((n, n))
+    if seasonal:
+        x = np.column_stack([x, *[(t % 12 == m) * 1.0 - (t % 12 == 11) for m in range(11)]])
+        for u in range(n):
+            for v in range(u + 1, n):
+                pulse[v, u] = ((v - u) % 12 == 1) * 1.0 - ((v - u) % 12 == 2)
+    best = None
+    for level in [0.0, 0.01, 0.1, 1.0, 10.0]:
+        for slope in [0.0, 0.001, 0.01, 0.1]:
+            for season in [0.0, 0.01, 0.1] if seasonal else [0.0]:
+                trend = level * past @ past.T + slope * past @ past @ past.T @ past.T
+                cov = np.eye(n) + trend + season * pulse @ pulse.T
+                gram = x.T @ np.linalg.solve(cov, x)
+                start = np.linalg.solve(gram, x.T @ np.linalg.solve(cov, y))
+                rest = np.linalg.solve(cov, y - x @ start)
+                spare = n - x.shape[1]
+                rating = -spare * np.log(y @ rest / spare)
+                rating -= np.linalg.slogdet(cov)[1] + np.linalg.slogdet(gram)[1]
+                if best is None or rating > best[0]:
+                    best = rating, x[:, :2] @ start[:2] + trend @ rest
+    return best[1]
+
+
+@pytest.mark.parametrize("n", [4, 9, 24, 25, 26, 37, 60, 96])
+def test_structural_level_equals_the_dense_form(n):
+    rng = np.random.default_rng(n)
+    t = np.arange(n)
+    y = np.array([
+        100 + a * t + b * np.sin(2 * np.pi * t / 12) + rng.normal(0, c, n) + rng.normal(0, d, n).cumsum()
+        for a, b, c, d in [(0, 0, 1, 0), (1, 5, 1, 0), (-2, 20, 3, 1), (0, 0, 0.1, 5), (0, 50, 10, 0.3)]
+    ])
+    assert np.allclose(smoothed_level(y), [dense_level(v) for v in y], rtol=1e-8, atol=0)
+
+
+def test_structural_level_memory_is_linear_in_the_length():
+    peaks = []
+    for n in (400, 1600):
+        y = 50 + np.random.default_rng(n).normal(0, 5, (4, n))
+        tracemalloc.start()
+        level = smoothed_level(y)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert np.isfinite(level).all() and level.std() < y.std()
+    assert peaks[1] < 5 * peaks[0]
+
+
+def test_structural_level_of_short_odd_and_many_series():
+    assert (smoothed_level(np.array([[5.0, 1.0]])) == [[5.0, 1.0]]).all()
+    assert smoothed_level(np.empty((0, 30))).shape == (0, 30)
+    assert np.allclose(smoothed_level(np.array([[1.0, 2.0, 6.0]])), [[0.5, 3.0, 5.5]])
+    assert np.allclose(smoothed_level(np.full((1, 40), 7.0)), 7.0)
+    y = np.random.default_rng(3).normal(10, 2, (1100, 30))
+    assert np.allclose(smoothed_level(y)[[0, 1030]], smoothed_level(y[[0, 1030]]))
+
+
 def test_t_quantiles():
     known = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228]
     assert [round(t_975(k), 3) for k in range(1, 11)] == known
