@@ -56,11 +56,12 @@ def _loess(y: np.ndarray, span: int, robust: np.ndarray | None, extend: bool = F
     level = (wy @ w0) / total
     tilt = np.sqrt(np.maximum(spread, 0)) > 0.001 * (n - 1)
     slope = np.where(tilt, ((wy @ w1) / total - centre * level) / np.where(tilt, spread, 1.0), 0.0)
-    own = y
     out = level - centre * slope
-    if extend:
-        own = np.concatenate([out[:, 1:2], y, out[:, -2:-1]], axis=1)
-    return np.where(usable, out, own)
+    if not extend:
+        return np.where(usable, out, y)
+    # An end without any weight repeats the smoothed value next to it.
+    inner = np.where(usable[:, 1:-1], out[:, 1:-1], y)
+    return np.where(usable, out, np.concatenate([inner[:, :1], inner, inner[:, -1:]], axis=1))
 
 
 def _moving_mean(x: np.ndarray, width: int) -> np.ndarray:

@@ -105,6 +105,21 @@ def detect_anomalies(df: DataFrame, y: str, out: str) -> DataFrame:
     return settle(df, [out, f"{out}_fence"])
 
 
+def seasonal_fill(df: DataFrame, y: str, out: str) -> DataFrame:
+    """Fill gaps of series over two years by interpolating what is left without the season.
+
+    The season comes from the linearly filled series. NULL for series without gaps or of at most two years;
+    below three known points the linear filling itself.
+    """
+    gaps = f"{has_gaps(y)} AND {_long(y)}"
+    df = df.withColumn("_base", F.expr(f"CASE WHEN {gaps} THEN {interpolate(y)} END"))
+    df = _decompose(df, "_base", f"size({known(y)}) >= 3", "_parts")
+    rest = interpolate(subtract(y, "_parts.seasonal"))
+    df = df.withColumn("_rest", F.expr(f"CASE WHEN _parts IS NOT NULL THEN {rest} END"))
+    whole = "coalesce(zip_with(_rest, _parts.seasonal, (r, s) -> r + s), _base)"
+    return df.withColumn(out, F.expr(fill_from(y, whole))).drop("_base", "_parts", "_rest")
+
+
 def rank_impute(df: DataFrame, y: str, out: str) -> DataFrame:
     """Fill gaps with the mean of a linear, a structural and (long series) a seasonal arm.
 
@@ -116,16 +131,10 @@ def rank_impute(df: DataFrame, y: str, out: str) -> DataFrame:
     df = df.withColumn("_level", structural_level(F.expr(f"CASE WHEN {enough} THEN _line END")))
     finite = "forall(_level, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('inf'))"
     level = f"CASE WHEN {finite} THEN _level ELSE _line END"
-    df = _decompose(df, "_line", f"{enough} AND {_long(y)}", "_parts")
-    rest = interpolate(subtract(y, "_parts.seasonal"))
-    df = df.withColumn("_rest", F.expr(f"CASE WHEN _parts IS NOT NULL THEN {rest} END"))
-    whole = "coalesce(zip_with(_rest, _parts.seasonal, (r, s) -> r + s), _line)"
-    season = f"CASE WHEN {_long(y)} THEN {whole} END"
+    df = seasonal_fill(df, y, "_third")
     total = f"zip_with(_line, {level}, (a, b) -> a + b)"
-    df = df.withColumns({"_two": F.expr(total), "_third": F.expr(season)})
+    df = df.withColumn("_two", F.expr(total))
     combined = """CASE WHEN _third IS NULL THEN transform(_two, v -> v / 2)
         ELSE zip_with(_two, _third, (ab, c) -> (ab + c) / 3) END"""
     filled = f"CASE WHEN {has_gaps(y)} THEN {fill_from(y, combined)} ELSE {y} END"
-    return df.withColumn(out, F.expr(filled)).drop(
-        "_line", "_level", "_parts", "_rest", "_two", "_third"
-    )
+    return df.withColumn(out, F.expr(filled)).drop("_line", "_level", "_two", "_third")

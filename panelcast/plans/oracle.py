@@ -7,6 +7,8 @@ v value.
 
 from math import exp, lgamma, log, pi, sqrt
 
+from panelcast.plans.oracle_seasonal import decomposition
+
 #: Far below the shown digits, so that exact halves round alike whatever the order of a sum.
 NUDGE = {0: 1e-4, 1: 1e-5, 2: 1e-6, 4: 1e-8, 6: 1e-9}
 
@@ -271,16 +273,20 @@ def smoother(name: str, source: str, y: str) -> list[tuple[str, str]]:
     ]
 
 
-def detection(source: str, y: str) -> list[tuple[str, str]]:
-    """Two-pass detection for series of at most two years: ``flags(b, d, f, i, hit)``."""
+def detection(source: str, y: str, seasonal: bool = False) -> list[tuple[str, str]]:
+    """Two-pass detection: ``flags(b, d, f, i, hit)``; ``seasonal`` adds the steps of series over two years."""
+
+    flat = "{0}_adjusted" if seasonal else "{0}_varying"
+    again = "again_whole" if seasonal else "again_filled"
 
     def one(name: str, rows: str, col: str) -> list[tuple[str, str]]:
         return [
             (f"{name}_varying", f"""SELECT * FROM (SELECT *, stddev_pop({col}) OVER
                 (PARTITION BY {K}) AS spread FROM {rows}) WHERE spread > 1e-8"""),
-            *smoother(name, f"{name}_varying", col),
+            *(adjusted(name, f"{name}_varying", col) if seasonal else []),
+            *smoother(name, flat.format(name), col),
             (f"{name}_resid", f"""SELECT x.b, x.d, x.f, x.i, x.{col} - s.sm AS resid
-                FROM {name}_varying x JOIN {name}_smooth s
+                FROM {flat.format(name)} x JOIN {name}_smooth s
                 ON x.b = s.b AND x.d = s.d AND x.f = s.f AND x.i = s.i"""),
             (f"{name}_fence", f"""SELECT {K}, quantile_cont(resid, 0.25) AS q1,
                 quantile_cont(resid, 0.75) AS q3 FROM {name}_resid GROUP BY {K}"""),
@@ -298,13 +304,41 @@ def detection(source: str, y: str) -> list[tuple[str, str]]:
             FROM series_in x SEMI JOIN pass1_hits k ON x.b = k.b AND x.d = k.d AND x.f = k.f
             LEFT JOIN pass1_hits h ON x.b = h.b AND x.d = h.d AND x.f = h.f AND x.i = h.i"""),
         *filled("again", "blanked", K, "i", "y"),
-        *one("pass2", "again_filled", "filled"),
+        *(seasonally_filled("again", "again_filled", "y") if seasonal else []),
+        *one("pass2", again, "filled"),
         ("hits", "SELECT * FROM pass1_hits UNION SELECT * FROM pass2_hits"),
         ("flags", f"""SELECT x.b, x.d, x.f, x.i, h.i IS NOT NULL AS hit FROM series_in x
             LEFT JOIN hits h ON x.b = h.b AND x.d = h.d AND x.f = h.f AND x.i = h.i"""),
     ]
 
 
+def adjusted(name: str, source: str, y: str) -> list[tuple[str, str]]:
+    """Complete series without their season where it is strong: ``<name>_adjusted`` with ``strength``."""
+    same = "x.b = p.b AND x.d = p.d AND x.f = p.f"
+    spread = "list_aggregate(list_transform(y, lambda v, t: v - trend[t]{0}), 'var_pop')"
+    rest, whole = spread.format(" - season[t]"), spread.format("")
+    return [
+        (f"{name}_lists", f"SELECT {K}, n, list({y}::double ORDER BY i) AS y FROM {source} WHERE n > 24 GROUP BY {K}, n"),
+        *decomposition(name),
+        (f"{name}_strength", f"""SELECT {K}, season, CASE WHEN {whole} = 0 THEN 0 ELSE 1 - {rest} / {whole} END AS strength
+            FROM {name}_parts"""),
+        (f"{name}_adjusted", f"""SELECT x.* REPLACE (CASE WHEN p.strength >= 0.6 THEN x.{y} - p.season[x.i + 1]
+            ELSE x.{y} END AS {y}), p.strength FROM {source} x LEFT JOIN {name}_strength p ON {same}"""),
+    ]
+
+
+def seasonally_filled(name: str, source: str, y: str) -> list[tuple[str, str]]:
+    """Gaps of the linearly filled rows of ``source`` by trend and season beyond two years: ``<name>_whole``."""
+    same = "x.b = p.b AND x.d = p.d AND x.f = p.f"
+    return [
+        (f"{name}_lists", f"""SELECT {K}, n, list(filled::double ORDER BY i) AS y FROM {source} WHERE n > 24
+            GROUP BY {K}, n HAVING count({y}) < count(*)"""),
+        *decomposition(name),
+        (f"{name}_whole", f"""SELECT x.* REPLACE (coalesce(x.{y}, p.trend[x.i + 1] + p.season[x.i + 1], x.filled) AS filled)
+            FROM {source} x LEFT JOIN {name}_parts p ON {same}"""),
+    ]
+
+
 def structural() -> list[tuple[str, str]]:
     """Level of a local linear trend per blanked series of at most two seasons: ``level``.
 
@@ -420,14 +454,35 @@ def final_models() -> list[tuple[str, str]]:
     ]
 
 
+def gapped() -> list[tuple[str, str]]:
+    """Two of seven months unknown (``kept``), and filled linearly: ``rank_filled``."""
+    return [
+        ("marked", "SELECT *, (12 * year(m) + month(m)) % 7 < 2 AS hit FROM chosen"),
+        ("gapped", "SELECT *, i AS pos, CASE WHEN NOT hit THEN v END AS kept FROM marked"),
+        *filled("rank", "gapped", K, "i", "kept"),
+    ]
+
+
+def seasonal_arm() -> list[tuple[str, str]]:
+    """Unknown months of series over two years: the season, and a line between what is left without it."""
+    same = "x.b = p.b AND x.d = p.d AND x.f = p.f"
+    return [
+        ("arm_lists", f"""SELECT {K}, n, list(filled::double ORDER BY i) AS y FROM rank_filled WHERE n > 24
+            GROUP BY {K}, n HAVING count(kept) >= 3 AND count(kept) < count(*)"""),
+        *decomposition("arm"),
+        ("without_season", f"""SELECT x.* EXCLUDE (filled, v0, p0, v1, p1), p.season[x.i + 1] AS season,
+            x.kept - coalesce(p.season[x.i + 1], 0) AS rest FROM rank_filled x
+            LEFT JOIN arm_parts p ON {same} WHERE x.n > 24"""),
+        *filled("rest", "without_season", K, "i", "rest"),
+    ]
+
+
 def with_gaps() -> list[tuple[str, str]]:
     """Two of seven months unknown, filled by the ranking mean, then by the fit of the known rows: ``imputed``."""
     same = "x.b = {0}.b AND x.d = {0}.d AND x.f = {0}.f"
     low = "coalesce({0}.adj, '-infinity'::double)"
     return [
-        ("marked", "SELECT *, (12 * year(m) + month(m)) % 7 < 2 AS hit FROM chosen"),
-        ("gapped", "SELECT *, i AS pos, CASE WHEN NOT hit THEN v END AS kept FROM marked"),
-        *filled("rank", "gapped", K, "i", "kept"),
+        *gapped(),
         *structural(),
         *fit("known", "rank_mean", "kept"),
         ("imputed", f"""SELECT x.*, CASE WHEN x.hit THEN coalesce(w.b0 + w.ba * x.xa + w.bb * x.xb, x.filled)
@@ -638,6 +693,7 @@ def oracle_sql() -> dict[str, str]:
     found = (f"SELECT {named_x}, {month('x.m')}, g.hit AS is_anomaly FROM chosen x "
              "JOIN flags g ON x.b = g.b AND x.d = g.d AND x.f = g.f AND x.i = g.i")
     sql["anomalies_short"] = query([*seg_short, *dec, *detection("chosen", "v")], found)
+    sql["anomalies_long"] = query([*seg, *dec, *detection("chosen", "v", seasonal=True)], found)
     sql["customer_anomalies_short"] = query([*cust_short, *dec, *detection("chosen", "v")], found)
 
     final = f"""SELECT {NAMED}, {month()}, best_y, drop_zeros, hit AS is_anomaly,
@@ -690,6 +746,16 @@ def oracle_sql() -> dict[str, str]:
     sql["target_with_missing"] = query(gaps, f"""SELECT {named_x}, {month('x.m')}, {r('kept')} AS value,
         {r('imp', 1)} AS consumption_imputation, n_missing, {r('n_missing / n_rows', 6)} AS gap_ratio, raw_wins
         FROM imputed x JOIN gap_facts y ON x.b = y.b AND x.d = y.d AND x.f = y.f WHERE NOT raw_wins OR NOT hit""")
+    long_gaps = [*seg, *dec, *gapped()]
+    sql["seasonal_strength"] = query(
+        [*long_gaps, *seasonally_filled("line", "rank_filled", "kept"),
+         ("given", "SELECT * FROM chosen WHERE n > 24"), *adjusted("flat", "given", "v"),
+         ("ratios", f"""SELECT {K}, avg(filled) FILTER (WHERE hit) / avg(kept) AS ratio FROM line_whole GROUP BY {K}""")],
+        f"""SELECT {named_x}, len(x.season) AS n_months, {r('x.strength')} AS strength, x.strength >= 0.6 AS is_strong,
+        {r('ratio')} AS filled_to_known FROM flat_strength x JOIN ratios y
+        ON x.b = y.b AND x.d = y.d AND x.f = y.f""")
+    sql["seasonal_imputation"] = query([*long_gaps, *seasonal_arm()], f"""SELECT {NAMED}, {month()}, {r('kept')} AS value,
+        {r('filled + coalesce(season, 0)', 1)} AS filled FROM rest_filled""")
     sql["usage_gapfill_long"] = query(
         [("readings", """SELECT o_orderkey, 1 AS k, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos,
             CASE WHEN (o_orderkey // 30) % 3 = 1 OR o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS value

@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from panelcast.functions.linear import fit_if_enough, fitted_values, moments
 from panelcast.functions.scalars import month_text, months_covered, normalise_month
 from panelcast.functions.shape import settle, unfold
-from panelcast.functions.series import iqr_fence, let, lowess, theil_sen
-from panelcast.operators.anomalies import detect_anomalies, rank_impute
+from panelcast.functions.series import iqr_fence, known, let, lowess, mean, theil_sen
+from panelcast.operators.anomalies import (
+    detect_anomalies,
+    fill_for_detection,
+    rank_impute,
+    seasonal_fill,
+    seasonally_adjust,
+)
 from panelcast.operators.calendar import month_spine
 from panelcast.operators.details import model_details
 from panelcast.operators.diagnostics import distinct_notes, series_messages
@@ -59,7 +65,7 @@ from panelcast.plans.run import (
     shared_folder,
     train_series,
 )
-from panelcast.schemas import DJU_COLUMNS, INVOICE, KEY, MONTH_PATTERN, PDL_KEY, SEASON
+from panelcast.schemas import DJU_COLUMNS, INVOICE, KEY, MONTH_PATTERN, PDL_KEY, SEASON, SEASONAL_STRENGTH
 from panelcast.sources import star_views as star
 from panelcast.sources.catalog import building_invoices as sourced_invoices
 from panelcast.sources.catalog import building_usage as sourced_usage
@@ -637,11 +643,11 @@ def building_report(spark, sf_dir):
     )
 
 
-def _with_gaps(spark, sf_dir):
-    """Series of at most two years whose value is unknown in two of seven months."""
+def _with_gaps(spark, sf_dir, window=star.SHORT_WINDOW):
+    """Series whose value is unknown in two of seven months."""
     unknown = "(12 * year(r.month) + month(r.month)) % 7 < 2"
-    ready = _ready(prepare_series(_series(spark, sf_dir, window=star.SHORT_WINDOW)))
-    return ready.withColumn("train", F.expr(
+    ready = _ready(prepare_series(_series(spark, sf_dir, window=window)))
+    return ready.withColumn("reference", F.col("train")).withColumn("train", F.expr(
         f"transform(train, r -> struct(r.month, r.start, r.end, CASE WHEN NOT {unknown} THEN r.value END AS value, "
         "r.dju, r.factors))"
     ))
@@ -657,6 +663,39 @@ def ranking_imputation(spark, sf_dir):
     )
 
 
+def _long_with_gaps(spark, sf_dir):
+    """Series over two years with unknown months, and their values as ``y``."""
+    df = _with_gaps(spark, sf_dir, star.STANDARD_WINDOW).withColumn("y", F.expr("transform(train, r -> r.value)"))
+    return df.where(F.size("y") > 2 * SEASON)
+
+
+def seasonal_strength(spark, sf_dir):
+    """Strength of the season of series over two years, and how months filled by trend and season compare with the rest.
+
+    Two digits: the robust weights of some series do not settle within the method's rounds, which makes them
+    sensitive to rounding from the fourth digit on.
+    """
+    df = _long_with_gaps(spark, sf_dir).withColumn("whole", F.expr("transform(reference, r -> r.value)"))
+    df = seasonally_adjust(fill_for_detection(df, "y", "filled"), "whole", "adjusted")
+    df = settle(df, ["filled", "adjusted_strength"])
+    unknown = F.expr(mean("filter(filled, (v, i) -> get(y, i) IS NULL)"))
+    return df.select(
+        *KEY, F.size("whole").cast("bigint").alias("n_months"), shown("adjusted_strength").alias("strength"),
+        (F.col("adjusted_strength") >= SEASONAL_STRENGTH).alias("is_strong"),
+        shown(unknown / F.expr(mean(known("y")))).alias("filled_to_known"),
+    )
+
+
+def seasonal_imputation(spark, sf_dir):
+    """Unknown months of series over two years by the seasonal arm alone."""
+    df = seasonal_fill(_long_with_gaps(spark, sf_dir), "y", "filled")
+    pairs = "transform(train, (r, i) -> struct(r.month AS month, r.value AS value, get(filled, i) AS filled))"
+    return unfold(df, KEY, pairs).select(
+        *KEY, month_text(F.col("month")).alias("month_str"), shown("value").alias("value"),
+        shown("filled", 1).alias("filled"),
+    )
+
+
 def target_with_missing(spark, sf_dir):
     """Targets of series with unknown values: fitted or ranked filling, or the raw rows where they score better."""
     df = impute_target(_with_gaps(spark, sf_dir))
@@ -805,5 +844,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         final_model, customer_final_model, run_messages, month_validation, persist_roundtrip,
         quantile_selection, ordered_notes, usage_gapfill_long, input_problems_query,
         model_details_query, building_report, ranking_imputation, target_with_missing,
+        seasonal_strength, seasonal_imputation,
     ]
     return {renamed.get(f.__name__, f.__name__): f for f in listed}

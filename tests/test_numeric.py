@@ -2,12 +2,13 @@
 
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelcast.functions.linear import adj_r2_score, fit_if_enough, moments
-from panelcast.functions.seasonal import decompose
+from panelcast.functions.seasonal import _loess, decompose
 from panelcast.functions.series import (
     interpolate,
     iqr_fence,
@@ -19,8 +20,9 @@ from panelcast.functions.series import (
 )
 from panelcast.functions.solve import ols_solve, solve_stack, t_975
 from panelcast.functions.structural import smoothed_level
-from panelcast.operators.anomalies import detect_anomalies
+from panelcast.operators.anomalies import detect_anomalies, seasonal_fill
 from panelcast.operators.usage import interpolate_long
+from panelcast.plans.oracle_seasonal import decomposition
 
 
 def arrays(spark, rows, name="y"):
@@ -165,6 +167,45 @@ def test_structural_level_follows_a_line_and_a_step():
     assert smoothed_level(noisy).std() < noisy.std()
 
 
+def test_decomposition_equals_sql_on_lists():
+    rng = np.random.default_rng(0)
+    ys = []
+    for n in (25, 30, 47, 48, 60):
+        t = np.arange(n)
+        for k in range(3):
+            y = 1000 + 5 * t + 300 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 50, n)
+            y[rng.integers(0, n, 3 * (k == 1))] += 5000
+            ys.append(y if k < 2 else rng.normal(0, 1, n) ** 5)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE q (d INT, y DOUBLE[])")
+    con.executemany("INSERT INTO q VALUES (?, ?)", [[i, [float(v) for v in y]] for i, y in enumerate(ys)])
+    steps = [("q_lists", "SELECT 0 AS b, d, 0 AS f, len(y) AS n, y FROM q"), *decomposition("q")]
+    chain = ", ".join(f"{name} AS ({sql})" for name, sql in steps)
+    found = con.execute(f"WITH RECURSIVE {chain} SELECT season, trend FROM q_parts ORDER BY d").fetchall()
+    for y, (season, trend) in zip(ys, found, strict=True):
+        s, t = decompose(y[None])
+        scale = np.abs(y).max()
+        assert np.allclose(s[0] / scale, np.array(season) / scale, atol=1e-9)
+        assert np.allclose(t[0] / scale, np.array(trend) / scale, atol=1e-9)
+
+
+def test_end_without_weight_repeats_its_neighbour():
+    y = np.array([[5.0, 6.0, 7.0]])
+    assert _loess(y, 7, np.zeros((1, 3)), extend=True).tolist() == [[5.0, 5.0, 6.0, 7.0, 7.0]]
+
+
+def test_seasonal_fill_restores_a_season_and_leaves_others_alone(spark):
+    t = np.arange(48)
+    whole = 100 + t + 40 * np.sin(2 * np.pi * t / 12)
+    gappy = [None if k % 11 == 5 else v for k, v in enumerate(whole)]
+    rows = [gappy, list(whole), gappy[:24], [None] * 46 + [1.0, 3.0], [None] * 30]
+    got = [r.filled for r in seasonal_fill(arrays(spark, rows), "y", "filled").orderBy("id").collect()]
+    assert np.allclose(got[0], whole, atol=1.5)
+    assert all(v is None or v == w for v, w in zip(gappy, got[0]))
+    assert got[1] is None and got[2] is None
+    assert got[3] == [1.0] * 47 + [3.0] and got[4] == [None] * 30
+
+
 def dense_level(y):
     """Best linear prediction of the level with the whole covariance matrix, ratio by ratio."""
     n = len(y)
