@@ -599,10 +599,11 @@ def oracle_sql() -> dict[str, str]:
     sql["usage_interpolated"] = query(
         [*seg, ("all_usage", """SELECT b, type, date_trunc('month', day) AS m, avg(value) AS a
             FROM fx_usage GROUP BY ALL"""),
-         ("gappy", """SELECT b, type, m, CASE WHEN a >= 25 THEN a END AS value,
-            row_number() OVER (PARTITION BY b, type ORDER BY m) AS pos FROM all_usage"""),
+         ("gappy", """SELECT b, type, m, a AS value, row_number() OVER (PARTITION BY b, type ORDER BY m) AS pos
+            FROM (SELECT DISTINCT b, m FROM all_usage) JOIN (SELECT DISTINCT b, type FROM all_usage) USING (b)
+            LEFT JOIN all_usage USING (b, type, m)"""),
          *filled("line", "gappy", "b, type", "m", "value")],
-        f"""SELECT b AS id_building_primaire, type, {month()}, {r('filled', 6)} AS value
+        f"""SELECT b AS id_building_primaire, type, {month()}, value IS NULL AS was_unknown, {r('filled', 6)} AS value
         FROM line_filled""")
 
     factors = ", ".join(f"{r(c, 4)} AS {c}" for c in ("fi_A", "fi_N", "fi_R"))

@@ -297,16 +297,14 @@ def factor_profile(spark, sf_dir):
 
 
 def usage_interpolated(spark, sf_dir):
-    """Gap-filled daily-sparse usage: months of each type on the building's month list.
-
-    Values below 25 are treated as unknown, which leaves gaps to fill.
-    """
-    usage = star.star_sources(spark, sf_dir).table("usage_data")
-    monthly = monthly_usage(usage)
-    gappy = monthly.withColumn("value", F.when(F.col("value") >= 25, F.col("value")))
-    filled = interpolate_long(gappy, ["id_building_primaire", "type"], "month", "value")
-    return filled.select(
-        "id_building_primaire", "type", month_text(F.col("month")).alias("month_str"),
+    """Monthly usage of each type on the month list of its building, months without a reading of the type filled."""
+    monthly = monthly_usage(star.star_sources(spark, sf_dir).table("usage_data"))
+    months = monthly.select("id_building_primaire", "month").distinct()
+    types = monthly.select("id_building_primaire", "type").distinct()
+    keys = ["id_building_primaire", "type"]
+    gappy = months.join(types, "id_building_primaire").join(monthly, [*keys, "month"], "left")
+    return interpolate_long(gappy, keys, "month", "value").select(
+        *keys, month_text(F.col("month")).alias("month_str"), F.col("value").isNull().alias("was_unknown"),
         shown("value_filled", 6).alias("value"),
     )
 
@@ -575,7 +573,7 @@ def outlier_notes(spark, sf_dir):
 def missing_months_query(spark, sf_dir):
     """Prediction months whose factors or degree-days are missing, to the end of 2002."""
     window = (*star.STANDARD_WINDOW[:2], star.date(2001, 6, 1), star.date(2002, 6, 30))
-    fitted = train_series(_series(spark, sf_dir, window=window))
+    fitted = _trained(spark, sf_dir, window=window)
     return missing_prediction_months(predict(fitted)).select(
         *KEY, F.array_join("missing_months", ",").alias("missing_months")
     )
