@@ -9,6 +9,7 @@ filled are opened again and packed together with those of other blocks.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from array import array
@@ -38,58 +39,182 @@ STALLED = 0.75
 #: Levels that the sign-free bits of a sequence_id can tell apart; the last one keeps all its bins.
 LEVELS = 31
 BLOCK_CHARS = 2_000_000
-CACHE_WORDS = 600_000
-
-
-#: Words of plain or accented Latin letters: lower-casing is all that their normalisation does.
-_LATIN = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+").fullmatch
-#: A full stop or comma that closes a plain word is a token of its own.
-_STOP = re.compile(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0D]|$)").sub
+#: Words that a worker remembers, at most twice as many: those of late and those of before.
+CACHE_WORDS = 200_000
+
+
+#: How the vocabulary file splits texts, and what that comes to for words of printable ASCII and accented Latin letters,
+#: which lower-casing alone normalises.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = "a-z\u00e0-\u00f6\u00f8-\u00ff"
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
+_LATIN = re.compile(f"[\x21-\x7e{_LETTERS}]+").fullmatch
+#: Longer parts of words are merged by the library.
+PART_BYTES = 24
+#: Parts that are merged together.
+ROWS = 4096
 #: Bytes as the characters by which byte-level vocabularies write them: printable ones stand for themselves.
 _PRINTED = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
 _WRITTEN = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The ASCII-lower-cased words of all texts, dictionary-encoded, and how many each text has.
+
+    A full stop or comma that closes a plain word is a word of its own.
+    """
+    joined = np.frombuffer(b"".join([t + b" " for t in texts]).lower(), np.uint8)
+    space = _IS_SPACE[joined]
+    stop = np.flatnonzero((joined[1:-1] == 44) | (joined[1:-1] == 46)) + 1
+    before = joined[stop - 1]
+    stop = stop[(before >= 97) & (before <= 122) & space[stop + 1]]
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    first[stop] = last[stop - 1] = True
+    starts = np.flatnonzero(first)
+    offsets = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts))
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined[~space])]
+    )
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return words.dictionary_encode(), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+class Merges:
+    """The merges of a byte-level vocabulary file, applied to many parts of words at once as rows of a matrix."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, model: dict):
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        ranks = {}
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            ranks[vocab[left] << 32 | vocab[right]] = rank, vocab[left + right]
+        self.pairs = np.array(sorted(ranks), np.int64)
+        found = np.array([ranks[k] for k in self.pairs.tolist()], np.int32).reshape(-1, 2)
+        self.ranks, self.made = found[:, 0], np.zeros(len(model["merges"]), np.int32)
+        self.made[self.ranks] = found[:, 1]
+        written = [chr(_WRITTEN.get(b, b)) for b in range(256)]
+        self.inner = np.array([vocab[c] for c in written], np.int32)
+        self.last = np.array([vocab[c + end] for c in written], np.int32)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], self.NONE)
+
+    def apply(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after another, and how many each has. In each round every part does its first merge."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        width = int(sizes.max(initial=0)) + 1
+        out = np.full((len(parts), width), -1, np.int32)
+        out[np.arange(width) < sizes[:, None]] = self.inner[data]
+        out[np.arange(len(parts)), sizes - 1] = self.last[data[np.cumsum(sizes) - 1]]
+        order = np.argsort(sizes)
+        for some in range(0, len(order), ROWS):
+            who = order[some : some + ROWS]
+            self._merge(out[:, : int(sizes[who[-1]]) + 1], who)
+        return out[out >= 0], (out >= 0).sum(axis=1)
+
+    def _merge(self, out: np.ndarray, who: np.ndarray) -> None:
+        rows = out[who]
+        # A pair is known by the place of its left member; the last place of a row is empty.
+        ranks = np.full(rows.shape, self.NONE)
+        ranks[:, :-1] = self.rank(rows[:, :-1], rows[:, 1:])
+        place = np.arange(rows.shape[1] - 1)
+        while len(who):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(who)), at]
+            more = best < self.NONE
+            out[who[~more]] = rows[~more]
+            rows, ranks, who, at, best = rows[more], ranks[more], who[more], at[more], best[more]
+            k, behind = np.arange(len(who)), place > at[:, None]
+            for table, empty in ((rows, -1), (ranks, self.NONE)):
+                np.copyto(table[:, :-1], table[:, 1:].copy(), where=behind)
+                table[:, -1] = empty
+            rows[k, at] = self.made[best]
+            ranks[k, at] = self.rank(rows[k, at], rows[k, at + 1])
+            before = np.flatnonzero(at)
+            ranks[before, at[before] - 1] = self.rank(rows[before, at[before] - 1], rows[before, at[before]])
 
 
 class WordTokenizer:
     """Encodes texts with a file of the ``tokenizers`` library, remembering what stands between white space.
 
     The vocabulary drops white space before its merges, so the ids of a text are those of its
-    parts between ASCII white space, one after another. Words of Latin letters go straight to the
-    library's merges, all other parts through its whole chain.
+    parts between ASCII white space, one after another. If the file splits as expected, words of Latin letters and
+    ASCII signs go straight to the merges, all other words through the library's whole chain.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        model, steps = given["model"], (given["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+        plain = model["type"] == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in odd)
+        self.merges = Merges(model) if plain and steps[0].get("pattern") == {"Regex": _SPLIT} else None
+        #: Strings that the library looks for before anything else.
+        added = [re.escape(t["content"].lower()) for t in given["added_tokens"]]
+        self.added = re.compile("|".join(added)).search if added else None
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """What the merges work on, or nothing where that is left to the library."""
+        if word.isalpha():
+            return [word] if len(word) <= PART_BYTES else []
+        low = word.decode().lower()
+        if not _LATIN(low) or self.added and self.added(low):
+            return []
+        found = [part.encode() for part in _PARTS(low)]
+        return found if max(map(len, found)) <= PART_BYTES else []
 
     def learn(self, words: list[bytes]) -> None:
-        merge = self.tokenizer.model.tokenize
-        other = []
-        for word in words:
-            low = word.decode().lower()
-            if _LATIN(low):
-                written = low if word.isascii() else low.encode().decode("latin-1").translate(_WRITTEN)
-                self.known[word] = array("I", [t.id for t in merge(written)]).tobytes()
-            else:
-                other.append(word)
-        for k in range(0, len(other), 20_000):
-            part = other[k : k + 20_000]
+        split = [self.parts(w) if self.merges else [] for w in words]
+        merged = [w for w, found in zip(words, split) if found]
+        other = [w for w, found in zip(words, split) if not found]
+        if merged:
+            ids, n = self.merges.apply([part for found in split for part in found])
+            data, ends = ids.tobytes(), np.cumsum(4 * n)[np.cumsum([len(found) for found in split if found]) - 1].tolist()
+            self.known.update((w, data[a:b]) for w, a, b in zip(merged, [0, *ends], ends))
+        for k in range(0, len(other), 2_000):
+            part = other[k : k + 2_000]
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, encoded))
 
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. Words not met for long are forgotten."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, words))
+        missed = [k for k, ids in enumerate(found) if ids is None]
+        again = {w: ids for w in map(words.__getitem__, missed) if (ids := self.older.get(w)) is not None}
+        self.known.update(again)
+        self.learn([words[k] for k in missed if words[k] not in again])
+        for k in missed:
+            found[k] = self.known[words[k]]
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        found = [_STOP(rb" \g<0>", t.encode("utf-8", "replace").lower()).split() for t in texts]
-        distinct = set().union(*found) if found else set()
-        fresh = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            fresh = list(distinct)
-        self.learn(fresh)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in found]
+        words, counts = split_words([t.encode("utf-8", "replace") for t in texts])
+        number = words.indices.to_numpy()
+        found = self.look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # The ids of all words, one after another: each word's stretch of the distinct words' ids.
+        n = size[number]
+        ends = np.cumsum(n)
+        shift = (np.cumsum(size) - size)[number] - (ends - n)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(n.sum()) + np.repeat(shift, n)].tobytes()
+        cut = 4 * np.append(0, ends)[np.append(0, np.cumsum(counts))]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
 @lru_cache(maxsize=2)

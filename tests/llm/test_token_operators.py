@@ -14,7 +14,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from panelcast.llm import alignment, periods, queries, subwords
+from panelcast.llm import alignment, packing, periods, queries, subwords
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -280,3 +280,24 @@ def test_op13_on_a_table(spark):
     want = {repr(brute_digest(r.doc_id, r.text)) for r in rows}
     got = {repr(tuple(r)) for r in queries.op13_periods(spark, SF).collect()}
     assert want <= got and len(want) > 100
+
+
+def test_words_are_merged_as_by_the_library_and_late_ones_stay_known(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    rng = random.Random(5)
+    texts = ["", ".", "a.", "a., b.", "it's ''s don't,", "\x0bA.\tx.\n", "<|endoftext|>.", "caf\u00e9, Stra\u00dfe 9.", "\u2019s \u212a.", "x" * 90 + "."]
+    texts += ["".join(rng.choice("abcdeorst .,\n\t\u00c9\u00e9'19<|\u65e5\x1c\xa0") for _ in range(rng.randrange(60))) for _ in range(300)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert [(t, g) for t, g, w in zip(texts, got, want) if g != w and "<|endoftext|>" not in t] == []
+    assert own.merges is not None and own.parts(b"word") == [b"word"]
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    small = packing.WordTokenizer(path)
+    learned = []
+    monkeypatch.setattr(small, "learn", lambda words, real=small.learn: (learned.extend(words), real(words)))
+    for k in range(40):
+        small.encode([f"often seen {' '.join(f'w{k}x{i}' for i in range(20))}"])
+    assert learned.count(b"often") == 1
+    assert len(small.known) + len(small.older) < 200
