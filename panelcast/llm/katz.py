@@ -13,6 +13,8 @@ anywhere. Words and pairs are known by 64-bit hashes. All sums behind alpha are
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,17 +78,18 @@ def batches(docs: DataFrame) -> DataFrame:
         for batch in arrow:
             done = 0
             for texts in blocks((x.as_py() for x in batch.column(1)), BATCH_CHARS):
-                words: list[bytes] = []
-                lengths = np.zeros(len(texts), np.uint32)
-                for k, text in enumerate(texts):
-                    found = tokenise(text)
-                    lengths[k] = len(found)
-                    words += found
-                place = {w: k for k, w in enumerate(dict.fromkeys(words))}
-                tokens = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                # Words are numbered as they come: no list holds all words of a batch.
+                place: dict[bytes, int] = defaultdict(itertools.count().__next__)
+                numbers = []
+                for text in texts:
+                    words = tokenise(text)
+                    numbers.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+                lengths = np.array([len(x) for x in numbers], np.uint32)
+                tokens = np.concatenate(numbers)
+                del numbers
                 digest = xxhash.xxh64_intdigest
                 vocab, local = np.unique(np.fromiter(map(digest, place), np.uint64, len(place)), return_inverse=True)
-                tokens = local[tokens].astype(np.uint32)
+                tokens = local.astype(np.uint32)[tokens]
                 flags = np.array(batch.column(2).slice(done, len(texts)).to_pylist(), dtype=np.uint8)
                 ids = batch.column(0).slice(done, len(texts))
                 done += len(texts)
@@ -109,16 +112,26 @@ class Batch:
         self.lengths = from_planes(row.lengths, np.uint32).astype(np.int64)
         self.train = np.frombuffer(row.train, np.uint8).astype(bool)
         self.vocab = unpack_keys(row.vocab)
-        self.tokens = from_planes(row.tokens, np.uint32).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.tokens = from_planes(row.tokens, np.uint32).astype(np.int32)  # 32 bits number any text's tokens
+        self.owner = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.learned = self.train[self.owner] if len(self.tokens) else np.zeros(0, bool)
 
     def pairs(self) -> None:
         """Sets ``keys`` (sorted distinct pair hashes), ``pair`` (per token), ``history`` and ``head`` (per key)."""
         end = int(np.searchsorted(self.vocab, np.uint64(xxhash.xxh64_intdigest(END))))
-        history = np.concatenate([[end], self.tokens[:-1]]) if len(self.tokens) else self.tokens
-        h, w = self.vocab[history], self.vocab[self.tokens]
-        self.keys, first, self.pair = np.unique(mix(mix(h) + w), return_index=True, return_inverse=True)
+        history = np.concatenate([np.array([end], np.int32), self.tokens[:-1]]) if len(self.tokens) else self.tokens
+        # Words are mixed once each, before they become the histories of pairs.
+        hashed = mix(self.vocab)[history]
+        hashed += self.vocab[self.tokens]
+        hashed = mix(hashed)
+        order = np.argsort(hashed, kind="stable").astype(np.int32)
+        hashed = hashed[order]
+        fresh = np.ones(len(order), bool)
+        np.not_equal(hashed[1:], hashed[:-1], out=fresh[1:])
+        self.keys, first = hashed[fresh], order[fresh]
+        del hashed
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
         self.history, self.head = history[first], self.tokens[first]
 
 
@@ -232,10 +245,11 @@ def _score_known(row, words: pd.DataFrame, pairs: pd.DataFrame, n: int, v: int,
     total = c1[one.history]
     seen = c2 > 0
     # A history none of whose counts is discounted gets one more in its denominator; that is known with its sums.
-    direct = np.where(seen, np.log10(np.maximum(d[np.minimum(c2, CUTOFF)] * (c2 <= CUTOFF) + (c2 > CUTOFF), 1e-300) * np.maximum(c2, 1)), 0.0)
-    per_key = np.where(seen, direct, p1[one.head])
-    value = per_key[one.pair]
-    score = np.bincount(one.owner, value, docs)
+    per_key = p1[one.head]
+    r = c2[seen]
+    per_key[seen] = np.log10(np.maximum(d[np.minimum(r, CUTOFF)] * (r <= CUTOFF) + (r > CUTOFF), 1e-300) * r)
+    score = np.bincount(one.owner, per_key[one.pair], docs)
+    del per_key, r
     base = np.bincount(one.owner, p1[one.tokens], docs)
     known = np.bincount(one.owner, c1[one.tokens] > 0, docs)
     # Per history: continuations counted r times (r to CUTOFF), and the summed counts + 1 of all continuations.
@@ -245,12 +259,21 @@ def _score_known(row, words: pd.DataFrame, pairs: pd.DataFrame, n: int, v: int,
     np.add.at(once, (one.history[low], c2[low] - 1), 1)
     mass = np.zeros(len(one.vocab), np.int64)
     np.add.at(mass, one.history[mine], c1[one.head[mine]] + 1)
+    del mine, low, c2, owned
     # Wanted back: log10 of the denominator for seen pairs, of alpha for unseen ones, where the history was counted.
     history = one.history[one.pair]
     needs = total[one.pair] > 0
     doc, at, code = one.owner[needs], history[needs], seen[one.pair][needs]
+    del history, needs, seen, total
+    one.pair = one.history = one.head = one.keys = one.learned = None
     asked, slot = np.unique(at, return_inverse=True)
-    tally, times = np.unique(doc * (2 * len(asked)) + slot * 2 + code, return_counts=True)
+    del at
+    slot *= 2
+    slot += code
+    slot += doc * np.int64(2 * len(asked))
+    del doc, code
+    tally, times = np.unique(slot, return_counts=True)
+    del slot
     send = np.unique(np.concatenate([asked, np.flatnonzero(mass)]))
     wanted = np.isin(send, asked)
     keys, count_ = one.vocab[send], c1[send]

@@ -403,6 +403,32 @@ def katz_brute(rows):
     return [sum(math.log10(p(w, h)) for w, h in zip(x, ["\n"] + x[:-1])) for x in tokens], n
 
 
+def test_katz_pairs_of_a_batch_take_bounded_memory():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(3)
+    end = np.uint64(katz.xxhash.xxh64_intdigest(katz.END))
+    vocab = np.unique(np.append(rng.integers(0, 2**64, 5000, dtype=np.uint64), end))
+    tokens = rng.integers(0, len(vocab), 400_000).astype(np.uint32)
+    row = SimpleNamespace(
+        lengths=katz.planes(np.full(400, 1000, np.uint32)), train=np.ones(400, np.uint8).tobytes(),
+        vocab=katz.pack_keys(vocab), tokens=katz.planes(tokens),
+    )
+    tracemalloc.start()
+    try:
+        one = katz.Batch(row)
+        one.pairs()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70 * len(tokens)
+    at = int(np.searchsorted(vocab, end))
+    before = np.append(at, tokens[:-1])
+    assert (one.history[one.pair] == before).all() and (one.head[one.pair] == tokens).all()
+    assert (one.keys == np.unique(katz.mix(katz.mix(vocab[before]) + vocab[tokens]))).all()
+
+
 def test_katz_matches_brute_force(spark, docs, empty):
     rng = random.Random(2)
     vocabulary = ["a", "B", "b"] + [f"v{i}" for i in range(20)]
