@@ -156,10 +156,12 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             given = json.load(file)
-        model, steps = given["model"], (given["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        model, steps = given["model"], (given.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         odd = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
-        plain = model["type"] == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in odd)
-        self.merges = Merges(model) if plain and steps[0].get("pattern") == {"Regex": _SPLIT} else None
+        plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in odd)
+        plain = plain and steps[0].get("pattern") == {"Regex": _SPLIT} and model["merges"]
+        plain = plain and all(chr(_WRITTEN.get(b, b)) + x in model["vocab"] for b in range(256) for x in ("", model["end_of_word_suffix"]))
+        self.merges = Merges(model) if plain else None
         #: Strings that the library looks for before anything else.
         added = [re.escape(t["content"].lower()) for t in given["added_tokens"]]
         self.added = re.compile("|".join(added)).search if added else None
