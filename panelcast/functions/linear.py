@@ -26,6 +26,19 @@ def moments(rows: str) -> str:
     return let(rows, "pts", f"CASE WHEN size(pts) > 0 THEN {body} END")
 
 
+def one_factor_moments(rows: str) -> str:
+    """STRUCT(n, saa, say, syy) of rows STRUCT(y, a), equal to those of ``moments``; NULL without rows."""
+    totals = """aggregate(pts, struct(0D AS y, 0D AS a),
+        (s, r) -> struct(s.y + r.y AS y, s.a + r.a AS a))"""
+    means = "struct(tt.y / size(pts) AS y, tt.a / size(pts) AS a)"
+    centred = """aggregate(pts, struct(0D AS aa, 0D AS ay, 0D AS yy), (s, r) -> struct(
+        s.aa + (r.a - c.a) * (r.a - c.a) AS aa, s.ay + (r.a - c.a) * (r.y - c.y) AS ay,
+        s.yy + (r.y - c.y) * (r.y - c.y) AS yy))"""
+    out = "struct(size(pts) AS n, z.aa AS saa, z.ay AS say, z.yy AS syy)"
+    body = let(totals, "tt", let(means, "c", let(centred, "z", out)))
+    return let(rows, "pts", f"CASE WHEN size(pts) > 0 THEN {body} END")
+
+
 def two_factor_fit(m: str) -> str:
     """Minimum-norm STRUCT(b0, ba, bb, sse) from moments ``m`` (a plain name).
 

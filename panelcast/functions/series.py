@@ -58,8 +58,12 @@ def interpolate(y: str) -> str:
         get(s, b.p) + (get(s, b.n) - get(s, b.p)) * (i - b.p) / (b.n - b.p),
         get(s, b.p), get(s, b.n))"""
     positions = "filter(sequence(0, size(s) - 1), k -> get(s, k) IS NOT NULL)"
-    fill = f"transform(s, (v, i) -> coalesce(v, {let(neighbours, 'b', line)}))"
-    return let(y, "s", let(positions, "at", fill))
+    # Most gaps lie before the first or behind the last value and need no search.
+    fill = f"""transform(s, (v, i) -> CASE WHEN v IS NOT NULL THEN v
+        WHEN i < ends.first THEN get(s, ends.first) WHEN i > ends.last THEN get(s, ends.last)
+        ELSE {let(neighbours, 'b', line)} END)"""
+    ends = "struct(get(at, 0) AS first, get(at, size(at) - 1) AS last)"
+    return let(y, "s", let(positions, "at", let(ends, "ends", fill)))
 
 
 def quantile7(v: str, p: float) -> str:
@@ -78,7 +82,7 @@ def iqr_fence(resid: str, width: float) -> str:
         q.q1 - {width}D * (q.q3 - q.q1) AS low, q.q3 + {width}D * (q.q3 - q.q1) AS high)"""
     keep = "CASE WHEN f.q3 - f.q1 > 0 AND f.high - f.low > 1e-14D THEN f END"
     return let(
-        f"array_sort({known(resid)})", "rs", let(quartiles, "q", let(bounds, "f", keep))
+        f"sort_array({known(resid)})", "rs", let(quartiles, "q", let(bounds, "f", keep))
     )
 
 

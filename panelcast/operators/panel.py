@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import full_month_starts, month_start, month_text
-from panelcast.functions.series import interpolate
+from panelcast.functions.series import interpolate, let
 from panelcast.functions.shape import settle, unfold
 from panelcast.operators.weather import weather_matrix
 from panelcast.schemas import DJU_COLUMNS, KEY
@@ -103,7 +103,7 @@ def _rows_on_spine(pred: str) -> str:
     extra = f"""transform(array_except({pred}, inv.month), m -> struct(
         m AS month, m AS start, last_day(m) AS end, CAST(NULL AS DOUBLE) AS value,
         0L AS n_invoices))"""
-    return f"""transform(array_sort(concat(inv, {extra})), r -> struct(
+    return f"""transform(sort_array(concat(inv, {extra})), r -> struct(
         r.month AS month, r.start AS start, r.end AS end, r.value AS value,
         r.n_invoices AS n_invoices,
         coalesce(r.value IS NOT NULL AND r.start >= start_ref AND r.end <= end_ref, false)
@@ -134,16 +134,17 @@ def series_table(monthly: DataFrame, sites: DataFrame, parts: DataFrame) -> Data
         .withColumn("spine", F.expr(_rows_on_spine("pred_months")))
     )
     refs = f"sequence(0, {len(DJU_COLUMNS) - 1})"
-    offset = "int(months_between({0}, {1}))"
-    factor = "transform(spine, r -> get(values, {0}))".format(
-        offset.format("r.month", "factor_first")
-    )
+    number = "(12 * year({0}) + month({0}))"
+
+    def from_first(first: str, array: str) -> str:
+        """The elements of a calendar array, which begins with month ``first``, at the months of the spine."""
+        return let(number.format(first), "m0", f"transform(month_numbers, m -> get({array}, m - m0))")
+
+    factor = from_first("factor_first", "values")
     no_dju = f"array_repeat(CAST(NULL AS DOUBLE), {len(DJU_COLUMNS)})"
     table = (
-        series.withColumn(
-            "station",
-            F.expr(f"transform(spine, r -> get(weather, {offset.format('r.month', 'weather_first')}))"),
-        )
+        series.withColumn("month_numbers", F.expr(f"transform(spine, r -> {number.format('r.month')})"))
+        .withColumn("station", F.expr(from_first("weather_first", "weather")))
         .withColumn(
             "dju_seen",
             F.expr(f"transform({refs}, k -> exists(station, w -> coalesce(get(w.present, k), false)))"),
@@ -173,7 +174,8 @@ def series_table(monthly: DataFrame, sites: DataFrame, parts: DataFrame) -> Data
             *KEY, "weather_station", *WINDOW_COLUMNS, "factor_types", "dju_seen", "dju_gaps", "rows"
         )
     )
-    return settle(table, ["dju_seen", "dju_gaps", "rows"])
+    # dju_gaps stays outside, so that plans that do not read it do not work it out.
+    return settle(table, ["dju_seen", "rows"]).select(table.columns)
 
 
 def dju_column(k: int) -> Column:

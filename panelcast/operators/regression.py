@@ -46,10 +46,16 @@ def accuracy(df: DataFrame, keys: list[str], y: str, fitted: str, p: int) -> Dat
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row: a column used n times is worked out n times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _mean(values: Column) -> Column:
     """Mean of an array without NULLs; NULL for an empty one."""
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    return F.when(F.size(values) > 0, total / F.size(values))
+    return _let(values, lambda a: F.when(
+        F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    ))
 
 
 def accuracy_of_pairs(pairs: Column, p: Column) -> dict[str, Column]:
@@ -60,9 +66,13 @@ def accuracy_of_pairs(pairs: Column, p: Column) -> dict[str, Column]:
         F.filter(pairs, lambda r: r.fitted != 0), lambda r: (r.fitted - r.y) / r.fitted * 100
     )
     squares = F.transform(err, lambda e: e * e)
-    mean_y = _mean(F.transform(pairs, lambda r: r.y))
-    sst = n * _mean(F.transform(pairs, lambda r: (r.y - mean_y) * (r.y - mean_y)))
-    r2 = F.when((n >= 3) & (sst > 1e-12), 1 - n * _mean(squares) / F.when(sst > 1e-12, sst))
+    # The mean is taken before the pass over the pairs, not once for each of them.
+    sst = _let(_mean(F.transform(pairs, lambda r: r.y)), lambda m: n * _mean(
+        F.transform(pairs, lambda r: (r.y - m) * (r.y - m))
+    ))
+    r2 = _let(sst, lambda s: F.when(
+        (n >= 3) & (s > 1e-12), 1 - n * _mean(squares) / F.when(s > 1e-12, s)
+    ))
     spare = F.when(n - p - 1 > 0, n - p - 1)
     return {
         "ME": _mean(err),

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.linear import adj_r2, moments
+from panelcast.functions.linear import adj_r2, one_factor_moments
 from panelcast.functions.series import let, mean, var_pop
 from panelcast.functions.shape import settle, unfold
 from panelcast.schemas import (
@@ -85,12 +85,16 @@ def reference_scores() -> Column:
     """
 
     pairs = """filter(
-        transform(train, r -> struct(r.value AS y, get(r.dju, k) AS a, 0D AS b)),
+        transform(train, r -> struct(r.value AS y, get(r.dju, k) AS a)),
         r -> r.y IS NOT NULL AND r.a IS NOT NULL)"""
     sse = "(m.syy - CASE WHEN m.saa = 0 THEN 0D ELSE m.say * m.say / m.saa END)"
     score = f"CASE WHEN m.n >= {MIN_OBSERVATIONS} THEN {adj_r2('m.n', sse, 'm.syy', '1')} END"
     last = len(DJU_COLUMNS) - 1
-    return F.expr(f"transform(sequence(0, {last}), k -> {let(moments(pairs), 'm', score)})")
+    # Series with fewer rows have no score, so none of their sums is worked out.
+    return F.expr(
+        f"""transform(sequence(0, {last}), k -> CASE WHEN size(train) >= {MIN_OBSERVATIONS}
+            THEN {let(one_factor_moments(pairs), 'm', score)} END)"""
+    )
 
 
 def _best(names: list[str]) -> Column:

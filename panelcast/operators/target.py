@@ -118,9 +118,16 @@ def build_target(df: DataFrame, impute: bool = True) -> DataFrame:
     corrected = f"CASE WHEN blanked IS NULL THEN raw ELSE {fill_from('blanked', filler)} END"
     df = df.withColumn("corrected", F.expr(corrected))
 
-    targets = ["imputed", _without_zeros("imputed"), "corrected", _without_zeros("corrected")]
-    df = df.withColumn("scores", F.expr(_scores(targets)))
     has_zeros = "exists(imputed, v -> v = 0)"
+    same = "(n_anomalies = 0 AND n_missing = 0)"
+    # A target that equals an earlier one is not scored again.
+    targets = [
+        "imputed",
+        f"CASE WHEN {has_zeros} THEN {_without_zeros('imputed')} END",
+        f"CASE WHEN NOT {same} THEN corrected END",
+        f"CASE WHEN {has_zeros} AND NOT {same} THEN {_without_zeros('corrected')} END",
+    ]
+    df = df.withColumn("scores", F.expr(_scores(targets)))
     df = df.withColumn(
         "score_nonzero", F.expr(f"CASE WHEN {has_zeros} THEN scores[1] ELSE scores[0] END")
     )
@@ -131,10 +138,12 @@ def build_target(df: DataFrame, impute: bool = True) -> DataFrame:
     df = df.withColumns(
         {
             "score_imputed": F.expr("CASE WHEN drop_zeros THEN score_nonzero ELSE scores[0] END"),
-            "score_corrected": F.expr("CASE WHEN drop_zeros THEN scores[3] ELSE scores[2] END"),
+            "score_corrected": F.expr(
+                f"""CASE WHEN {same} THEN CASE WHEN drop_zeros THEN score_nonzero ELSE scores[0] END
+                WHEN drop_zeros AND {has_zeros} THEN scores[3] ELSE scores[2] END"""
+            ),
         }
     )
-    same = "(n_anomalies = 0 AND n_missing = 0)"
     df = df.withColumn(
         "best_y",
         F.expr(

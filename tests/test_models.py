@@ -1,5 +1,6 @@
 """Decisions, targets, accuracy and the end-to-end run on small literal inputs."""
 
+import time
 from datetime import date
 
 import numpy as np
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.calendar import month_spine
-from panelcast.operators.regression import accuracy
+from panelcast.operators.panel import series_table
+from panelcast.operators.regression import accuracy, accuracy_of_pairs
 from panelcast.operators.reports import building_metrics, outliers_table, until_month
 from panelcast.operators.strategy import choose_references, decide_strategy
 from panelcast.operators.target import build_target
@@ -317,3 +319,70 @@ def test_invoices_are_restricted_before_any_shuffle_of_them(spark):
     semi = max(k for k, line in enumerate(plan) if "LeftSemi" in line and "deliverypoint_id_primaire" in line)
     first_sum = max(k for k, line in enumerate(plan) if "Aggregate" in line and "invoice_id_primaire" in line)
     assert semi > first_sum  # deeper in the plan, so earlier in the run
+
+
+def test_accuracy_of_a_long_series_takes_the_mean_once(spark):
+    """With the mean worked out again for every pair these 4,000 pairs need about 1.7e9 steps."""
+    rng = np.random.default_rng(3)
+    y, fitted = rng.normal(50, 9, 4000), rng.normal(50, 9, 4000)
+    pairs = [(float(a), float(b)) for a, b in zip(y, fitted)]
+    df = spark.createDataFrame([(pairs, 2), ([], 2)], "pairs array<struct<y:double,fitted:double>>, p int")
+    began = time.time()
+    got, empty = df.select(*[c.alias(n) for n, c in accuracy_of_pairs(F.col("pairs"), F.col("p")).items()]).collect()
+    assert time.time() - began < 15
+    err = fitted - y
+    r2 = 1 - (err**2).sum() / ((y - y.mean()) ** 2).sum()
+    assert got.RMSE == pytest.approx(np.sqrt((err**2).mean())) and got.ME == pytest.approx(err.mean())
+    assert got.R2 == pytest.approx(r2) and got.adjR2 == pytest.approx(1 - (1 - r2) * 3999 / 3997)
+    assert all(v is None for v in empty)
+
+
+def test_scores_of_targets_that_are_equal_or_not(spark):
+    """A target equal to an earlier one takes its score; zeros and anomalies are scored by themselves."""
+    rng = np.random.default_rng(5)
+    h = rng.uniform(10, 100, 12)
+    dju = [[float(v)] * 3 + [0.0] * 3 for v in h]
+    plain = 3 * h + rng.normal(0, 2, 12)
+    zeros, spike = plain.copy(), 200 + np.arange(12.0) + rng.normal(0, 0.1, 12)
+    zeros[4] = 0.0
+    spike[6] += 500
+    both = spike.copy()
+    both[2] = 0.0
+    df = choose_references(decide_strategy(series(spark, plain, zeros, spike, both, dju=dju)))
+    got = build_target(df, impute=False).orderBy("deliverypoint_id_primaire").collect()
+
+    def score(y, a, p):
+        x = np.column_stack([np.ones(len(a)), a])
+        sse = ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()
+        return 1 - sse / ((y - y.mean()) ** 2).sum() * (len(y) - 1) / (len(y) - p - 1)
+
+    factors = [(r.hdd_pos is not None) + (r.cdd_pos is not None) for r in got]
+    for r, y, p in zip(got, (plain, zeros, spike, both), factors):
+        kept = np.ones(12, bool) if not r.drop_zeros else y != 0
+        assert r.score_imputed == pytest.approx(score(y[kept], h[kept], p))
+        months_kept = {t.month: t.consumption_correction for t in r.target}
+        corrected = np.array([months_kept[m] for m, k in zip(months(12), kept) if k])
+        assert r.score_corrected == pytest.approx(score(corrected, h[kept], p))
+    assert [r.n_anomalies > 0 for r in got][::2] == [False, True] and got[1].drop_zeros
+
+
+def test_gaps_of_weather_are_worked_out_only_where_they_are_read(spark):
+    """A series table read without its gaps of weather has no text of months in its plan."""
+    at = date(2020, 1, 1)
+    monthly = spark.createDataFrame(
+        [("B", "P", "gas", at, date(2020, 1, 31), 5.0)], f"{KEYS}, start date, end date, value double"
+    )
+    sites = spark.createDataFrame(
+        [("B", "S", at, date(2020, 12, 31), date(2021, 1, 1), date(2021, 2, 28), at,
+          [([1.0] * 6, [True] * 6)], [], None, [])],
+        "id_building_primaire string, weather_station string, start_ref date, end_ref date, start_pred date, "
+        "end_pred date, weather_first date, weather array<struct<dju:array<double>,present:array<boolean>>>, "
+        "factor_types array<string>, factor_first date, factor_values array<array<double>>",
+    )
+    parts = spark.createDataFrame([("B", 1)], "id_building_primaire string, parts int")
+    table = series_table(monthly, sites, parts)
+    (r,) = table.collect()
+    assert list(r.dju_gaps) == [["2021-01", "2021-02"]] * 6
+    assert [x.dju for x in r.rows] == [[1.0] * 6, [None] * 6, [None] * 6]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "yyyy-MM" in plan(table) and "yyyy-MM" not in plan(table.select("rows"))
