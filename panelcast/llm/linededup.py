@@ -50,7 +50,8 @@ def rarity(texts: DataFrame) -> Column:
     All words of all texts are counted. The number of buckets is fixed, so this is all that reaches the
     driver at any size.
     """
-    words = texts.select(F.explode(F.split(F.col("text"), "[ \n]")).alias("w"))
+    # One character splits without a regular expression.
+    words = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
     counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).unionAll(
         texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     )
@@ -59,30 +60,48 @@ def rarity(texts: DataFrame) -> Column:
     )
     back = F.array_sort(F.transform("s", lambda x, i: F.struct(x["b"].alias("b"), i.alias("r"))))
     ranks = ordered.select(F.transform(back, lambda x: x["r"]).alias("ranks")).first()["ranks"]
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    high = [(r - BUCKETS // 2) << (64 - BUCKET_BITS) for r in ranks]
+    return F.split(F.lit(",".join(map(str, high))), ",").cast("array<bigint>")
 
 
-def shingles(line: Column, ranks: Column) -> Column:
-    """Distinct tokens of the line's five-word shingles, or of all its one to four words, rarest first; none if blank.
+def _with_words(lines: DataFrame, ranks: Column) -> DataFrame:
+    """``lines`` with w, the words of ``line``, r, their ranks, and m, how many five-word shingles there are, repeats included."""
+    w = lines.select("*", F.explode(F.array(F.split("line", " "))).alias("w"))
+    # Sorting longs runs compiled if there can be no null.
+    rank = F.transform("w", lambda x: F.coalesce(F.get(ranks, _bucket(x)), F.lit(0)))
+    # Behind a generator the optimizer cannot copy an expression into functions that run once per word.
+    return w.select("*", F.explode(F.array(rank)).alias("r"), F.greatest(F.size("w") - (SHINGLE - 1), F.lit(0)).alias("m"))
+
+
+def _tokens(places: Column) -> Column:
+    """Distinct tokens of the shingles that begin at these places of w, rarest first.
 
     A token is the rank of the shingle's first word, which no shingle can be more frequent than, before the
-    low bits of the shingle's 64-bit hash.
+    high bits of the shingle's 64-bit hash.
     """
-    rest = 64 - BUCKET_BITS
 
-    def token(w: Column, i: Column) -> Column:
-        rank = F.get(ranks, _bucket(F.get(w, i))) - BUCKETS // 2
-        low = F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]).bitwiseAND(F.lit((1 << rest) - 1))
-        return F.shiftleft(rank.cast("long"), rest).bitwiseOR(low)
+    def token(i: Column) -> Column:
+        mixed = F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])
+        return F.coalesce(F.get("r", i).bitwiseOR(F.shiftrightunsigned(mixed, BUCKET_BITS)), F.lit(0))
+
+    return F.sort_array(F.array_distinct(F.transform(places, token)))
+
+
+def _places() -> Column:
+    return F.when(F.col("m") > 0, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array().cast("array<int>"))
+
 
-    return let(F.split(line, " "), lambda w: F.when(
-        F.size(w) >= SHINGLE,
-        F.sort_array(F.array_distinct(F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: token(w, i)
-        ))),
-    ).when(
-        line != "", F.array(F.xxhash64(F.size(w), line))
-    ).otherwise(F.array().cast("array<bigint>")))
+def _prefix(words: DataFrame) -> DataFrame:
+    """``words`` with prefix: the rarest tokens of the line, never fewer than its set's prefix.
+
+    Shingles of different ranks differ. So the first words up to the rank that is the p-th distinct one, p as long
+    as a prefix of m can be, begin p different shingles or more, and they are the first of the whole sorted set.
+    """
+    longest = F.col("m") - _least(F.col("m"))
+    sorted_ranks = F.sort_array(F.array_distinct(F.slice("r", F.lit(1), F.col("m"))))
+    last = F.coalesce(F.get(sorted_ranks, longest), F.lit((1 << 63) - 1))
+    places = let(last, lambda t: F.filter(_places(), lambda i: F.get("r", i) <= t))
+    return words.withColumn("prefix", _tokens(places))
 
 
 def _least(n: Column) -> Column:
@@ -120,115 +139,132 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _line_sets(docs: DataFrame, ranks: Column) -> DataFrame:
-    """(place, cls, n, prefix) of every line with a shingle. ``cls`` stands for the line's set."""
-    tokens = shingles(F.col("line"), ranks)
-    # Behind the generator the filter cannot be pushed down, which would compute every set twice.
-    return stored(
-        _lines(docs)
-        .select(*PLACE, F.explode(F.array(tokens)).alias("tokens"))
-        .where(F.size("tokens") > 0)
-        .select(
-            *PLACE, F.xxhash64("tokens").alias("cls"), F.size("tokens").alias("n"),
-            F.slice("tokens", F.lit(1), F.size("tokens") - _least(F.size("tokens")) + 1).alias("prefix"),
-        ),
-        "lines",
-    )
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, after which Spark removes the shuffle files of this write instead of at some later collection."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def _line_prefixes(docs: DataFrame, ranks: Column) -> DataFrame:
+    """(place, cls, m, prefix) of every line with a word. ``cls`` stands for the line's words."""
+    words = _prefix(_with_words(_lines(docs).where("line <> ''"), ranks))
+    return _kept(words.select(*PLACE, F.xxhash64("line").alias("cls"), "m", "prefix"), "lines")
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """One row per distinct set: its first place and how many lines have it."""
+    """One row per distinct line: its first place and how often it comes."""
     first = F.min(F.struct(*PLACE)).alias("place")
-    grouped = lines.groupBy("cls", "n").agg(first, F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
-    return stored(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    grouped = lines.groupBy("cls", "m").agg(first, F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
+    return _kept(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
 def _meeting(classes: DataFrame) -> DataFrame:
-    """(id, at, token, first_id): prefix shingles that two or more classes share.
+    """(id, m, at, token): prefix shingles that two or more classes share, and their place in the class's sorted set.
 
-    A class of fewer than four shingles is similar to none but itself: 3 of 4 are less than 0.8.
+    The first shingle that a similar pair shares lies in the first ninth of the smaller set, so one class at
+    least has it there.
     """
-    prefixes = classes.where(F.col("n") >= NUMERATOR).select("id", F.col("place.doc_id").alias("doc_id"), F.posexplode("prefix").alias("at", "token"))
-    # One exchange serves the counts and the rows themselves.
+    prefixes = classes.where("m > 0").select("id", "m", F.posexplode("prefix").alias("at", "token"))
+    # One exchange serves the counts and the rows themselves, as both need all columns.
     prefixes = prefixes.repartition("token")
-    # min skips nulls, but a null doc_id is the first place. A minimum of structs would need a sort.
-    first_id = F.when(F.count("doc_id") == F.count("*"), F.min("doc_id")).alias("first_id")
-    shared = prefixes.groupBy("token").agg(F.count("*").alias("df"), first_id).where("df > 1")
-    return stored(prefixes.drop("doc_id").join(shared.select("token", "first_id"), "token"), "meeting")
-
-
-def _entries(classes: DataFrame, meeting: DataFrame) -> DataFrame:
-    """Shared prefix shingles with their class and the token's leader, its earliest class."""
-    entries = meeting.join(classes.select("id", "cls", "n", "place"), "id").drop("id")
-    leaders = entries.where(F.col("place.doc_id").eqNullSafe(F.col("first_id"))).groupBy("token").agg(
-        F.min(F.struct("place", "cls")).alias("leader")
-    )
-    return stored(
-        entries.drop("first_id").join(leaders.select("token", F.col("leader.cls").alias("leader")), "token"), "entries"
-    )
-
-
-def _sets(docs: DataFrame, entries: DataFrame, ranks: Column) -> DataFrame:
-    """(cls, tokens) of the classes in ``entries``, from the texts again."""
-    wanted = entries.select("cls", "place").distinct().select("cls", "place.*")
-    by_doc = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("line_no", "cls")).alias("wanted"))
+    early = F.min(F.col("at") + _overlap(F.col("m"), F.col("m")) - F.col("m"))
+    shared = prefixes.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b"), early.alias("early"))
+    shared = shared.where("a <> b AND early <= 0").select("token")
+    meeting = prefixes.join(shared.hint("shuffle_hash"), "token", "left_semi")
+    return _kept(meeting, "meeting")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, meeting: DataFrame, ranks: Column) -> DataFrame:
+    """(id, place, n, tokens) of the classes in ``meeting``, from the texts again."""
+    wanted = classes.select("id", "place").join(meeting.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    by_doc = wanted.groupBy("place.doc_id", "place.key").agg(F.collect_list(F.struct("id", "place")).alias("wanted"))
+    by_doc = by_doc.withColumnRenamed("key", "k").hint("shuffle_hash")
     mine = docs.select("key", F.col("doc_id").alias("d"), "text").join(
-        by_doc.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("d").eqNullSafe(F.col("doc_id"))
+        by_doc, (F.col("key") == F.col("k")) & F.col("d").eqNullSafe(F.col("doc_id"))
     )
     found = mine.select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("lines"))
+    found = found.select("w.*", F.get("lines", F.col("w.place.line_no")).alias("line"))
     # Rows equal in doc_id and text give a class twice.
-    found = found.select("w.cls", F.get("lines", F.col("w.line_no")).alias("line")).dropDuplicates(["cls"])
-    return stored(found.select("cls", shingles(F.col("line"), ranks).alias("tokens")), "sets")
+    words = _with_words(found.dropDuplicates(["id"]), ranks)
+    tokens = words.select("id", "place", _tokens(_places()).alias("tokens"))
+    return _kept(tokens.select("id", "place", F.size("tokens").alias("n"), "tokens"), "sets")
+
+
+def _fits(n: Column, at: Column, m: Column, bt: Column) -> Column:
+    """Length and positional filter of two sets of n and m that share the shingles at places at and bt."""
+    left = F.least(n - at, m - bt) + F.least(at, bt)
+    return (n >= _least(m)) & (m >= _least(n)) & (left >= _overlap(n, m))
+
+
+def _entries(meeting: DataFrame, sets: DataFrame) -> DataFrame:
+    """Shared prefix shingles that pass the filters with some other class, their class and the token's leader.
+
+    The leader is the earliest of these classes.
+    """
+    known = meeting.drop("m").join(sets.select("id", "place", "n"), "id").where(F.col("at") <= F.col("n") - _least(F.col("n")))
+    other = known.select(F.col("token").alias("o_token"), *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "at")])
+    entries = _kept(known.join(
+        other,
+        (F.col("token") == F.col("o_token")) & (F.col("id") != F.col("o_id"))
+        & _fits(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at")),
+        "left_semi",
+    ), "fitting")
+    leaders = entries.groupBy("token").agg(F.min(F.struct("place", "id")).alias("leader"))
+    return _kept(entries.join(leaders.select("token", F.col("leader.id").alias("leader")), "token"), "entries")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (cls, other), the classes with a similar partner."""
-    a = sets.select("cls", F.col("tokens").alias("a"))
-    b = sets.select(F.col("cls").alias("other"), F.col("tokens").alias("b"))
-    similar = pairs.join(a, "cls").join(b, "other").where(_similar(F.col("a"), F.col("b")))
-    return stored(similar.select("cls").distinct(), "verified")
+    """Of pairs (id, other), the classes with a similar partner."""
+    a = sets.select("id", F.col("tokens").alias("a"))
+    b = sets.select(F.col("id").alias("other"), F.col("tokens").alias("b"))
+    similar = pairs.join(a, "id").join(b, "other").where(_similar(F.col("a"), F.col("b")))
+    return _kept(similar.select("id").distinct(), "verified")
 
 
 def _to_leaders(entries: DataFrame) -> DataFrame:
-    """(cls, other): per class the leader that most of its prefix shingles have."""
-    common = entries.where("cls <> leader").groupBy("cls", "leader").agg(F.count("*").alias("n"))
-    return common.groupBy("cls").agg(F.max(F.struct("n", "leader")).alias("m")).select("cls", F.col("m.leader").alias("other"))
+    """(id, other): per class the leader that most of its prefix shingles have."""
+    common = entries.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
+    return common.groupBy("id").agg(F.max(F.struct("n", "leader")).alias("m")).select("id", F.col("m.leader").alias("other"))
 
 
 def _to_earlier(entries: DataFrame, settled: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of a class that is not settled and an earlier one that pass all filters."""
-    maps = sets.select("cls", *[_bitmap(F.col("tokens"), k).alias(f"m{k}") for k in range(4)])
-    names = ("cls", "place", "n", "at", "m0", "m1", "m2", "m3")
-    open_ = stored(entries.where("cls <> leader").join(settled, "cls", "left_anti").drop("leader").join(maps, "cls"), "open")
+    maps = sets.select("id", *[_bitmap(F.col("tokens"), k).alias(f"m{k}") for k in range(4)])
+    names = ("id", "place", "n", "at", "m0", "m1", "m2", "m3")
+    open_ = _kept(entries.where("id <> leader").join(settled, "id", "left_anti").drop("leader").join(maps, "id"), "open")
     later = open_.select(F.col("token").alias("q_token"), *[F.col(c).alias(f"q_{c}") for c in names])
     # Only shingles that an open class has are looked at again.
-    index = entries.drop("leader").join(open_.select("token").distinct(), "token", "left_semi").join(maps, "cls")
+    index = entries.drop("leader").join(open_.select("token").distinct(), "token", "left_semi").join(maps, "id")
     need = _overlap(F.col("n"), F.col("q_n"))
     differing = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"q_m{k}"))) for k in range(4)), F.lit(0))
-    left = F.least(F.col("n") - F.col("at"), F.col("q_n") - F.col("q_at")) + F.least("at", "q_at")
     return index.join(
         later,
         (F.col("token") == F.col("q_token")) & (F.col("place") < F.col("q_place"))
-        & (F.col("n") >= _least(F.col("q_n"))) & (F.col("q_n") >= _least(F.col("n")))
-        & (left >= need) & (F.col("n") + F.col("q_n") - differing >= 2 * need),
-    ).select(F.col("q_cls").alias("cls"), F.col("cls").alias("other")).distinct()
+        & _fits(F.col("n"), F.col("at"), F.col("q_n"), F.col("q_at")) & (F.col("n") + F.col("q_n") - differing >= 2 * need),
+    ).select(F.col("q_id").alias("id"), F.col("id").alias("other")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, line_no) of every line that has an earlier match; ``docs``: doc_id, key, text."""
     docs = docs.withColumn("text", _plain(F.col("text")))
     ranks = rarity(docs)
-    lines = _line_sets(docs, ranks)
+    lines = _line_prefixes(docs, ranks)
     classes = _classes(lines)
-    entries = _entries(classes, _meeting(classes))
-    sets = _sets(docs, entries, ranks)
+    meeting = _meeting(classes)
+    sets = _sets(docs, classes, meeting, ranks)
+    entries = _entries(meeting, sets)
     settled = _verified(_to_leaders(entries), sets)
     rest = _verified(_to_earlier(entries, settled, sets), sets)
     gone = settled.unionAll(rest).withColumn("gone", F.lit(True))
-    hit = classes.join(gone, "cls", "left").where("copies > 1 OR gone").select(
+    hit = classes.select("id", "cls", "place", "copies").join(gone, "id", "left").where("copies > 1 OR gone").select(
         "cls", "place", F.coalesce("gone", F.lit(False)).alias("gone")
     )
-    return stored(
+    return _kept(
         lines.select("cls", F.struct(*PLACE).alias("here")).join(hit, "cls")
         .where("gone OR here <> place").select("here.*"),
         "removed",

@@ -536,3 +536,31 @@ def test_pipeline_run_stores_every_stage(spark, monkeypatch):
     for name, (files, _) in zip(names, seen[1:]):
         assert files and all(f"/{name}-" in f for f in files)
     assert placed.where("piece = 0").count() == seen[-1][1] > 0
+
+
+def test_line_dedup_leaves_no_shuffle_files(spark):
+    """Shuffles of the intermediate tables end with them; repeated words and shingles keep their sets."""
+    import pathlib
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {p.name for d in manager.localDirs() for p in pathlib.Path(d.getPath()).rglob("shuffle_*")}
+
+    rng = random.Random(9)
+    rows = []
+    for doc_id in range(80):
+        word = lambda: rng.choice("abcd") + str(rng.randrange(1 + doc_id % 3))
+        again = ["x"] * rng.randint(5, 30) + ["y"] * rng.randint(0, 2)
+        line = [word() for _ in range(rng.randint(5, 12))] * rng.randint(1, 4)
+        rows.append((doc_id, " ".join(again) + "\n" + " ".join(line) + "\n" + " ".join(line[1:] + ["z"])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    before = files()
+    cleaned = linededup.deduplicate(frame)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    got = {r.doc_id: r.text for r in cleaned.collect()}
+    gone = brute_lines(rows)
+    assert 20 < len(gone) < 230
+    for doc_id, text in rows:
+        assert got[doc_id] == "\n".join(x for k, x in enumerate(text.split("\n")) if (doc_id, k) not in gone)
