@@ -8,9 +8,10 @@ or not the earlier line is itself removed.
 
 1. Shingles get one total order by rarity, the frequency of their first word: words are counted in 8,192 hash buckets
    over all texts, rare buckets first.
-2. Lines with equal sets collapse into one class at their first place, so copies never meet in a join.
-3. A class keeps its prefix, the shingles among which any match must share one. Prefix shingles of one class only
-   drop out; each other one has a leader, the earliest class that has it.
+2. Lines of equal words collapse into one class at their first place, so copies never meet in a join.
+3. A class keeps its rarest shingles, at least its prefix, among which any match must share one. Shingles of one class
+   only drop out; the sets of the other classes are made from the texts. Of a shingle's classes that pass the length
+   and positional filters with another one, the earliest is its leader.
 4. A class is first compared with the leader that most of its prefix has. Most copies are settled here.
 5. Only classes without a match are joined with all earlier classes on the prefix, under length, positional and
    bitmap filters, and verified. Similarity is an existence test, so no group expands into its pairs.
