@@ -7,6 +7,7 @@ which no shared end is left is a leaf, one group. All intervals of a block of te
 
 Every A token of a group is linked with every B token of it. How many texts hold an id pair linked is counted over the
 whole corpus: blocks of texts bring their distinct pairs, which are counted, joined back and handed to their block.
+What a block knows of its texts goes round as one compressed value, so that Spark's rows stay small.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import blocks, stored
 from panelcast.llm.subwords import MARK, library
 
-#: Texts are worked on in blocks of about so many characters; a longer text is a block of its own.
+#: Texts share their distinct pairs in blocks of about so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
+#: So many characters of a block are tokenized and linked at once.
+PART_CHARS = 250_000
 #: A group with more links is reduced to distinct ids and their counts before its links are formed.
 WIDE_GROUP = 4096
 
@@ -91,7 +94,7 @@ class PieceSide(Side):
         ])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, dtype=np.int64) for x in self.library.encode(texts, num_threads=1)]
+        return [np.array(self.library.encode(t), dtype=np.int64) for t in texts]
 
     def spells(self, text: str, ids: np.ndarray) -> bool:
         # with a piece or bytes for every character the tokens are the normalised text
@@ -233,14 +236,36 @@ def linked_pairs(found: Aligned, width: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-_ENTRY = "n array<bigint>, pair array<int>, times array<bigint>, a array<int>, b array<int>, holders array<int>"
+
+
+def _linked(texts: list[str], side_a: Side, side_b: Side, names: Names) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Counts, digest and number of distinct pairs ``n`` of each text; pair and links of each of these, text by text."""
+    found = align(texts, side_a, side_b)
+    text, code, times = linked_pairs(found, len(side_b.token))
+    links = np.zeros(len(texts), np.int64)
+    np.add.at(links, found.text, found.links)
+    digests = [hashlib.sha256(x).hexdigest() if x else "" for x in spellings(found, names)]
+    known = {
+        "n_a": found.n_a,
+        "n_b": found.n_b,
+        "n_groups": np.bincount(found.text, minlength=len(texts)),
+        "n_links": links,
+        "groups_sha256": np.array(digests, dtype=object),
+        "n": np.bincount(text, minlength=len(texts)),
+    }
+    return known, code, times
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
 
 def _align_blocks(docs: DataFrame, byte_path: str, pattern: str, piece_path: str) -> DataFrame:
-    """One row per block of texts: per text its id, counts, digest and number of distinct pairs; of all texts in a row
-    their pairs (index among the block's pairs) with links; the block's distinct pairs with how many texts hold them."""
-    picked = docs.select("doc_id", "text")
-    id_type = picked.schema["doc_id"].dataType.simpleString()
+    """One row per block of texts: its distinct pairs with how many texts hold them; packed, per text its id, counts,
+    digest and pairs (index among the block's pairs) with links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = sides(byte_path, pattern, piece_path)
@@ -250,37 +275,32 @@ def _align_blocks(docs: DataFrame, byte_path: str, pattern: str, piece_path: str
         for batch in batches:
             done = 0
             for texts in blocks((x.as_py() for x in batch.column(1)), BLOCK_CHARS):
-                ids = batch.column(0).slice(done, len(texts))
+                parts = [_linked(part, side_a, side_b, names) for part in blocks(texts, PART_CHARS)]
+                known = {name: np.concatenate([p[0][name] for p in parts]) for name in parts[0][0]}
+                pairs, at = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+                ends = pa.array(np.concatenate(([0], np.cumsum(known.pop("n")))), pa.int32())
+                body = {
+                    "doc_id": batch.column(0).slice(done, len(texts)),
+                    **{name: pa.array(x) for name, x in known.items()},
+                    "pair": pa.ListArray.from_arrays(ends, at.astype(np.int32)),
+                    "times": pa.ListArray.from_arrays(ends, np.concatenate([p[2] for p in parts])),
+                }
                 done += len(texts)
-                found = align(texts, side_a, side_b)
-                text, code, times = linked_pairs(found, width)
-                pairs, at = np.unique(code, return_inverse=True)
-                links = np.zeros(len(texts), np.int64)
-                np.add.at(links, found.text, found.links)
-                digests = [hashlib.sha256(x).hexdigest() if x else "" for x in spellings(found, names)]
                 lists = {
-                    "doc_id": ids,
-                    "n_a": found.n_a,
-                    "n_b": found.n_b,
-                    "n_groups": np.bincount(found.text, minlength=len(texts)),
-                    "n_links": links,
-                    "groups_sha256": pa.array(digests, pa.string()),
-                    "n": np.bincount(text, minlength=len(texts)),
-                    "pair": at.astype(np.int32),
-                    "times": times,
                     "a": (pairs // width).astype(np.int32),
                     "b": (pairs % width).astype(np.int32),
                     "holders": np.bincount(at, minlength=len(pairs)).astype(np.int32),
                 }
                 columns = [pa.ListArray.from_arrays([0, len(x)], x) for x in lists.values()]
+                packed = _packed(pa.RecordBatch.from_pydict(body))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block_id], pa.int64()), *columns], names=["block_id", *lists]
+                    [pa.array([block_id], pa.int64()), pa.array([packed], pa.binary()), *columns],
+                    names=["block_id", "body", *lists],
                 )
                 block_id += 1
 
-    counts = ", ".join(f"{c} array<bigint>" for c in _COUNTS)
-    return picked.mapInArrow(
-        run, f"block_id bigint, doc_id array<{id_type}>, {counts}, groups_sha256 array<string>, {_ENTRY}"
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "block_id bigint, body binary, a array<int>, b array<int>, holders array<int>"
     )
 
 
@@ -304,41 +324,48 @@ def link_counts(docs: DataFrame, byte_path: str, pattern: str, piece_path: str)
     digest. Null ids and repeated rows are kept, each row counts as a text of its own; other columns are dropped.
 
     Blocks of texts are written once. Their distinct pairs are counted by pair, joined back by pair and gathered by
-    block: a frequent pair is one row per block, and a block gathers at most its own pairs.
+    block: a frequent pair is one row per block, and a block gathers at most its own pairs. Spark sorts these rows by
+    block, which can go to disk; only a worker holds a block's pairs together, one block at a time.
     """
     aligned = stored(_align_blocks(docs, byte_path, pattern, piece_path), "aligned")
     asked = aligned.select("block_id", F.posexplode(F.arrays_zip("a", "b")).alias("at", "p")).select(
         "block_id", "at", "p.a", "p.b"
     )
-    answers = (
-        asked.join(pair_counts(aligned), ["a", "b"])
-        .groupBy("block_id")
-        .agg(F.collect_list(F.struct("at", "count", "best")).alias("answers"))
-    )
-    id_type = aligned.schema["doc_id"].dataType.elementType.simpleString()
-    joined = aligned.join(answers, "block_id", "left").select(
-        "doc_id", *_COUNTS, "groups_sha256", "n", "pair", "times", "answers"
-    )
+    answers = asked.join(pair_counts(aligned), ["a", "b"]).select("block_id", "at", "count", "best")
+    gathered = aligned.select("block_id", "body").unionByName(answers, allowMissingColumns=True)
+
+    def scored(block: pa.Table) -> pa.RecordBatch:
+        with pa.ipc.open_stream(block.column("body").drop_null()[0].as_buffer()) as stream:
+            rows = stream.read_next_batch()
+        at, count, best = (block.column(c).drop_null().to_numpy() for c in ("at", "count", "best"))
+        counts, bests = np.zeros((2, len(at)), dtype=np.int64)
+        counts[at], bests[at] = count, best
+        pair, times = (rows.column(c).values.to_numpy() for c in ("pair", "times"))
+        ends = rows.column("pair").offsets.to_numpy()
+        sums = (np.concatenate(([0], np.cumsum(times * of[pair])))[ends] for of in (bests, counts))
+        return pa.RecordBatch.from_arrays(
+            [*(rows.column(c) for c in ("doc_id", *_COUNTS)), *(pa.array(np.diff(s)) for s in sums), rows.column("groups_sha256")],
+            names=["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[pa.RecordBatch] = []
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {name: batch.column(name)[k].values for name in batch.schema.names}
-                n = row["n"].to_numpy()
-                total, best = np.zeros((2, len(n)), dtype=np.int64)
-                if row["answers"] is not None:
-                    at, count, is_best = (c.to_numpy(zero_copy_only=False) for c in row["answers"].flatten())
-                    counts, bests = np.zeros((2, len(at)), dtype=np.int64)
-                    counts[at], bests[at] = count, is_best
-                    pair, times = row["pair"].to_numpy(), row["times"].to_numpy()
-                    ends = np.cumsum(n)
-                    for out, of in ((total, counts), (best, bests)):
-                        sums = np.concatenate(([0], np.cumsum(times * of[pair])))
-                        out[:] = sums[ends] - sums[ends - n]
-                yield pa.RecordBatch.from_arrays(
-                    [row["doc_id"], *(row[c] for c in _COUNTS), pa.array(best), pa.array(total), row["groups_sha256"]],
-                    names=["doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256"],
-                )
-
+            ids = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(ids, prepend=ids[:1])).tolist()
+            for start, end in zip([0, *cuts], [*cuts, len(ids)]):
+                if block and start < end and block[0].column(0)[0].as_py() != ids[start]:
+                    yield scored(pa.Table.from_batches(block))
+                    block = []
+                if start < end:
+                    block.append(batch.slice(start, end - start))
+        if block:
+            yield scored(pa.Table.from_batches(block))
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{c} bigint" for c in (*_COUNTS, "n_best", "count_sum"))
-    return joined.mapInArrow(run, f"doc_id {id_type}, {counts}, groups_sha256 string")
+    return (
+        gathered.repartition("block_id")
+        .sortWithinPartitions("block_id")
+        .mapInArrow(run, f"doc_id {id_type}, {counts}, groups_sha256 string")
+    )

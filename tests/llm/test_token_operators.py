@@ -207,6 +207,24 @@ def test_op12_on_a_table(spark):
     assert ordered(tuple(r) for r in got.collect()) == ordered(brute_alignment(rows))
 
 
+def test_blocks_of_texts_are_small_rows_and_no_row_holds_a_block_of_answers(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    chars = docs.selectExpr("sum(length(text))").first()[0]
+    rows = alignment._align_blocks(docs, BYTES, public_tokenizers.PATTERN, PIECES).toArrow()
+    assert 0 < rows.nbytes < chars  # a pair of a text with its links took 12 bytes before, here over a byte per character
+    plan = alignment.link_counts(docs, BYTES, public_tokenizers.PATTERN, PIECES)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_blocks_across_batches_are_scored_whole(spark, docs):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = alignment.link_counts(docs, BYTES, public_tokenizers.PATTERN, PIECES).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ordered(tuple(r) for r in got) == ordered(brute_alignment(EDGES))
+
+
 # --- periodic runs -----------------------------------------------------------------------------------------------
 
 
